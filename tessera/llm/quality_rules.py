@@ -17,7 +17,7 @@ from tessera.llm.shared import WORD, documents, settle, table, words
 
 BINS = 1000
 #: The rules, and the least spread (in bins) that a group is credited with.
-RULES = {"repeat_bin": 30, "symbol_bin": 4, "line_bin": 30, "upper_bin": 30, "length_bin": 8}
+RULES = {"repeat_bin": 60, "symbol_bin": 4, "line_bin": 80, "upper_bin": 30, "length_bin": 8}
 #: A threshold is the upper quartile and so many times the quartiles' distance.
 REACH = 4
 #: Groups with fewer documents take the sketch of their language, then that of all.
@@ -173,7 +173,7 @@ long AS (
   UNPIVOT (SELECT lang, source, least(repeat_bin, 1000) AS repeat_bin, least(symbol_bin, 1000) AS symbol_bin, least(line_bin, 1000) AS line_bin,
                   least(upper_bin, 1000) AS upper_bin, least(length_bin, 1000) AS length_bin FROM b WHERE n_words > 0)
   ON repeat_bin, symbol_bin, line_bin, upper_bin, length_bin INTO NAME rule VALUE bin),
-slack(rule, slack) AS (VALUES ('repeat_bin', 30), ('symbol_bin', 4), ('line_bin', 30), ('upper_bin', 30), ('length_bin', 8)),
+slack(rule, slack) AS (VALUES ('repeat_bin', 60), ('symbol_bin', 4), ('line_bin', 80), ('upper_bin', 30), ('length_bin', 8)),
 own AS (
   SELECT lang, source, rule, n, q3 + 4 * greatest(q3 - q1, slack) AS top FROM (
     SELECT lang, source, rule, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL) JOIN slack USING (rule)),

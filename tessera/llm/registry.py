@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_rules, source_mix
+from tessera.llm import pieces, quality_rules, source_mix
 
 _MODULES = {
     "op4_source_mix": source_mix,
     "op6_quality_rules": quality_rules,
+    "op8_sentencepiece": pieces,
 }
 
 
