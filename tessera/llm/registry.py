@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import pieces, quality_rules, source_mix
+from tessera.llm import near_dup, pieces, quality_rules, secret_scan, source_mix
 
 _MODULES = {
     "op4_source_mix": source_mix,
     "op6_quality_rules": quality_rules,
     "op8_sentencepiece": pieces,
+    "op9_secret_scan": secret_scan,
+    "op10_minhash_dedup": near_dup,
 }
 
 
