@@ -49,15 +49,16 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
             ),
         )
         .withColumn("twice", F.expr("filter(k, (x, j) -> (j > 0 AND get(k, j - 1).s = x.s) OR (j < size(k) - 1 AND get(k, j + 1).s = x.s))"))
+        # inline() keeps a later filter on these from being pushed into, and so repeating, what they are made of.
         .selectExpr(
             "doc_id", *keep,
-            "cast(n AS bigint) AS n_words",
-            "cast(char_length(array_join(w, '')) AS bigint) AS word_chars",
-            "cast(regexp_count(t, '[#*$%&|<>]') AS bigint) AS n_symbols",
-            "cast(size(lines) - size(array_distinct(lines)) AS bigint) AS n_dup_lines",
-            "cast(size(array_distinct(flatten(transform(twice, x -> array(x.p, x.p + 1, x.p + 2))))) AS bigint) AS n_repeat_words",
-            "cast(size(lines) AS bigint) AS n_lines",
-            "cast(char_length(regexp_replace(t, '[^A-Z]+', '')) AS bigint) AS n_upper",
+            "inline(array(struct(cast(n AS bigint) AS n_words, "
+            "cast(char_length(array_join(w, '')) AS bigint) AS word_chars, "
+            "cast(regexp_count(t, '[#*$%&|<>]') AS bigint) AS n_symbols, "
+            "cast(size(lines) - size(array_distinct(lines)) AS bigint) AS n_dup_lines, "
+            "cast(size(array_distinct(flatten(transform(twice, x -> array(x.p, x.p + 1, x.p + 2))))) AS bigint) AS n_repeat_words, "
+            "cast(size(lines) AS bigint) AS n_lines, "
+            "cast(char_length(regexp_replace(t, '[^A-Z]+', '')) AS bigint) AS n_upper)))",
         )
         .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
         .selectExpr(
@@ -142,7 +143,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     Texts are measured again where they are read instead of being shuffled to the verdicts.
     """
-    limited = settle(limits(sketches(measures(docs, "lang", "source"))))
+    limited = settle(limits(settle(sketches(measures(docs, "lang", "source")))))
     return judge(measures(docs, "text", "lang", "source", *(c for c in docs.columns if c not in ("doc_id", "text", "lang", "source"))), limited).where("kept").select(*docs.columns)
 
 
