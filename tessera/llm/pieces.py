@@ -28,7 +28,7 @@ from tessera.llm.shared import documents, table
 
 MARK = "▁"
 #: Chunks and pairs that a worker keeps at most; beyond that its tables start anew.
-KEPT = 250_000
+KEPT = 600_000
 
 
 class Pieces:
@@ -54,8 +54,10 @@ class Pieces:
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.whole), None) for p in self.whole}
         self.automaton = ahocorasick.Automaton()
         for p in self.whole:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
+        self.spelled = [str(i) for i in range(len(names))]
+        self.names_out = [" ⁇ " if i in self.unknown else "" if i in self.silent else n.replace(MARK, " ") for i, n in enumerate(names)]
         self.fits: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[str, str]] = {}
         odd = "".join(re.escape(chr(b)) for b in range(32) if chr(b) not in self.singles)
@@ -95,33 +97,48 @@ class Pieces:
             known = self.fits[a, b] = self.merge(a + b) == [a, b]
         return known
 
-    def cover(self, text: str) -> list[str]:
-        """The tokens of a text whose characters are all pieces."""
+    def cover(self, text: str) -> list[str] | None:
+        """The tokens of ``text``; None if it has a character that is no piece."""
         if text in self.whole:
             return [text]
-        longest: list[str] = [""] * len(text)
-        for last, p in self.automaton.iter(text):
-            at = last - len(p) + 1
-            if len(p) > len(longest[at]):
-                longest[at] = p
-        failed = bytearray(len(text) + 1)
+        longest: list[str | None] = [None] * len(text)
+        for last, (back, p) in self.automaton.iter(text):
+            longest[last - back] = p  # of those that start here, the longest ends last
+        if None in longest:
+            return None
+        shorter, fits, failed = self.shorter, self.fits, set()
         done: list[str] = []
-        at, token = 0, longest[0]
-        while at < len(text):
-            while token and (failed[at + len(token)] or done and not self.beside(done[-1], token)):
-                token = self.shorter[token]
-            if token:
+        at, token, before, size = 0, longest[0], None, len(text)
+        while True:
+            while token is not None:
+                if before is not None:
+                    known = fits.get((before, token))
+                    if known is None:
+                        known = self.beside(before, token)
+                    if not known:
+                        token = shorter[token]
+                        continue
+                if failed and at + len(token) in failed:
+                    token = shorter[token]
+                    continue
+                break
+            if token is not None:
                 done.append(token)
                 at += len(token)
-                token = longest[at] if at < len(text) else None
+                if at == size:
+                    return done
+                before, token = token, longest[at]
             else:
-                failed[at] = 1
+                failed.add(at)
                 token = done.pop()
                 at -= len(token)
-        return done
+                before = done[-1] if done else None
+                token = shorter[token]
 
     def chunk(self, text: str) -> list[int]:
         """The ids of a chunk, with the word mark for its spaces."""
+        if text and (tokens := self.cover(text)) is not None:
+            return [self.ids[p] for p in tokens]
         ids: list[int] = []
         start = 0
         for i, c in enumerate(text):
@@ -138,7 +155,8 @@ class Pieces:
             if len(self.chunks) >= KEPT:
                 self.chunks.clear()
             ids = self.chunk(chunk.replace(" ", MARK))
-            found = " ".join(map(str, ids)), self.spell(ids)
+            spelled = self.spell(ids)
+            found = " ".join([self.spelled[i] for i in ids]), chunk if spelled == chunk else spelled
             if len(chunk) <= 64:
                 self.chunks[chunk] = found
         return found
@@ -152,6 +170,8 @@ class Pieces:
 
     def spell(self, ids: list[int]) -> str:
         """The text of ids with its first space; byte tokens in a row are one UTF-8 string."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.names_out[i] for i in ids])
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -160,8 +180,7 @@ class Pieces:
             if run:
                 out.append(run.decode("utf-8", "replace"))
                 run.clear()
-            if i not in self.silent:
-                out.append(" ⁇ " if i in self.unknown else self.names[i].replace(MARK, " "))
+            out.append(self.names_out[i])
         return "".join(out) + (run.decode("utf-8", "replace") if run else "")
 
     def decode(self, ids: list[int]) -> str:
