@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rows and bytes of text that one call of the function sees at most (a longer text comes alone).
-ROWS, BYTES = 2000, 4 << 20
+ROWS, BYTES = 1000, 1 << 20
 
 
 def sliced(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
