@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import near_dup, pieces, quality_rules, secret_scan, source_mix
+from tessera.llm import near_dup, pieces, quality_rules, secret_scan, source_mix, substring_dedup
 
 _MODULES = {
+    "op2_substring_dedup": substring_dedup,
     "op4_source_mix": source_mix,
     "op6_quality_rules": quality_rules,
     "op8_sentencepiece": pieces,
