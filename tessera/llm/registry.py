@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import near_dup, pieces, quality_rules, secret_scan, source_mix, substring_dedup
+from tessera.llm import lm_score, media_columns, near_dup, pieces, quality_rules, secret_scan, source_mix, substring_dedup
 
 _MODULES = {
     "op2_substring_dedup": substring_dedup,
     "op4_source_mix": source_mix,
+    "op5_ppm_score": lm_score,
     "op6_quality_rules": quality_rules,
+    "op7_media_columns": media_columns,
     "op8_sentencepiece": pieces,
     "op9_secret_scan": secret_scan,
     "op10_minhash_dedup": near_dup,
