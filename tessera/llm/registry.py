@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import lm_score, media_columns, near_dup, pieces, quality_rules, secret_scan, source_mix, substring_dedup
+from tessera.llm import lm_score, media_columns, near_dup, pieces, quality_model, quality_rules, secret_scan, source_mix, substring_dedup, toxicity
 
 _MODULES = {
+    "op1_toxicity": toxicity,
     "op2_substring_dedup": substring_dedup,
+    "op3_quality_classifier": quality_model,
     "op4_source_mix": source_mix,
     "op5_ppm_score": lm_score,
     "op6_quality_rules": quality_rules,
