@@ -29,8 +29,9 @@ from tessera.llm.wordhash import bounds, ranges, raw, windows, word_hashes, _BYT
 WINDOW = 35
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Cells for each partition of the shuffle.
-CELLS = 16
+#: Bytes of text in a cell and for each range of hashes; with more text than fits 16 cells and one range
+#: for each partition of the shuffle, both grow.
+CELL, RANGE, CELLS = 1 << 20, 16 << 20, 16
 #: Bytes of a hash that travel: false repeats of anchors only make candidates, windows are sent in full.
 ANCHOR_BYTES, WINDOW_BYTES = 6, 8
 
@@ -130,11 +131,12 @@ def repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     than a window is removed. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = parts * CELLS
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells, parts = max(1, min(-(-size // CELL), width * CELLS)), max(1, min(-(-size // RANGE), width))
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = (
-        documents(docs).withColumn("cell", F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)).cast("long")).repartition(parts, "cell")
+        documents(docs).withColumn("cell", F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)).cast("long")).repartition(width, "cell")
     )
 
     def anchors(rows: pa.Table) -> pa.Table:
