@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "bm25_topk"
+from tessera.plans import retrieval
 
-_MODULES: tuple = ()
+FLAGSHIP = "rrf_hybrid"
+
+_MODULES = (retrieval,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,3 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+
+
+def covers() -> dict[str, str]:
+    """Operator ids of the blueprint by query."""
+    return {name: ids for m in _MODULES for name, ids in m.COVERS.items()}
