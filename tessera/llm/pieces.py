@@ -28,7 +28,7 @@ from tessera.llm.shared import documents, table
 
 MARK = "▁"
 #: Chunks and pairs that a worker keeps at most; beyond that its tables start anew.
-KEPT = 600_000
+KEPT = 350_000
 
 
 class Pieces:
