@@ -123,7 +123,7 @@ class Spark(Dialect):
         return f"sha2({x}, 256)"
 
     def micros(self, x):
-        return f"unix_micros({x})"
+        return f"unix_micros(CAST({x} AS TIMESTAMP))"
 
     def best(self, v, by):
         return f"max_by({v}, {by})"
@@ -149,6 +149,9 @@ class Spark(Dialect):
     def dot(self, a, b):
         return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, z) -> s + z)"
 
+    def last(self, x):
+        return f"last_value({x}) IGNORE NULLS"
+
     def hex_int(self, x):
         return f"CAST(conv({x}, 16, 10) AS BIGINT)"
 
@@ -262,6 +265,9 @@ class Duck(Dialect):
     def dot(self, a, b):
         return f"list_sum(list_transform(range(1, len({a}) + 1), lambda k_: {a}[k_]::DOUBLE * {b}[k_]::DOUBLE))"
 
+    def last(self, x):
+        return f"last_value({x} IGNORE NULLS)"
+
     def hex_int(self, x):
         return f"('0x' || {x})::BIGINT"
 
