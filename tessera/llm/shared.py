@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import tables
+from tessera.sources.tables import spread
+
 #: A word is a run of characters other than the space and U+0009 to U+000D.
 SPACES = "[ \\u0009-\\u000D]+"
 WORD = "[^ \\u0009-\\u000D]+"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table by Spark's reader; a small one in few files is dealt to all cores."""
+    return spread(tables.table(spark, folder, name))
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
