@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import decisions, metrics, relational, retrieval, stateful, texts
+from tessera.plans import decisions, metrics, relational, retrieval, sequential, stateful, texts
 
 FLAGSHIP = "rrf_hybrid"
 
-_MODULES = (retrieval, texts, decisions, metrics, stateful, relational)
+_MODULES = (retrieval, texts, decisions, metrics, stateful, sequential, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

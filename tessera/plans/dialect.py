@@ -13,10 +13,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
-#: Tokens of identifiers, words and numbers, after lower-casing.
-TOKEN = "0x[0-9a-f]+|[a-z]+(?:[._-]?[a-z0-9]+)*|[0-9]+(?:[.][0-9]+)?"
+#: Tokens after lower-casing: hexadecimal numbers, identifiers with inner joints, decimals, runs of ideographs (fixed values).
+TOKEN = "0x[0-9a-f]+|[a-z]+[a-z0-9]*(?:[._-][a-z0-9]+)*|[0-9]+(?:[.][0-9]+)*|[\\x{4e00}-\\x{9fff}]+"
+IDEOGRAPH = "[\\x{4e00}-\\x{9fff}]"
+
+#: Tables whose rows are worth more work than moving them.
+TEXTS = ("documents",)
 
 Sql = Callable[["Dialect"], str]
 
@@ -28,7 +32,12 @@ class Dialect:
         raise NotImplementedError
 
     def tokens(self, x: str) -> str:
-        return self.find_all(f"lower({x})", TOKEN)
+        """All tokens, a run of ideographs as its characters and then its pairs; repeats are kept."""
+        plain = self.find_all(f"lower({x})", TOKEN)
+        return f"CASE WHEN {self.has(x, IDEOGRAPH)} THEN flatten({self.map(plain, 'w_', self.spelled('w_'))}) ELSE {plain} END"
+
+    def spelled(self, w: str) -> str:
+        raise NotImplementedError
 
     def i(self, x: str) -> str:
         return f"CAST({x} AS BIGINT)"
@@ -44,7 +53,8 @@ class Spark(Dialect):
 
     def t(self, name):
         view = f"{name}_{self.tag}"
-        table(self.spark, self.folder, name).createOrReplaceTempView(view)
+        df = table(self.spark, self.folder, name)
+        (spread(df) if name in TEXTS else df).createOrReplaceTempView(view)
         return view
 
     def re(self, p):
@@ -62,6 +72,10 @@ class Spark(Dialect):
     def sub(self, x, p, by):
         return f"regexp_replace({x}, {self.re(p)}, '{by}')"
 
+    def spelled(self, w):
+        pairs = f"CASE WHEN char_length({w}) > 1 THEN transform(sequence(1, char_length({w}) - 1), k_ -> substr({w}, k_, 2)) ELSE CAST(array() AS ARRAY<STRING>) END"
+        return f"CASE WHEN {self.has(w, IDEOGRAPH)} THEN concat(transform(sequence(1, char_length({w})), k_ -> substr({w}, k_, 1)), {pairs}) ELSE array({w}) END"
+
     def size(self, a):
         return f"CAST(size({a}) AS BIGINT)"
 
@@ -178,6 +192,10 @@ class Duck(Dialect):
     def sub(self, x, p, by):
         return f"regexp_replace({x}, {self.re(p)}, '{by}', 'g')"
 
+    def spelled(self, w):
+        every = f"list_concat(list_transform(range(1, length({w}) + 1), lambda k_: substr({w}, k_, 1)), list_transform(range(1, length({w})), lambda k_: substr({w}, k_, 2)))"
+        return f"CASE WHEN {self.has(w, IDEOGRAPH)} THEN {every} ELSE [{w}] END"
+
     def size(self, a):
         return f"CAST(len({a}) AS BIGINT)"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import lexical as lx
 from tessera.plans.dialect import Book, Duck
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 book = Book()
 QUERIES, ORACLES, COVERS = book.QUERIES, book.ORACLES, book.COVERS
@@ -15,7 +15,7 @@ _D = Duck()
 
 
 def _corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return spread(table(spark, folder, "documents")).select(F.col("doc_id").alias("chunk_id"), "text")
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,7 +135,7 @@ def gold(spark: SparkSession, folder: str) -> DataFrame:
     # A passage starts and ends anywhere in a document, but its inner words are whole there.
     inner = F.expr("slice(split(passage, ' '), 2, greatest(size(split(passage, ' ')) - 2, 0))")
     passages = passages.withColumn("word", F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"])
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    docs = spread(table(spark, folder, "documents")).select(F.col("doc_id").alias("chunk_id"), "text")
     words = docs.select("chunk_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     pairs = words.join(passages.select("query_id", "word"), "word").select("query_id", "chunk_id").distinct()
     return pairs.join(passages, "query_id").join(docs, "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id")
