@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: A table up to so many bytes for each core is dealt out anew if it has fewer files than there are cores.
-SMALL = 64 << 20
+SMALL = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
