@@ -187,3 +187,14 @@ def repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return repeats(table(spark, folder, "documents"))
+
+
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, sha256(array_to_string(w[i : i + {WINDOW - 1}], ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+dup AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + k AS p FROM win SEMI JOIN dup USING (s), range({WINDOW}) AS t(k)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
+"""
