@@ -28,7 +28,9 @@ from tessera.llm.shared import documents, table
 
 MARK = "▁"
 #: Chunks and pairs that a worker keeps at most; beyond that its tables start anew.
-KEPT = 350_000
+KEPT = 500_000
+#: Up to so many characters are merged without a heap.
+SHORT = 16
 
 
 class Pieces:
@@ -54,9 +56,12 @@ class Pieces:
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.whole), None) for p in self.whole}
         self.automaton = ahocorasick.Automaton()
         for p in self.whole:
-            self.automaton.add_word(p, (len(p) - 1, p))
+            self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.spelled = [str(i) for i in range(len(names))]
+        # The automaton's states as strings, each with the longest piece that it begins with.
+        self.longest = {p[:n]: next((p[:k] for k in range(n, 0, -1) if p[:k] in self.whole), None) for p in self.whole for n in range(1, len(p) + 1)}
+        self.reach = max(map(len, self.whole))
+        self.numbers = {p: str(i) for p, i in self.ids.items()}
         self.names_out = [" ⁇ " if i in self.unknown else "" if i in self.silent else n.replace(MARK, " ") for i, n in enumerate(names)]
         self.fits: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[str, str]] = {}
@@ -65,6 +70,8 @@ class Pieces:
 
     def merge(self, text: str) -> list[str]:
         """The pieces that merging makes of ``text``: the best score first, then the leftmost."""
+        if len(text) <= SHORT:
+            return self.merge_short(text)
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str]] = []
@@ -89,6 +96,19 @@ class Pieces:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
+    def merge_short(self, text: str) -> list[str]:
+        """``merge`` by looking at all pairs again and again: for a few characters that is the quickest."""
+        parts, score = list(text), self.score
+        while True:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
     def beside(self, a: str, b: str) -> bool:
         """Whether ``a`` and ``b`` stay two tokens when their characters are merged again."""
         if (known := self.fits.get((a, b))) is None:
@@ -101,14 +121,12 @@ class Pieces:
         """The tokens of ``text``; None if it has a character that is no piece."""
         if text in self.whole:
             return [text]
-        longest: list[str | None] = [None] * len(text)
-        for last, (back, p) in self.automaton.iter(text):
-            longest[last - back] = p  # of those that start here, the longest ends last
-        if None in longest:
+        if not self.singles.issuperset(text):
             return None
-        shorter, fits, failed = self.shorter, self.fits, set()
+        shorter, fits, failed, longest, deepest, reach = self.shorter, self.fits, set(), self.longest, self.automaton.longest_prefix, self.reach
         done: list[str] = []
-        at, token, before, size = 0, longest[0], None, len(text)
+        head = text[:reach]
+        at, token, before, size = 0, longest[head[: deepest(head)]], None, len(text)
         while True:
             while token is not None:
                 if before is not None:
@@ -127,7 +145,8 @@ class Pieces:
                 at += len(token)
                 if at == size:
                     return done
-                before, token = token, longest[at]
+                head = text[at : at + reach]
+                before, token = token, longest[head[: deepest(head)]]
             else:
                 failed.add(at)
                 token = done.pop()
@@ -154,9 +173,14 @@ class Pieces:
         if (found := self.chunks.get(chunk)) is None:
             if len(self.chunks) >= KEPT:
                 self.chunks.clear()
-            ids = self.chunk(chunk.replace(" ", MARK))
-            spelled = self.spell(ids)
-            found = " ".join([self.spelled[i] for i in ids]), chunk if spelled == chunk else spelled
+            marked = chunk.replace(" ", MARK)
+            if marked and (tokens := self.cover(marked)) is not None:
+                numbers = self.numbers
+                joined, spelled = " ".join([numbers[p] for p in tokens]), "".join(tokens).replace(MARK, " ")
+            else:
+                ids = self.chunk(marked)
+                joined, spelled = " ".join(map(str, ids)), self.spell(ids)
+            found = joined, chunk if spelled == chunk else spelled
             if len(chunk) <= 64:
                 self.chunks[chunk] = found
         return found
