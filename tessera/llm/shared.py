@@ -31,12 +31,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+#: Folders of our own, by application, where the session names none.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session.
+
+    Only where that is unset: a temporary folder for a local master, and on a cluster a
+    folder in the warehouse, which all executors share.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if context.applicationId not in _own:
+            local = context.master == "local" or context.master.startswith("local[")
+            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_tessera"
+        folder = _own[context.applicationId]
     return folder.rstrip("/")
 
 
