@@ -28,7 +28,7 @@ from tessera.llm.shared import documents, table
 
 MARK = "▁"
 #: Chunks and pairs that a worker keeps at most; beyond that its tables start anew.
-KEPT = 500_000
+KEPT = 250_000
 #: Up to so many characters are merged without a heap.
 SHORT = 16
 
@@ -64,7 +64,8 @@ class Pieces:
         self.numbers = {p: str(i) for p, i in self.ids.items()}
         self.names_out = [" ⁇ " if i in self.unknown else "" if i in self.silent else n.replace(MARK, " ") for i, n in enumerate(names)]
         self.fits: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, tuple[str, str]] = {}
+        self.chunks: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         odd = "".join(re.escape(chr(b)) for b in range(32) if chr(b) not in self.singles)
         self.split = re.compile(f" *[^ {odd}]+| +|[{odd}]+")
 
@@ -168,11 +169,9 @@ class Pieces:
                 start = i + 1
         return ids + [self.ids[p] for p in self.cover(text[start:])] if start < len(text) else ids
 
-    def known(self, chunk: str) -> tuple[str, str]:
-        """The ids of a chunk joined by spaces, and what they decode to before the text's first space goes."""
-        if (found := self.chunks.get(chunk)) is None:
-            if len(self.chunks) >= KEPT:
-                self.chunks.clear()
+    def known(self, chunk: str) -> str:
+        """The ids of a chunk joined by spaces. What they decode to is the chunk itself, or else is in ``odd``."""
+        if (joined := self.chunks.get(chunk)) is None:
             marked = chunk.replace(" ", MARK)
             if marked and (tokens := self.cover(marked)) is not None:
                 numbers = self.numbers
@@ -180,14 +179,17 @@ class Pieces:
             else:
                 ids = self.chunk(marked)
                 joined, spelled = " ".join(map(str, ids)), self.spell(ids)
-            found = joined, chunk if spelled == chunk else spelled
-            if len(chunk) <= 64:
-                self.chunks[chunk] = found
-        return found
+            if spelled != chunk:
+                self.odd[chunk] = spelled
+            elif len(chunk) <= 64:
+                if len(self.chunks) >= KEPT:
+                    self.chunks.clear()
+                self.chunks[chunk] = joined
+        return joined
 
     def encode(self, text: str) -> list[int]:
         """The ids of ``text`` with the end id; the empty text is the end id alone."""
-        return [int(i) for c in self.parts(text) for i in self.known(c)[0].split()] + [self.end]
+        return [int(i) for c in self.parts(text) for i in self.known(c).split()] + [self.end]
 
     def parts(self, text: str) -> list[str]:
         return self.split.findall(" " + text.replace(MARK, " ")) if text else []
@@ -213,10 +215,10 @@ class Pieces:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """How many ids, and the SHA-256 of the ids and of the decoded text."""
-        known, get = self.known, self.chunks.get
-        found = [get(c) or known(c) for c in self.parts(text)]
-        joined = " ".join([f[0] for f in found] + [str(self.end)])
-        decoded = "".join([f[1] for f in found])
+        known, get, parts = self.known, self.chunks.get, self.parts(text)
+        joined = " ".join([get(c) or known(c) for c in parts] + [str(self.end)])
+        decoded = "".join([self.odd.get(c, c) for c in parts] if self.odd else parts)
+        self.odd.clear()
         decoded = decoded[1:] if decoded[:1] == " " else decoded
         return joined.count(" ") + 1, sha(joined), sha(decoded)
 

@@ -13,6 +13,7 @@ from tessera.sources.tables import spread
 
 #: A word is a run of characters other than the space and U+0009 to U+000D.
 SPACES = "[ \\u0009-\\u000D]+"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 WORD = "[^ \\u0009-\\u000D]+"
 
 
@@ -21,8 +22,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(tables.table(spark, folder, name))
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes, unless the session asks for another size: workers hold one at a time."""
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, "4m")
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and ``more`` alone, so that extra columns can clash with nothing."""
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text", *more)
 
 
