@@ -124,7 +124,7 @@ class Pieces:
             return [text]
         if not self.singles.issuperset(text):
             return None
-        shorter, fits, failed, longest, deepest, reach = self.shorter, self.fits, set(), self.longest, self.automaton.longest_prefix, self.reach
+        shorter, fits, failed, longest, deepest, reach = self.shorter, self.fits, None, self.longest, self.automaton.longest_prefix, self.reach
         done: list[str] = []
         head = text[:reach]
         at, token, before, size = 0, longest[head[: deepest(head)]], None, len(text)
@@ -137,9 +137,11 @@ class Pieces:
                     if not known:
                         token = shorter[token]
                         continue
-                if failed and at + len(token) in failed:
-                    token = shorter[token]
-                    continue
+                if failed is not None:
+                    end = at + len(token)
+                    if failed[end >> 3] >> (end & 7) & 1:
+                        token = shorter[token]
+                        continue
                 break
             if token is not None:
                 done.append(token)
@@ -149,7 +151,9 @@ class Pieces:
                 head = text[at : at + reach]
                 before, token = token, longest[head[: deepest(head)]]
             else:
-                failed.add(at)
+                if failed is None:  # a bit for each position, once one has failed
+                    failed = bytearray((size >> 3) + 1)
+                failed[at >> 3] |= 1 << (at & 7)
                 token = done.pop()
                 at -= len(token)
                 before = done[-1] if done else None
