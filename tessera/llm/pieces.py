@@ -8,9 +8,10 @@ neighbour gives way to the next shorter one, and a position from which no token
 marked in a field of failed positions and never entered again: the work is linear.
 
 Characters that are no piece become byte tokens; nothing merges over them. No piece of
-such a model has its word mark after another character, so texts are encoded in chunks
-(spaces and the word after them), and a worker keeps the chunks it has met in a table of
-bounded size.
+such a model has its word mark after another character, and where none joins signs to
+letters nothing merges over that border either; so texts are encoded in chunks (spaces
+and the word or the signs after them), and a worker keeps the chunks it has met in a
+table of bounded size.
 """
 
 from __future__ import annotations
@@ -67,7 +68,25 @@ class Pieces:
         self.chunks: dict[str, str] = {}
         self.odd: dict[str, str] = {}
         odd = "".join(re.escape(chr(b)) for b in range(32) if chr(b) not in self.singles)
-        self.split = re.compile(f" *[^ {odd}]+| +|[{odd}]+")
+        marks = self.marks()
+        self.split = self._splitter(odd, marks)
+        # Without other signs in a text the ASCII ones are enough to split it, and quicker.
+        self.plain_split = self._splitter(odd, {c for c in marks if c.isascii()})
+        other = "".join(re.escape(c) for c in sorted(marks) if not c.isascii())
+        self.other_signs = re.compile(f"[{other}]") if other else None
+
+    @staticmethod
+    def _splitter(odd: str, marks: set[str]) -> re.Pattern:
+        signs = "".join(re.escape(c) for c in sorted(marks))
+        return re.compile(f" *[^ {odd}{signs}]+| *[{signs}]+| +|[{odd}]+" if signs else f" *[^ {odd}]+| +|[{odd}]+")
+
+    def marks(self) -> set[str]:
+        """Signs that no piece has next to anything but such signs and the word mark: nothing merges from them to a word."""
+        pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:]) if MARK not in (a, b)}
+        found = {c for p in self.ids for c in p if not c.isalpha() and c != MARK and c in self.singles}
+        while mixed := {c for a, b in pairs if (a in found) != (b in found) for c in (a, b) if c in found}:
+            found -= mixed
+        return found
 
     def merge(self, text: str) -> list[str]:
         """The pieces that merging makes of ``text``: the best score first, then the leftmost."""
@@ -196,7 +215,10 @@ class Pieces:
         return [int(i) for c in self.parts(text) for i in self.known(c).split()] + [self.end]
 
     def parts(self, text: str) -> list[str]:
-        return self.split.findall(" " + text.replace(MARK, " ")) if text else []
+        if not text:
+            return []
+        plain = self.other_signs is None or text.isascii() or not self.other_signs.search(text)
+        return (self.plain_split if plain else self.split).findall(" " + text.replace(MARK, " "))
 
     def spell(self, ids: list[int]) -> str:
         """The text of ids with its first space; byte tokens in a row are one UTF-8 string."""
