@@ -29,7 +29,7 @@ from tessera.llm.shared import documents, table
 
 MARK = "▁"
 #: Chunks and pairs that a worker keeps at most; beyond that its tables start anew.
-KEPT = 250_000
+KEPT = 350_000
 #: Up to so many characters are merged without a heap.
 SHORT = 16
 
