@@ -12,7 +12,7 @@ ROOT = Path(__file__).resolve().parents[1]
 def test_entry_without_the_other_parts():
     """What is left imports and lists its queries when the operators' subpackage and the pipeline cannot be imported."""
     code = """
-import sys
+import re, sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith('tessera.llm') or name == 'corpus_pipeline':
@@ -20,7 +20,7 @@ class Gone:
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 names = e.queries()
-assert len(names) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in names), names
+assert len(names) > 100 and not any(re.match('op[0-9]+_', n) or n == 'pipeline' for n in names), list(names)
 assert set(e.oracle_sql()) <= set(names)
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
