@@ -8,10 +8,11 @@ are near-duplicates of their own content alone, and all texts without a word are
 Contents that agree in a band meet in a bucket. A bucket of up to ``ALL_PAIRS`` contents
 compares all; a larger one holds contents that look alike, and compares each with its
 ``LEADERS`` most central members (those that agree most with the bucket's commonest
-coordinates) and with its neighbours in signature order. Contents that belong together by
-less than that meet in the small buckets of the bands in which they differ from the rest.
-Buckets over ``BLOCK`` contents are split, and the blocks' leaders meet in a further round
-until one block is left; so no task holds more than a block and links grow with contents.
+coordinates) and with its neighbours in signature order. Buckets over ``BLOCK`` contents
+are split, and the blocks' leaders meet in a further round until one block is left. That
+puts most of a large bucket into one component with few pairs. The rest is exact: members
+outside a large bucket's commonest component meet all its members of other components, in
+every block. So two contents that share a band are in one class already or are compared.
 """
 
 from __future__ import annotations
@@ -121,6 +122,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["key", "a", "b"])
 
     out: list[tuple] = []
+    for rows, edges in _grouped(batches):
+        _blocks(rows, edges, block)
+        yield flush()
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by (key, block) in tables of whole groups, with the groups' edges."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -131,41 +139,78 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
         if not len(edges):
             continue
-        _blocks(rows.slice(0, int(edges[-1])), np.concatenate([[0], edges]), block)
+        yield rows.slice(0, int(edges[-1])), np.concatenate([[0], edges])
         held = rows.slice(int(edges[-1])).combine_chunks().to_batches()
-        yield flush()
     if held:
         rows = pa.Table.from_batches(held).combine_chunks()
-        _blocks(rows, np.array([0, rows.num_rows]), block)
-    yield flush()
+        yield rows, np.array([0, rows.num_rows])
 
 
 def _blocks(rows: pa.Table, edges: np.ndarray, block) -> None:
     key, split = rows.column("key").to_numpy(), rows.column("blocks").to_numpy() > 1
     content = np.array(rows.column("content").to_pylist(), dtype=object)
-    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
+    sig = _signatures(rows.column("sig"))
     for s, e in zip(edges[:-1], edges[1:]):
         if e - s > 1 or split[s]:
             block(int(key[s]), bool(split[s]), content[s:e], sig[s:e])
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct pairs of contents (a < b) that share a band and look alike by their signatures."""
-    spark = signed.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once = settle(signed.where("sig IS NOT NULL").groupBy("content").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, block) to pairs (a, b) of a roaming member and one at home in the block, of two labels, that look alike."""
+
+    def pairs(made: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        x, y = list(zip(*dict.fromkeys(made))) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+
+    for rows, edges in _grouped(batches):
+        content, sig = np.array(rows.column("content").to_pylist(), dtype=object), _signatures(rows.column("sig"))
+        label = np.array(rows.column("label").combine_chunks().dictionary_encode().indices)
+        roams, home = rows.column("roams").to_numpy(), rows.column("home").to_numpy()
+        out: list[tuple[bytes, bytes]] = []
+        for s, e in zip(edges[:-1], edges[1:]):
+            asking, there = s + np.flatnonzero(roams[s:e]), s + np.flatnonzero(home[s:e])
+            for k in range(0, len(asking), 32):
+                some = asking[k : k + 32]
+                equal = (sig[some][:, None, :] == sig[there][None, :, :]).sum(axis=2, dtype=np.uint16)
+                i, j = np.nonzero((equal >= LIKELY * BANDS * ROWS) & (label[some][:, None] != label[there][None, :]))
+                out.extend((min(x, y), max(x, y)) for x, y in zip(content[some[i]], content[there[j]]))
+                if len(out) > 20_000:
+                    yield pairs(out)
+                    out = []
+        if out:
+            yield pairs(out)
+
+
+def once_each(signed: DataFrame) -> DataFrame:
+    """content, sig and keys of each content of five words or more."""
+    return settle(signed.where("sig IS NOT NULL").groupBy("content").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+
+
+def _sizes(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` with the number of blocks of their bucket (of n) and a block."""
+    return members.withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn(
+        "block", F.pmod(F.xxhash64("content", "key"), F.col("blocks")).cast("int")
+    )
+
+
+def candidates(once: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Distinct pairs of contents (a < b) that share a band and look alike: all of small buckets, those with leaders and neighbours of large ones."""
+    width = int(once.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = once.select("content", F.explode("keys").alias("key"))
     found = []
     while True:
-        sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        members = (
-            entries.join(sizes, "key")
-            .withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
-            .withColumn("block", F.pmod(F.xxhash64("content", "key"), F.col("blocks")).cast("int"))
-            .drop("n")
-        )
         met = settle(
-            members.join(once.select("content", "sig"), "content")
+            _dealt(entries.join(sizes, "key"))
+            .drop("n")
+            .join(once.select("content", "sig"), "content")
             .repartition(width, "key", "block")
             .sortWithinPartitions("key", "block", "content")
             .select("key", "block", "blocks", "content", "sig")
@@ -175,12 +220,42 @@ def candidates(signed: DataFrame) -> DataFrame:
         entries = met.where("b IS NULL").select(F.col("a").alias("content"), "key")
         if entries.isEmpty():
             break
+        sizes = _sizes(entries)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
     return pairs.distinct()
 
 
+def remaining(once: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of two components that share a large bucket and look alike.
+
+    Members outside a bucket's commonest component roam all its blocks; buckets of one
+    component have none left.
+    """
+    width = int(once.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = (
+        once.select("content", F.explode("keys").alias("key"))
+        .join(sizes.where(f"n > {ALL_PAIRS}"), "key")
+        .join(labels.withColumnRenamed("node", "content"), "content", "left")
+        .withColumn("label", F.coalesce("label", "content"))
+    )
+    members = settle(_dealt(members))
+    shares = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("commonest"), F.count("*").alias("labels")).where("labels > 1")
+    placed = members.join(mixed, "key").withColumn("roams", F.expr("label <> commonest"))
+    everywhere = placed.withColumn("at", F.explode(F.expr("if(roams, sequence(0, blocks - 1), array(block))")))
+    return (
+        everywhere.select("key", F.col("at").alias("block"), "content", "label", "roams", F.expr("at = block").alias("home"))
+        .join(once.select("content", "sig"), "content")
+        .repartition(width, "key", "block")
+        .sortWithinPartitions("key", "block", "content")
+        .select("key", "block", "content", "sig", "label", "roams", "home")
+        .mapInArrow(_across, "a binary, b binary")
+        .distinct()
+    )
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in sliced(whole):
@@ -203,9 +278,8 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The candidates whose shingle sets (as 32-bit hashes) have a Jaccard similarity of 0.8 or more."""
-    pairs = settle(candidates(signed))
+def checked(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets (as 32-bit hashes) have a Jaccard similarity of 0.8 or more."""
     ids = pairs.select(F.col("a").alias("content")).union(pairs.select(F.col("b").alias("content"))).distinct()
     chosen = signed.select("doc_id", "content").join(ids, "content").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     wanted = chosen.select("doc_id").distinct()
@@ -219,6 +293,22 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     )
 
 
+def joined(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(node, label): the components of the contents that have a near-duplicate."""
+    once = once_each(signed)
+    sizes = settle(_sizes(once.select(F.explode("keys").alias("key"))))
+    pairs = settle(candidates(once, sizes))
+    links = checked(docs, signed, pairs)
+    labels = components(links)
+    if sizes.where(f"n > {ALL_PAIRS}").isEmpty():
+        return labels
+    more = settle(remaining(once, sizes, labels).join(pairs, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return labels
+    late = checked(docs, signed, more)
+    return labels if late.isEmpty() else components(links.union(late))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and representative for each row: class_id is the least doc_id of its class.
 
@@ -227,7 +317,7 @@ def classes(docs: DataFrame) -> DataFrame:
     word (null, empty) are one class; an empty table gives no rows.
     """
     signed = settle(sign(docs))
-    labels = components(links(docs, signed))
+    labels = joined(docs, signed)
     placed = signed.select("doc_id", "content").join(labels.withColumnRenamed("node", "content"), "content", "left")
     placed = placed.select("doc_id", F.coalesce("label", "content").alias("label"))
     heads = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))

@@ -233,6 +233,25 @@ def test_near_duplicate_classes(spark, monkeypatch):
     assert out == {i + 1: root(i) + 1 for i in range(len(texts))}
 
 
+def test_a_large_bucket_hides_no_link(spark, monkeypatch):
+    """Members of a large group that look like its leaders each have a near copy of their own, which no leader has."""
+    monkeypatch.setattr(near_dup, "BLOCK", 30)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(60):
+        texts.append(" ".join(f"own{i}" if k == 6 * i + 10 else w for k, w in enumerate(base)))
+    for i in range(40):
+        words = texts[i].split()
+        for j in range(8):  # eight of 396 shingles' places: 0.816 to its own member, 0.796 to the group's core
+            words[(6 * i + 10 + 40 * (j + 1)) % 380 + 5] = f"far{i}x{j}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert all(alike(sets[60 + i], sets[i]) for i in range(40)) and sum(alike(sets[60 + i], sets[j]) for i in range(40) for j in range(60)) < 60
+    out = [r["class_id"] for r in near_dup.classes(frame(spark, texts)).collect()]
+    assert out == [1] * 100
+
+
 def test_toxicity_learns_words_and_disguises(spark):
     r = random.Random(1)
     texts, labels = [], []
