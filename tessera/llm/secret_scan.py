@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-A candidate is a maximal run of key characters. Its encoding is inferred (hexadecimal,
+A candidate is a maximal run of key characters, after ``=`` as well. Its encoding is inferred (hexadecimal,
 base 32 or base 64); the run is then tested for what an encoded random key shows and
 prose does not:
 
@@ -31,7 +31,7 @@ from tessera.llm.shared import documents, table
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 KINDS = ("assign", "access", "hex", "random")
 #: The rate of false discoveries, the level at which a test refuses, and how often text changes its kind of character.
 RATE, REFUSED, CHANGES = 0.01, 0.001, 0.1

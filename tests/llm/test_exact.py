@@ -190,6 +190,15 @@ def test_random_keys_are_found_and_words_are_not():
     assert not any(secret_scan.discoveries(words)) and not any(secret_scan.discoveries([w.capitalize() + "-" + w for w in words]))
 
 
+def test_keys_after_an_equals_sign_are_candidates():
+    key = "q8Zr+T2vLx0WmYb7KdJ5uNs9HgEaPf3C/iRo1XkB"
+    for before, after in (("AccountKey=", "=="), ("auth=", ""), ("https://a.b/c?sig=", "&x=1"), ("a_name_of_twenty_characters=", " end")):
+        text = before + key + after
+        start, padding = len(before), len(after) if after == "==" else 0
+        assert secret_scan.scan(text)[-1] == f"random:{start}:{start + len(key) + padding}", text
+        assert secret_scan.redacted(text)[0] == before + "[random]" + after[padding:]
+
+
 def test_darts_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     elements = r.integers(1, 1 << 62, 400).astype(np.uint64)
