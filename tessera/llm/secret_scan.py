@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-A candidate is a maximal run of key characters, after ``=`` as well. Its encoding is inferred (hexadecimal,
-base 32 or base 64); the run is then tested for what an encoded random key shows and
+A candidate is a maximal run of key characters, after ``=`` as well. Its encoding is inferred (hexadecimal, plain
+or in groups with dashes, base 32, base 36 or base 64); the run is then tested for what an encoded random key shows and
 prose does not:
 
 * chi-squared uniformity over the encoding's alphabet, in eight equal blocks of it;
@@ -39,8 +39,16 @@ RATE, REFUSED, CHANGES = 0.01, 0.001, 0.1
 _B64 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {"-": 62, "_": 63}
 _B32 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")}
 _HEX = {c: i for i, c in enumerate("0123456789abcdef")} | {c: i for i, c in enumerate("ABCDEF", 10)}
-#: The encodings, the narrowest first.
-ENCODINGS = (("hex", _HEX, 16, re.compile(r"[0-9a-f]+|[0-9A-F]+")), ("base32", _B32, 32, re.compile(r"[A-Z2-7]+")), ("base64", _B64, 64, re.compile(r"[A-Za-z0-9+/_-]+")))
+_B32L = {c.lower(): i for c, i in _B32.items()}
+_B36 = {c: i for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyz")} | {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 10)}
+#: The encodings, the narrowest first. The dashes of a grouped run are no values.
+ENCODINGS = (
+    ("hex", _HEX, 16, re.compile(r"[0-9a-f]+|[0-9A-F]+")),
+    ("grouped hex", _HEX, 16, re.compile(r"[0-9a-f]+(?:-[0-9a-f]+)+|[0-9A-F]+(?:-[0-9A-F]+)+")),
+    ("base32", _B32 | _B32L, 32, re.compile(r"[A-Z2-7]+|[a-z2-7]+")),
+    ("base36", _B36, 36, re.compile(r"[A-Z0-9]+|[a-z0-9]+")),
+    ("base64", _B64, 64, re.compile(r"[A-Za-z0-9+/_-]+")),
+)
 
 
 def tail_normal(z: float) -> float:
@@ -67,7 +75,7 @@ def infer(run: str) -> tuple[str, list[int], int]:
     body = run.rstrip("=")
     for name, values, size, pattern in ENCODINGS:
         if pattern.fullmatch(body):
-            return name, [values[c] for c in body], size
+            return name, [values[c] for c in body if c in values], size
     return "none", [], 0
 
 
@@ -77,8 +85,9 @@ def refused(values: list[int], size: int) -> bool:
     counts = [0] * blocks
     for v in values:
         counts[v * blocks // size] += 1
-    expected = n / blocks
-    if tail_chi2(sum((c - expected) ** 2 for c in counts) / expected, blocks - 1) < REFUSED:
+    # a block has (size / 8) values of the alphabet, or one more or less where 8 does not divide it
+    expected = [n * (-(-(k + 1) * size // blocks) - -(-k * size // blocks)) / size for k in range(blocks)]
+    if tail_chi2(sum((c - e) ** 2 / e for c, e in zip(counts, expected)), blocks - 1) < REFUSED:
         return True
     high = [v * 2 >= size for v in values]
     a = sum(high)
@@ -103,10 +112,11 @@ def kind(c: str) -> int:
 
 def p_value(run: str) -> float:
     """The chance that written text changes its kind of character so often; 1 if a test refuses the run."""
-    _, values, size = infer(run)
+    name, values, size = infer(run)
     if not size or refused(values, size):
         return 1.0
-    kinds = [kind(c) for c in run.rstrip("=")]
+    body = run.rstrip("=")
+    kinds = [kind(c) for c in (body.replace("-", "") if name == "grouped hex" else body)]
     return tail_binomial(sum(x != y for x, y in zip(kinds, kinds[1:])), len(kinds) - 1, CHANGES)
 
 

@@ -190,6 +190,27 @@ def test_random_keys_are_found_and_words_are_not():
     assert not any(secret_scan.discoveries(words)) and not any(secret_scan.discoveries([w.capitalize() + "-" + w for w in words]))
 
 
+def test_keys_of_other_alphabets_are_found():
+    import uuid
+
+    r = random.Random(2)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    makers = {
+        "base36": lambda: "".join(r.choices(lower + "0123456789", k=40)),
+        "capital base36": lambda: "".join(r.choices(upper + "0123456789", k=40)),
+        "lower base32": lambda: "".join(r.choices(lower + "234567", k=52)),
+        "uuid": lambda: str(uuid.UUID(int=r.getrandbits(128), version=4)),
+    }
+    found = {name: sum(secret_scan.discoveries([make()])[0] for _ in range(200)) for name, make in makers.items()}
+    assert min(found.values()) >= 170, found
+    counts = [0] * 8
+    for v in range(36):
+        counts[v * 8 // 36] += 1
+    assert not secret_scan.refused(r.sample(list(range(36)) * 10, 360), 36) and counts == [5, 4, 5, 4, 5, 4, 5, 4]
+    for text in ("aaaaaaaa-bbbbbbbb-cccccccc", "2024-01-02-03-04-05-06-07", "averylongcompoundwordwithoutanykey", "AVERYLONGCOMPOUNDWORDWITHOUTANYKEY", "chapter12sectionnumber3page"):
+        assert secret_scan.discoveries([text]) == [False], text
+
+
 def test_keys_after_an_equals_sign_are_candidates():
     key = "q8Zr+T2vLx0WmYb7KdJ5uNs9HgEaPf3C/iRo1XkB"
     for before, after in (("AccountKey=", "=="), ("auth=", ""), ("https://a.b/c?sig=", "&x=1"), ("a_name_of_twenty_characters=", " end")):
