@@ -265,7 +265,7 @@ def test_near_duplicate_classes(spark, monkeypatch):
 
 def test_a_large_bucket_hides_no_link(spark, monkeypatch):
     """Members of a large group that look like its leaders each have a near copy of their own, which no leader has."""
-    monkeypatch.setattr(near_dup, "BLOCK", 30)
+    monkeypatch.setattr(near_dup, "BLOCK", 60)
     base = [f"w{i}" for i in range(400)]
     texts = []
     for i in range(60):
