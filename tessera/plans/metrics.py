@@ -294,7 +294,7 @@ def balanced_subset(d):
     SELECT source, doc_id FROM k WHERE k <= 2 ORDER BY source, doc_id LIMIT 10"""
 
 
-@book.both("TOP8 EXP43")
+@book.both("TOP8")
 def seeded_sample(d):
     """A hundred documents by a seeded digest: the same ones on every run and engine."""
     return f"SELECT doc_id, {d.sha("'42:' || doc_id")} AS draw FROM {d.t('documents')} ORDER BY {d.sha("'42:' || doc_id")} LIMIT 100"

@@ -69,7 +69,7 @@ def dense_l2_topk(d):
     SELECT * FROM (SELECT query_id, vec_id, distance, {d.i('row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)')} AS rank FROM s) x WHERE rank <= 10"""
 
 
-@book.both("RET4 WIN2")
+@book.both("WIN2")
 def dense_cosine_topk(d):
     """The ten most similar vectors of every 50th one by cosine."""
     return f"""
@@ -198,7 +198,7 @@ def token_df_idf(d):
     SELECT token, df, round(ln(1 + (n - df + {d.d('0.5')}) / (df + {d.d('0.5')})), 6) AS idf FROM p, n WHERE df > 1"""
 
 
-@book.both("FN2 FN3 FN4 JOIN6 WIN5 TOP3")
+@book.both("FN2 FN3 FN4 TOP3")
 def section_rank(d):
     """The two sections (first words of a document) of each passage by weighted token overlap."""
     return f"""

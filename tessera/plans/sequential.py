@@ -45,7 +45,7 @@ b AS (SELECT conv_id, turn, k, n AS used, 0::BIGINT AS batch, target FROM g WHER
 SELECT conv_id, turn, batch FROM b"""
 
 
-@book.frame("WIN21 CNV11", BATCHES)
+@book.frame("WIN21", BATCHES)
 def greedy_turn_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of each conversation packed in order into even batches of about 300 characters."""
     turns = table(spark, folder, "conversations").withColumn("n", F.length("text"))

@@ -272,7 +272,7 @@ def ordered_distinct(d):
     SELECT source, {d.listed('word', ',', 'first_id, word')} AS words, count(*) AS n FROM f WHERE word <> '' GROUP BY source"""
 
 
-@book.both("CNV3 CNV5 CNV11 SUB91")
+@book.both("CNV3 SUB91")
 def conversation_summary(d):
     """The last three user turns of each conversation and its distinct long words, in order."""
     return f"""
