@@ -1,7 +1,9 @@
 """MinHash near-duplicates: DartMinHash signatures, banded joining, an exact check, classes.
 
-Texts are sets of five-word shingles; two are near-duplicates from a Jaccard similarity
-of 0.8. The unit of work is a content (a sequence of words); rows with the same content
+Texts are bags of five-word shingles, each weighing as often as it occurs; two are
+near-duplicates from a weighted Jaccard similarity (sum of the lesser weights over sum of
+the greater ones) of 0.8. Where no shingle repeats that is the Jaccard similarity of sets.
+The unit of work is a content (a sequence of words); rows with the same content
 are one from the start and meet again only in the result. Shorter texts than five words
 are near-duplicates of their own content alone, and all texts without a word are one class.
 
@@ -11,8 +13,10 @@ compares all; a larger one holds contents that look alike, and compares each wit
 coordinates) and with its neighbours in signature order. Buckets over ``BLOCK`` contents
 are split, and the blocks' leaders meet in a further round until one block is left. That
 puts most of a large bucket into one component with few pairs. The rest is exact: members
-outside a large bucket's commonest component meet all its members of other components, in
-every block. So two contents that share a band are in one class already or are compared.
+outside a large bucket's commonest component meet all its members of other components, a
+block of the ones with a block of the others at a time, and are checked there, where their
+shingles have come along; only links that join two components leave the task. So two
+contents that share a band are in one class already or are compared.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.batches import sliced
 from tessera.llm.components import components
 from tessera.llm.darts import signatures
-from tessera.llm.shared import documents, settle, table
+from tessera.llm.shared import documents, settle, table, whole
 from tessera.llm.wordhash import contents, mix, ranges, windows, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -43,8 +47,8 @@ SURE = 0.92
 _U = np.uint64
 
 
-def _shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of a batch, their rows, the number of words of each row and its content."""
+def _shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of a batch, their rows and how often they occur, the number of words of each row and its content."""
     hashes, first = word_hashes(batch.column("text"))
     at, found = windows(hashes, first, SHINGLE)
     row = np.searchsorted(first, at, side="right") - 1
@@ -52,7 +56,8 @@ def _shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     found, row = found[order], row[order]
     new = np.ones(len(found), dtype=bool)
     new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-    return found[new], row[new], np.diff(first), contents(hashes, first)
+    times = np.diff(np.append(np.flatnonzero(new), len(found)))
+    return found[new], row[new], times, np.diff(first), contents(hashes, first)
 
 
 def _content(pairs: np.ndarray) -> pa.Array:
@@ -62,8 +67,8 @@ def _content(pairs: np.ndarray) -> pa.Array:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in sliced(whole):
-            found, row, n_words, content = _shingles(batch)
-            drawn = signatures(found, row, batch.num_rows, BANDS * ROWS)
+            found, row, times, n_words, content = _shingles(batch)
+            drawn = signatures(found, row, batch.num_rows, BANDS * ROWS, times)
             keys = ranges(mix(drawn.ravel() + _U(1)), *(lambda s: (s, s + ROWS))(np.arange(0, drawn.size, ROWS)), 0xD1342543DE82EF95)
             keys = (keys.reshape(-1, BANDS) + mix(np.arange(BANDS, dtype=np.uint64))).view(np.int64)
             short = n_words < SHINGLE
@@ -160,29 +165,43 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, block) to pairs (a, b) of a roaming member and one at home in the block, of two labels, that look alike."""
-
-    def pairs(made: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        x, y = list(zip(*dict.fromkeys(made))) or [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+    """Rows sorted by (key, block) to links (a, b) of an asking member and one at home in the block.
 
+    A pair of two labels that looks alike is checked in full; a link joins their labels, so
+    that a block gives fewer links than it has labels.
+    """
     for rows, edges in _grouped(batches):
         content, sig = np.array(rows.column("content").to_pylist(), dtype=object), _signatures(rows.column("sig"))
         label = np.array(rows.column("label").combine_chunks().dictionary_encode().indices)
-        roams, home = rows.column("roams").to_numpy(), rows.column("home").to_numpy()
+        asks, home = rows.column("asks").to_numpy(), rows.column("home").to_numpy()
+        sets = [np.frombuffer(x, dtype=np.uint32) for x in rows.column("shingles").to_pylist()]
         out: list[tuple[bytes, bytes]] = []
         for s, e in zip(edges[:-1], edges[1:]):
-            asking, there = s + np.flatnonzero(roams[s:e]), s + np.flatnonzero(home[s:e])
+            here = label[s:e].copy()  # the labels as the block's own links join them
+            asking, there = np.flatnonzero(asks[s:e]), np.flatnonzero(home[s:e])
             for k in range(0, len(asking), 32):
                 some = asking[k : k + 32]
-                equal = (sig[some][:, None, :] == sig[there][None, :, :]).sum(axis=2, dtype=np.uint16)
-                i, j = np.nonzero((equal >= LIKELY * BANDS * ROWS) & (label[some][:, None] != label[there][None, :]))
-                out.extend((min(x, y), max(x, y)) for x, y in zip(content[some[i]], content[there[j]]))
-                if len(out) > 20_000:
-                    yield pairs(out)
-                    out = []
-        if out:
-            yield pairs(out)
+                equal = (sig[s + some][:, None, :] == sig[s + there][None, :, :]).sum(axis=2, dtype=np.uint16)
+                for i, agree in zip(some, equal):
+                    near = np.flatnonzero(agree >= LIKELY * BANDS * ROWS)
+                    near = there[near[np.argsort(-agree[near].astype(np.int64), kind="stable")]]
+                    while len(near := near[here[near] != here[i]]):
+                        part, near = near[:64], near[64:]
+                        for j in part[_alike(sets[s + i], [sets[s + j] for j in part])]:
+                            if here[j] != here[i]:
+                                out.append((min(content[s + i], content[s + j]), max(content[s + i], content[s + j])))
+                                here[here == here[j]] = here[i]
+        x, y = list(zip(*dict.fromkeys(out))) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+
+
+def _alike(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Whether each of ``others`` has a similarity of SIMILARITY or more with ``one`` (sorted hashes, none empty)."""
+    lengths = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    common = np.add.reduceat(one[at] == flat, np.cumsum(lengths) - lengths, dtype=np.int64)
+    return common >= SIMILARITY * (len(one) + lengths - common)
 
 
 def once_each(signed: DataFrame) -> DataFrame:
@@ -227,11 +246,11 @@ def candidates(once: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def remaining(once: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of two components that share a large bucket and look alike.
+def remaining(docs: DataFrame, signed: DataFrame, once: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a < b) that join two components and share a large bucket.
 
-    Members outside a bucket's commonest component roam all its blocks; buckets of one
-    component have none left.
+    Members outside a bucket's commonest component ask all its blocks; buckets of one
+    component have none left. A task sees a block of members that ask and one that is asked.
     """
     width = int(once.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = (
@@ -243,23 +262,34 @@ def remaining(once: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame
     members = settle(_dealt(members))
     shares = members.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("commonest"), F.count("*").alias("labels")).where("labels > 1")
-    placed = members.join(mixed, "key").withColumn("roams", F.expr("label <> commonest"))
-    everywhere = placed.withColumn("at", F.explode(F.expr("if(roams, sequence(0, blocks - 1), array(block))")))
+    placed = settle(members.join(mixed, "key").select("key", "content", "label", "block", "blocks", F.expr("label <> commonest").alias("roams")))
+    sets = shingle_sets(docs, signed, placed.select("content").distinct())
+    at = F.explode(
+        F.expr(
+            "array_union(transform(sequence(0, blocks - 1), x -> struct(block AS asked, x AS asking)), "
+            "if(roams, transform(sequence(0, blocks - 1), x -> struct(x AS asked, block AS asking)), array()))"
+        )
+    )
     return (
-        everywhere.select("key", F.col("at").alias("block"), "content", "label", "roams", F.expr("at = block").alias("home"))
-        .join(once.select("content", "sig"), "content")
+        placed.join(once.select("content", "sig"), "content")
+        .join(sets, "content")
+        .withColumn("at", at)
+        .select("key", F.expr("at.asked * blocks + at.asking").cast("int").alias("block"), "content", "sig", "label", "shingles",
+                F.expr("roams AND at.asking = block").alias("asks"), F.expr("at.asked = block").alias("home"))
         .repartition(width, "key", "block")
         .sortWithinPartitions("key", "block", "content")
-        .select("key", "block", "content", "sig", "label", "roams", "home")
         .mapInArrow(_across, "a binary, b binary")
         .distinct()
     )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents and their shingles as sorted 32-bit hashes; the second and later occurrences of a shingle are elements of their own."""
     for whole in batches:
         for batch in sliced(whole):
-            found, row, _, content = _shingles(batch)
+            found, row, times, _, content = _shingles(batch)
+            nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            found, row = mix(np.repeat(found, times) + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), np.repeat(row, times)
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             small = (found >> _U(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
@@ -267,6 +297,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def shingle_sets(docs: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
+    """content and shingles of the contents in ``ids``, from one row of each."""
+    chosen = signed.select("doc_id", "content").join(ids, "content").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
+    wanted = chosen.select("doc_id").distinct()
+    texts = documents(docs).join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    return settle(texts.select("text").mapInArrow(_sets, "content binary, shingles binary").join(ids, "content", "left_semi").dropDuplicates(["content"]))
+
+
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -279,13 +317,8 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def checked(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets (as 32-bit hashes) have a Jaccard similarity of 0.8 or more."""
-    ids = pairs.select(F.col("a").alias("content")).union(pairs.select(F.col("b").alias("content"))).distinct()
-    chosen = signed.select("doc_id", "content").join(ids, "content").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    wanted = chosen.select("doc_id").distinct()
-    texts = documents(docs).join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets, "content binary, shingles binary").join(ids, "content", "left_semi").dropDuplicates(["content"])
-    sets = settle(sets)
+    """The pairs whose bags of shingles (as 32-bit hashes) have a similarity of 0.8 or more."""
+    sets = shingle_sets(docs, signed, pairs.select(F.col("a").alias("content")).union(pairs.select(F.col("b").alias("content"))).distinct())
     return settle(
         pairs.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("y")), "b")
@@ -297,16 +330,22 @@ def joined(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(node, label): the components of the contents that have a near-duplicate."""
     once = once_each(signed)
     sizes = settle(_sizes(once.select(F.explode("keys").alias("key"))))
-    pairs = settle(candidates(once, sizes))
-    links = checked(docs, signed, pairs)
+    links = checked(docs, signed, settle(candidates(once, sizes)))
     labels = components(links)
     if sizes.where(f"n > {ALL_PAIRS}").isEmpty():
         return labels
-    more = settle(remaining(once, sizes, labels).join(pairs, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return labels
-    late = checked(docs, signed, more)
-    return labels if late.isEmpty() else components(links.union(late))
+    late = settle(remaining(docs, signed, once, sizes, labels))
+    return labels if late.isEmpty() else merged(labels, late)
+
+
+def merged(labels: DataFrame, late: DataFrame) -> DataFrame:
+    """``labels`` with the components that the ``late`` links join; a node without a label is its own component."""
+    ends = late.select(F.col("a").alias("node")).union(late.select(F.col("b").alias("node"))).distinct()
+    every = settle(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))))
+    of_a, of_b = (every.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
+    joins = components(late.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    top = joins.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return settle(every.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -318,22 +357,25 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     signed = settle(sign(docs))
     labels = joined(docs, signed)
-    placed = signed.select("doc_id", "content").join(labels.withColumnRenamed("node", "content"), "content", "left")
-    placed = placed.select("doc_id", F.coalesce("label", "content").alias("label"))
-    heads = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(heads, "label").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
+    # A row for each content from here to the last join: copies count once, however many there are.
+    firsts = signed.groupBy("content").agg(F.min("doc_id").alias("first"))
+    firsts = firsts.join(labels.withColumnRenamed("node", "content"), "content", "left").select("content", "first", F.coalesce("label", "content").alias("label"))
+    firsts = settle(firsts)
+    heads = firsts.groupBy("label").agg(F.min("first").alias("class_id"))
+    of_content = firsts.join(heads, "label").select("content", "class_id")
+    return signed.select("doc_id", "content").join(of_content, "content").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, with all columns of ``docs``.
+    """One row of each class, with all columns of ``docs``, whatever they are called.
 
     Rows are told apart by id and text together, so rows without an id or with equal ids
     keep their own classes, and of rows that are equal in both one stays.
     """
-    row = F.struct(F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    kept = classes(docs.select(row.alias("doc_id"), "text")).where("representative").select(F.col("doc_id").alias("__row")).distinct()
-    one = docs.withColumn("__row", row).join(kept, "__row", "left_semi")
-    return one.withColumn("__n", F.row_number().over(W.partitionBy("__row").orderBy("__row"))).where("__n = 1").select(*docs.columns)
+    own = F.struct(F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")).alias("own")
+    kept = classes(docs.select(own.alias("doc_id"), "text")).where("representative").select(F.col("doc_id").alias("own")).distinct()
+    one = docs.select(whole(docs), own).join(kept, "own", "left_semi")
+    return one.withColumn("nth", F.row_number().over(W.partitionBy("own").orderBy("own"))).where("nth = 1").select("row.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

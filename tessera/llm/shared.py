@@ -34,6 +34,11 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more)
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of ``docs`` in one struct, so that names of our own beside it clash with none; ``select("row.*")`` gives them back."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
