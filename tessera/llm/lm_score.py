@@ -1,10 +1,14 @@
 """Language-model scores of documents: a byte PPM trained on the corpus, beside a smoothed word model.
 
-One pass over the documents makes two kinds of tables in the shared folder: byte windows
-with their counts, packed for each task, and words (as 64-bit hashes) with their counts
-and places, packed for each slice of documents. Words are counted by hash range; the
-counts come back to the slices, not to texts. The trie has a bounded number of nodes (see
-``ppm``), so it can be sent to every executor whatever the corpus is.
+A pass over the documents makes slices: some documents with their texts, the slice's
+distinct byte windows and its distinct words, each with how often training texts have it.
+Windows and words go to parts by a hash, of which there are as many as the size of the
+texts asks for. A part adds the slices' counts up and answers each slice in its own order:
+counts of words, and probabilities of windows that training has seen. The rest, windows of
+held-out texts alone, goes down the trie's levels, each dealt by a hash of its own shorter
+context, until its symbol is found. The whole trie is in the parts and grows with the
+corpus; only the nodes of the two lowest orders, at most 65,792, are sent to executors.
+Answers come back to the slices, where documents are scored.
 """
 
 from __future__ import annotations
@@ -19,14 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import sliced
-from tessera.llm.ppm import ORDER, Model, counted, nodes, normal, symbols
+from tessera.llm.ppm import END, ORDER, Asked, Level, counted, mask, normal, pieces, resolve, unseen
 from tessera.llm.shared import documents, settle, shared_folder, table
-from tessera.llm.wordhash import contents, mix, word_hashes
+from tessera.llm.wordhash import mix, word_hashes
 
 #: A document is held out if crc32 of its id as text leaves 0; one without an id is not.
 FOLDS = 10
-#: Distinct windows that a task gathers before it sends them.
-GATHERED = 1_500_000
+#: Bytes of normal text in a slice (a longer text is a slice of its own), and bytes of text for each part.
+SLICE, PART = 12 << 20, 16 << 20
+#: Small tables have parts of at least so many bytes, as far as there are cores for them.
+SMALL = 1 << 20
 
 _U = np.uint64
 
@@ -35,236 +41,353 @@ def held_out(ids: list) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % FOLDS == 0 for i in ids], dtype=bool)
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """Whole numbers as ``width`` planes of bytes, which compress better than the numbers in a row."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def _small(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _numbers(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+def _large(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of as many bytes as the largest needs, which compress better than the numbers in a row."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + _small(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_large(data[1:]), np.uint8).reshape(data[0], -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
+    out[:, : data[0]] = planes.T
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _width(values: np.ndarray) -> int:
-    return max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+def _floats(data: bytes) -> np.ndarray:
+    return np.frombuffer(_large(data), "<f8")
 
 
-def _packed(values: np.ndarray) -> bytes:
-    width = _width(values)
-    return bytes([width]) + _planes(values, width)
+def _rounded(logs: np.ndarray) -> np.ndarray:
+    """Logs of probabilities in steps of 2**-20, from 1; 0 where there is none."""
+    return np.where(np.isnan(logs), 0, np.minimum(np.rint(-logs * 2.0**20), 2.0**24 - 2) + 1).astype(np.uint64)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return _numbers(data[1:], data[0])
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(hashes) % _U(parts)).astype(np.int64)
 
 
-def _lower(batch: pa.RecordBatch) -> pa.Array:
-    """The texts as bytes with A-Z lower-cased."""
-    texts = [(t or b"").lower() for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-    return pa.array(texts, pa.large_binary())
+def _dealt(part: np.ndarray, parts: int) -> list[np.ndarray]:
+    """For each part the places of its values, in their order."""
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.searchsorted(part[order], np.arange(1, parts)))
 
 
-def _keys(ids: list, content: np.ndarray) -> list[str]:
-    return [f"{'' if i is None else i}:{c.tobytes().hex()}" for i, c in zip(ids, np.ascontiguousarray(content))]
+def _context(windows: np.ndarray, order: int) -> np.ndarray:
+    """The context of ``order`` bytes; all its windows of that order go to one part."""
+    return (windows & mask(order)) >> _U(8)
 
 
-def _dealt(values: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Windows by a hash of their context, so that a part has all symbols of its contexts."""
-    part = (mix(values >> _U(8)) % _U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    values, counts, part = values[order], counts[order], part[order]
-    cuts = np.searchsorted(part, np.arange(parts + 1))
-    for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if e > s:
-            yield p, values[s:e], counts[s:e]
+def _lower(batch: pa.RecordBatch) -> list[bytes]:
+    return [normal(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
 
 
-_GATHERED = "kind string, part int, slice string, n bigint, a binary, b binary, c binary, keys array<string>"
+def _words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words and each text's first index, of about a megabyte of texts at a time (a longer text comes alone)."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= 1 << 20:
+            yield word_hashes(pa.array(held, pa.large_binary()))
+            held, n = [], 0
+    if held:
+        yield word_hashes(pa.array(held, pa.large_binary()))
 
 
-def gather(docs: DataFrame, parts: int) -> DataFrame:
-    """The packed tables of a pass over ``docs``: kind 'windows', 'words' and 'places'."""
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
-    def row(kind, part=None, slice_=None, n=0, a=None, b=None, c=None, keys=None):
-        return kind, part, slice_, n, a, b, c, keys
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows))
-        types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()))
-        names = ["kind", "part", "slice", "n", "a", "b", "c", "keys"]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+def _places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and the place of each value among them."""
+    distinct, place = np.unique(values, return_inverse=True)
+    return distinct, place.astype(np.uint32)
 
-    def sent(held: list[tuple]) -> list[tuple]:
-        values, counts = counted(np.concatenate([v for v, _ in held]), np.concatenate([c for _, c in held]))
-        return [row("windows", p, None, int(c.sum()), _planes(v, ORDER + 1), _packed(c)) for p, v, c in _dealt(values, counts, parts)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for whole in batches:
-            for batch in sliced(whole):
-                ids = batch.column("doc_id").to_pylist()
-                lower = _lower(batch)
-                out_ = held_out(ids)
-                hashes, first = word_hashes(lower)
-                train = [normal(t) for t, o in zip(lower.to_pylist(), out_) if not o]
-                if train:
-                    held.append(counted(symbols(train)[0]))
-                    size += len(held[-1][0])
-                doc = np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(first))
-                distinct, place = np.unique(hashes, return_inverse=True)
-                pair, n = counted(doc << _U(32) | place.astype(np.uint64))
-                trained = np.bincount((pair & _U(0xFFFFFFFF)).astype(np.int64), weights=n * ~out_[(pair >> _U(32)).astype(np.int64)], minlength=len(distinct)).astype(np.uint64)
-                name = uuid.uuid4().hex
-                cuts = np.searchsorted(distinct, np.array([(1 << 64) * k // parts for k in range(parts)], dtype=np.uint64))
-                rows = [
-                    row("words", p, name, 0, _planes(distinct[s:e], 8), _packed(trained[s:e]))
-                    for p, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(distinct)])) if e > s
-                ]
-                docs_first = np.searchsorted(pair >> _U(32), np.arange(len(ids) + 1, dtype=np.uint64)).astype(np.uint64)
-                keys = _keys(ids, contents(hashes, first))
-                rows.append(row("places", None, name, int((~out_).sum()), _packed(docs_first), _packed(pair & _U(0xFFFFFFFF)), _packed(n.astype(np.uint64)), keys))
-                yield out(rows)
-                if size >= GATHERED:
-                    yield out(sent(held))
-                    held, size = [], 0
-        if held:
-            yield out(sent(held))
-
-    return documents(docs).mapInArrow(run, _GATHERED)
-
-
-def _written(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
-    gather(docs, parts).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    return spark.read.schema(_GATHERED).parquet(path)
+class _Counts:
+    """Distinct values and their training counts, gathered and added up now and then."""
+
+    def __init__(self):
+        self.values, self.counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
+    def add(self, values: np.ndarray, train: bool) -> None:
+        v, c = np.unique(values, return_counts=True)
+        self.values.append(v)
+        self.counts.append(c if train else np.zeros(len(c), np.int64))
+        if len(self.values) > 5:
+            v, c = self.all()
+            self.values, self.counts = [v], [c]
 
-def train(gathered: DataFrame) -> Model:
-    """The trie of all training windows.
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return counted(np.concatenate(self.values), np.concatenate(self.counts))
 
-    Orders are merged one after another from the longest: a part merges the windows of
-    its contexts, keeps the nodes of that order, and sends what is left of each window
-    without its farthest byte on by the shorter context. So a frequent ending of contexts
-    gathers in one part only after it has been merged. What comes to the driver is
-    bounded: nodes by ``NODES`` an order, and order 1 by 65,536 for each part.
+
+def gather(docs: DataFrame, parts: int) -> DataFrame:
+    """Slices of ``docs``: a row of kind 'text' for each, and rows of kinds 'windows' and 'words' for the parts it has any of."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size, id_arrow = [], [], 0, None
+
+        def flush() -> pa.RecordBatch:
+            name, out = uuid.uuid4().hex, held_out(ids)
+            windows, words = _Counts(), _Counts()
+            for train in (True, False):
+                some = [t for t, o in zip(texts, out) if o != train]
+                for found, _, _ in pieces(some):
+                    windows.add(found, train)
+                for hashes, _ in _words(some):
+                    words.add(hashes, train)
+            rows = [("text", None, name, int((~out).sum()), _small(b"".join(texts)), None, list(ids))]
+            for kind, gathered in (("windows", windows), ("words", words)):
+                values, counts = gathered.all()
+                part = _part(values >> _U(8) if kind == "windows" else values, parts)
+                rows += [(kind, p, name, 0, _packed(values[at]), _packed(counts[at]), None) for p, at in enumerate(_dealt(part, parts)) if len(at)]
+            ids.clear(), texts.clear()
+            types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(id_arrow))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=["kind", "part", "slice", "n", "a", "b", "ids"])
+
+        for whole in batches:
+            for batch in sliced(whole):
+                id_arrow = batch.column("doc_id").type
+                for i, t in zip(batch.column("doc_id").to_pylist(), _lower(batch)):
+                    if texts and size + len(t) > SLICE:
+                        yield flush()
+                        size = 0
+                    ids.append(i)
+                    texts.append(t)
+                    size += len(t)
+        if texts:
+            yield flush()
+
+    return documents(docs).mapInArrow(run, f"kind string, part int, slice string, n bigint, a binary, b binary, ids array<{id_type}>")
+
+
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    kinds = {"kind": pa.string(), "slice": pa.string(), "part": pa.int32(), "n": pa.int64(), "m": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.table([pa.array(list(c), kinds[n]) for c, n in zip(columns, names)], names=names)
+
+
+_ROWS = "kind string, slice string, part int, a binary, b binary, c binary"
+_NAMES = ["kind", "slice", "part", "a", "b", "c"]
+
+
+def _down(order: int, level: Level, asked: Asked, parts: int) -> list[tuple]:
+    """Rows for the parts of the next shorter ``order``: this level's nodes there, and the windows that ask."""
+    rows = []
+    keys, counts = counted(level.keys & mask(order), level.counts.astype(np.int64))
+    if order > 1:
+        for p, at in enumerate(_dealt(_part(keys >> _U(8), parts), parts)):
+            if len(at):
+                rows.append(("node", None, p, _packed(keys[at]), _packed(counts[at]), None))
+    elif len(keys):
+        rows.append(("node", None, 0, _packed(keys), _packed(counts), None))
+    if len(asked.windows):
+        for p, at in enumerate(_dealt(_part(_context(asked.windows, order), parts), parts)):
+            if len(at):
+                some = asked[at]
+                rows.append(("ask", None, p, _packed(some.windows), _small(some.cost.astype("<f8").tobytes()), _small(some.excluded.tobytes())))
+    return rows
+
+
+def _asking(rows: pa.Table) -> Asked:
+    held = [r for r in rows.select(["kind", "a", "b", "c"]).to_pylist() if r["kind"] == "ask"]
+    if not held:
+        return Asked(np.zeros(0, np.uint64))
+    return Asked(
+        np.concatenate([_unpacked(r["a"]) for r in held]), np.concatenate([_floats(r["b"]) for r in held]),
+        np.concatenate([np.frombuffer(_large(r["c"]), np.uint8).reshape(-1, 32) for r in held]),
+    )
+
+
+def _found(windows: np.ndarray, logs: np.ndarray, parts: int) -> list[tuple]:
+    """Rows of kind 'found' for the parts of the highest order, where the slices have asked."""
+    return [
+        ("found", None, p, _packed(windows[at]), _small(logs[at].astype("<f8").tobytes()), None)
+        for p, at in enumerate(_dealt(_part(windows >> _U(8), parts), parts)) if len(at)
+    ]
+
+
+def probabilities(windows: DataFrame, parts: int) -> DataFrame:
+    """slice, part, kind, a and b: log10 probabilities of each slice's windows of each part.
+
+    Kind 'seen' has a number for each window in the slice's order, to 2**-20 (none where training
+    has not seen it), kind 'late' has the windows of the others and their numbers.
     """
-    windows = gathered.where("kind = 'windows'")
-    parts = int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = windows.agg(F.sum("n")).first()[0] or 0
-    found: dict[int, list] = {}
 
-    def merge(k: int):
+    def highest(rows: pa.Table) -> pa.Table:
+        slices, part = rows.column("slice").to_pylist(), rows.column("part")[0].as_py()
+        each = [_unpacked(a) for a in rows.column("a").to_pylist()]
+        values, counts = counted(np.concatenate(each), np.concatenate([_unpacked(b) for b in rows.column("b").to_pylist()]).astype(np.int64))
+        level = Level(values[counts > 0], counts[counts > 0])
+        logs = np.full(len(values), np.nan)
+        logs[counts > 0] = level.seen()
+        asked = Asked(values[counts == 0])
+        _, _, asked = resolve(asked, ORDER, level)
+        out = _down(ORDER - 1, level, asked, parts)
+        for name, own in zip(slices, each):
+            answer = logs[np.searchsorted(values, own)]
+            out.append(("seen", name, part, None, _packed(_rounded(answer)), None))
+            late = np.isnan(answer)
+            if late.any():
+                out.append(("late", name, part, _packed(own[late]), None, None))
+        return _table(out, _NAMES)
+
+    def lower(order: int):
         def run(rows: pa.Table) -> pa.Table:
-            values = np.concatenate([_numbers(a, k + 1) for a in rows.column("a").to_pylist()])
-            counts = np.concatenate([_unpacked(b) for b in rows.column("b").to_pylist()]).astype(np.int64)
-            values, counts = counted(values, counts)
-            v, n, w = nodes(values, counts, total, k, k)[k]
-            made = [(k, None, _planes(v, 8), _packed(n.astype(np.uint64)), _packed(w.astype(np.uint64)))] if len(v) else []
-            values, counts = counted(values & _U((1 << (8 * k)) - 1), counts)
-            made += [(-1, p, _planes(v, k), _packed(n.astype(np.uint64)), b"") for p, v, n in _dealt(values, counts, parts if k > 2 else 1)]
-            return pa.table([pa.array(list(x), t) for x, t in zip(zip(*made), (pa.int32(), pa.int32(), *[pa.binary()] * 3))], names=["k", "part", "a", "b", "c"])
+            held = [r for r in rows.select(["kind", "a", "b"]).to_pylist() if r["kind"] == "node"]
+            none = [np.zeros(0, np.uint64)]
+            level = Level(*counted(np.concatenate([_unpacked(r["a"]) for r in held] or none), np.concatenate([_unpacked(r["b"]) for r in held] or none).astype(np.int64)))
+            got, logs, left = resolve(_asking(rows), order, level)
+            return _table(_found(got, logs, parts) + _down(order - 1, level, left, parts), _NAMES)
 
         return run
 
-    rows = windows.select("part", "a", "b")
-    for k in range(ORDER, 1, -1):
-        merged = settle(rows.groupBy("part").applyInArrow(merge(k), "k int, part int, a binary, b binary, c binary"))
-        for r in merged.where("k >= 0").toLocalIterator():
-            found.setdefault(k, []).append((_numbers(bytes(r["a"]), 8), _unpacked(bytes(r["b"])).astype(np.int64), _unpacked(bytes(r["c"])).astype(np.int64)))
-        rows = merged.where("k < 0").select("part", "a", "b")
-    held = {k: tuple(np.concatenate(x) for x in zip(*them)) for k, them in found.items()}
-    low = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for r in rows.toLocalIterator():
-        more = _numbers(bytes(r["a"]), 2), _unpacked(bytes(r["b"])).astype(np.int64)
-        low = counted(np.concatenate([low[0], more[0]]), np.concatenate([low[1], more[1]]))
-    if len(low[0]):
-        held |= nodes(*low, total, 1, 0)
-    return Model(held)
-
-
-def _base(gathered: DataFrame) -> DataFrame:
-    """key, n_tokens, n_known, train_tokens and base_score of each distinct (id, content)."""
+    rows = settle(windows.repartition(parts, "part").groupBy("part").applyInArrow(highest, _ROWS))
+    first, found = rows, []
+    for order in range(ORDER - 1, 1, -1):
+        rows = settle(rows.where("kind IN ('node', 'ask')").repartition(parts, "part").groupBy("part").applyInArrow(lower(order), _ROWS))
+        found.append(rows.where("kind = 'found'"))
+    # What is left of the nodes is at most 65,536 rows, summed before they come to the driver.
+    one = rows.where("kind = 'node'").select("a", "b").mapInArrow(_rows, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
+    low = [(r["v"], r["n"]) for r in one.orderBy("v").toLocalIterator()]
+    keys, counts = np.array([v for v, _ in low], np.uint64), np.array([n for _, n in low], np.int64)
+    one, zero = Level(keys, counts), Level(*counted(keys & mask(0), counts))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, out = _asking(pa.Table.from_batches([batch])), []
+            for order, level in ((1, one), (0, zero)):
+                got, logs, left = resolve(left, order, level)
+                out += _found(got, logs, parts)
+            out += _found(left.windows, left.cost + unseen(zero), parts)
+            yield from _table(out, _NAMES).combine_chunks().to_batches()
+
+    found.append(rows.where("kind = 'ask'").mapInArrow(last, _ROWS))
+    answers = found[0]
+    for more in found[1:]:
+        answers = answers.union(more)
+
+    def sent(asked: pa.Table, got: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return _table([], _NAMES)
+        values = np.concatenate([_unpacked(a) for a in got.column("a").to_pylist()])
+        logs = np.concatenate([_floats(b) for b in got.column("b").to_pylist()])
+        order = np.argsort(values)
+        values, logs, out = values[order], logs[order], []
+        for name, part, a in zip(*(asked.column(c).to_pylist() for c in ("slice", "part", "a"))):
+            out.append(("late", name, part, a, _small(logs[np.searchsorted(values, _unpacked(a))].astype("<f8").tobytes()), None))
+        return _table(out, _NAMES)
+
+    late = first.where("kind = 'late'").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(sent, _ROWS)
+    return first.where("kind = 'seen'").union(late).select("kind", "slice", "part", "a", "b")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(a).astype(np.int64)), pa.array(_unpacked(b).astype(np.int64))], names=["v", "n"])
+
+
+def frequencies(words: DataFrame, parts: int) -> DataFrame:
+    """slice, part, kind 'count' and the training counts of each slice's words, with n and m, the part's distinct and all training words (in one row)."""
 
     def count(rows: pa.Table) -> pa.Table:
-        hashes = [_numbers(a, 8) for a in rows.column("a").to_pylist()]
-        trained = [_unpacked(b).astype(np.int64) for b in rows.column("b").to_pylist()]
-        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        c = np.zeros(len(distinct), np.int64)
-        np.add.at(c, place, np.concatenate(trained))
-        ends = np.cumsum([len(h) for h in hashes])
-        back = [_packed(c[place[e - len(h) : e]].astype(np.uint64)) for h, e in zip(hashes, ends)]
-        n = [int((c > 0).sum()), *([0] * (len(back) - 1))]
-        t = [int(c.sum()), *([0] * (len(back) - 1))]
-        return pa.table([rows.column("slice"), rows.column("part"), pa.array(back, pa.binary()), pa.array(n, pa.int64()), pa.array(t, pa.int64())], names=["slice", "part", "c", "v", "t"])
-
-    words = gathered.where("kind = 'words'").select("slice", "part", "a", "b")
-    counts = words.groupBy("part").applyInArrow(count, "slice string, part int, c binary, v bigint, t bigint")
-    counts = settle(counts)
-    places = gathered.where("kind = 'places'").select("slice", "n", "a", "b", "c", "keys")
-    sums = counts.agg(F.sum("v"), F.sum("t")).first()
-    ends = places.agg(F.sum("n")).first()[0] or 0  # an end for each training document
-    v, total = (sums[0] or 0) + (1 if ends else 0), (sums[1] or 0) + ends
-    whole = np.log10(total + 0.1 * (v + 1))
-
-    def score(place: pa.Table, back: pa.Table) -> pa.Table:
-        out = []
-        parts = sorted(zip(back.column("part").to_pylist(), back.column("c").to_pylist()))
-        c = np.concatenate([_unpacked(b) for _, b in parts]).astype(np.float64) if parts else np.zeros(0)
-        logs = np.log10(c + 0.1)
-        for firsts, words_, times, keys in zip(*(place.column(x).to_pylist() for x in ("a", "b", "c", "keys"))):
-            first, at, n = _unpacked(firsts).astype(np.int64), _unpacked(words_).astype(np.int64), _unpacked(times).astype(np.float64)
-            zero = [0.0]
-            total_n, known, score_ = (np.concatenate([zero, np.cumsum(x)]) for x in (n, n * (c[at] > 0), n * logs[at]))
-            # Sums of whole numbers are exact; scores are summed for each document by itself.
-            tokens = total_n[first[1:]] - total_n[first[:-1]] + 1
-            knowns = known[first[1:]] - known[first[:-1]] + (1 if ends else 0)
-            scores = np.array([float(np.sum(n[s:e] * logs[at[s:e]])) for s, e in zip(first[:-1], first[1:])]) + np.log10(ends + 0.1) - tokens * whole
-            out.append((keys, tokens, knowns, scores))
-        if not out:
-            return pa.table([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["key", "n_tokens", "n_known", "train_tokens", "base_score"])
-        keys = [k for o in out for k in o[0]]
-        tokens, knowns, scores = (np.concatenate([o[i] for o in out]) for i in (1, 2, 3))
-        return pa.table(
-            [pa.array(keys, pa.string()), pa.array(tokens.astype(np.int64)), pa.array(knowns.astype(np.int64)), pa.array(np.full(len(keys), total, np.int64)), pa.array(scores)],
-            names=["key", "n_tokens", "n_known", "train_tokens", "base_score"],
-        )
-
-    schema = "key string, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double"
-    made = places.groupBy("slice").cogroup(counts.select("slice", "part", "c").groupBy("slice")).applyInArrow(score, schema)
-    return made.dropDuplicates(["key"])
+        each = [_unpacked(a) for a in rows.column("a").to_pylist()]
+        values, counts = counted(np.concatenate(each), np.concatenate([_unpacked(b) for b in rows.column("b").to_pylist()]).astype(np.int64))
+        back = [_packed(counts[np.searchsorted(values, own)]) for own in each]
+        n, m = [int((counts > 0).sum())] + [0] * (len(back) - 1), [int(counts.sum())] + [0] * (len(back) - 1)
+        return pa.table([rows.column("slice"), rows.column("part"), pa.array(back, pa.binary()), pa.array(n), pa.array(m)], names=["slice", "part", "b", "n", "m"])
 
+    return settle(words.repartition(parts, "part").groupBy("part").applyInArrow(count, "slice string, part int, b binary, n bigint, m bigint"))
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, key, held_out and the model's score of each row."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in sliced(whole):
-                ids = batch.column("doc_id").to_pylist()
-                lower = _lower(batch)
-                keys = _keys(ids, contents(*word_hashes(lower)))
-                scores = sent.value.texts([normal(t) for t in lower.to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(held_out(ids)), pa.array(scores)], names=["doc_id", "key", "held_out", "score"])
 
-    return documents(docs).mapInArrow(run, f"doc_id {kind}, key string, held_out boolean, score double")
+def _answers(values: np.ndarray, part: np.ndarray, parts: int, rows: list[dict]) -> np.ndarray:
+    """What the parts have said of a slice's values."""
+    out, at = np.zeros(len(values)), _dealt(part, parts)
+    for r in rows:
+        if r["kind"] == "seen":
+            out[at[r["part"]]] = (1.0 - _unpacked(r["b"]).astype(np.float64)) * 2.0**-20
+        elif r["kind"] == "count":
+            out[at[r["part"]]] = _unpacked(r["b"])
+    for r in rows:
+        if r["kind"] == "late":
+            out[np.searchsorted(values, _unpacked(r["a"]))] = _floats(r["b"])
+    return out
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """The columns of the contract for each row; rows with equal ids and words have equal values.
 
-    Null and empty texts are their end alone. An empty table gives no rows.
+    Null and empty texts are their end alone; repeated rows are learned from as often as
+    they occur. An empty table gives no rows. A slice holds one text whole, whatever its length.
     """
-    gathered = _written(docs)
-    model = train(gathered)
-    base = _base(gathered)
-    return scored(docs, model).join(base, "key").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART), min(spark.sparkContext.defaultParallelism, size // SMALL))
+    path = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    made = gather(docs, parts)
+    made.write.partitionBy("kind").option("compression", "snappy").parquet(path)
+    gathered = spark.read.schema(made.schema).parquet(path)
+    counts = frequencies(gathered.where("kind = 'words'"), parts)
+    sums = counts.agg(F.sum("n"), F.sum("m")).first()
+    texts = gathered.where("kind = 'text'").select("slice", "ids", "a", "n")
+    ends = texts.agg(F.sum("n")).first()[0] or 0  # an end for each training document
+    total = (sums[1] or 0) + ends
+    whole = np.log10(total + 0.1 * ((sums[0] or 0) + (1 if ends else 0) + 1))
+    answers = probabilities(gathered.where("kind = 'windows'"), parts).union(counts.selectExpr("'count' AS kind", "slice", "part", "cast(NULL AS binary) AS a", "b"))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    width = max(spark.sparkContext.defaultParallelism, -(-size // SLICE))  # what a task reads doesn't grow with the table
+
+    def score(own: pa.Table, back: pa.Table) -> pa.Table:
+        out, rows = [], back.to_pylist()
+        for ids, data in zip(own.column("ids").to_pylist(), own.column("a").to_pylist()):
+            texts_ = [t + END for t in _large(data).split(END)[:-1]]
+            held = [(*_places(found), text, first) for found, text, first in pieces(texts_)]
+            values = _distinct(np.concatenate([x[0] for x in held]))
+            logs = _answers(values, _part(values >> _U(8), parts), parts, [r for r in rows if r["kind"] != "count"])
+            model = np.zeros(len(texts_))
+            while held:
+                distinct, place, text, first = held.pop()
+                np.add.at(model, text, np.add.reduceat(logs[np.searchsorted(values, distinct)][place], first))
+            told = [(*_places(hashes), first) for hashes, first in _words(texts_)]
+            values = _distinct(np.concatenate([x[0] for x in told]))
+            counted_ = _answers(values, _part(values, parts), parts, [r for r in rows if r["kind"] == "count"])
+            sums_ = []
+            for distinct, place, first in told:
+                c, n = counted_[np.searchsorted(values, distinct)], np.diff(first)
+                some = np.flatnonzero(n)
+                base, known = np.zeros(len(n)), np.zeros(len(n), np.int64)
+                if len(some):
+                    base[some] = np.add.reduceat(np.log10(c + 0.1)[place], first[:-1][some])
+                    known[some] = np.add.reduceat((c > 0).astype(np.int64)[place], first[:-1][some])
+                sums_.append((n + 1, known, base))
+            tokens, known, base = (np.concatenate(x) for x in zip(*sums_))
+            out.append((ids, held_out(ids), tokens, known + (1 if ends else 0), base + np.log10(ends + 0.1) - tokens * whole, model))
+        if not out:
+            return _empty
+        ids = [i for o in out for i in o[0]]
+        held, tokens, known, base, model = (np.concatenate([o[k] for o in out]) for k in range(1, 6))
+        columns = [pa.array(ids, own.schema.field("ids").type.value_type), pa.array(held), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)),
+                   pa.array(np.full(len(ids), total, np.int64)), pa.array(base), pa.array(model)]
+        return pa.table(columns, names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    _empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return texts.repartition(width, "slice").groupBy("slice").cogroup(answers.repartition(width, "slice").groupBy("slice")).applyInArrow(score, schema)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,31 +1,31 @@
-"""Prediction by partial matching over bytes, as arrays: counting, the trie's tables, and scoring.
+"""Prediction by partial matching over bytes, as arrays: windows, the trie's levels, and escapes.
 
 Symbols are the bytes of a text's lower-cased words joined by one space, and a line feed
 as its end. A context is up to ORDER bytes before a symbol (line feeds before the start).
 A symbol is predicted from the longest context that has been seen. If that context has
 no such symbol, the model escapes to the next shorter one, where all symbols of the
 longer context are excluded: they would have been coded there. Escapes follow method D:
-of each symbol's occurrences in a context a half goes to the escape, and so do all
-occurrences of symbols that are not in the trie, both without what is excluded. Under
-the empty context, symbols that are not in the trie share evenly.
-
-The symbols of a context are a subset of those of its suffix, so what is excluded from a
-context depends on the one longer context alone, and every sum that scoring needs is a
-number of that longer context: scoring is a few lookups for each distinct window.
-
-A node (context and symbol) is in the trie if it has at least one of ``NODES`` equal
-shares of all symbols; so no order has more than ``NODES`` nodes however large the
-corpus is, and every text counts. What is left out costs an escape.
+of each symbol's occurrences in a context a half goes to the escape, again without what is
+excluded. Under the empty context, symbols that have never been seen share evenly.
+
+Every context and symbol that occurs is a node; none is left out. The symbols of a context
+are a subset of those of its suffix, so what is excluded from a context depends on the one
+longer context alone. A window (a symbol with ORDER bytes of context) that has been seen
+needs its own node and context; one that has not carries the symbols of the longer context
+and what its escapes have cost from level to level.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 ORDER = 6
-NODES = 1 << 21
 HALF = 0.5
 END = b"\n"
+#: Symbols that are looked at together; a longer text is scored in so many at a time.
+PIECE = 1 << 20
 
 _U = np.uint64
 
@@ -35,130 +35,119 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + END
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A window for each symbol of normal ``texts`` (the symbol in its lowest byte, the nearest context byte next), and each text's first index."""
-    pad = END * ORDER
-    stream = np.frombuffer(pad + pad.join(texts), dtype=np.uint8) if texts else np.zeros(0, np.uint8)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    if not len(stream):
-        return np.zeros(0, np.uint64), first
+def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of normal ``texts``, about PIECE at a time, with the texts they are of and where each one's begin.
+
+    A text is cut at multiples of PIECE of its own symbols; contexts reach over the cuts.
+    """
+    units, size = [], 0
+    for i, text in enumerate(texts):
+        for s in range(0, len(text), PIECE):
+            units.append((i, (END * ORDER + text[:s])[-ORDER:] if s < ORDER else text[s - ORDER : s], text[s : s + PIECE]))
+            size += len(units[-1][2])
+            if size >= PIECE:
+                yield _windows(units)
+                units, size = [], 0
+    if units:
+        yield _windows(units)
+
+
+def _windows(units: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    stream = np.frombuffer(b"".join(before + body for _, before, body in units), dtype=np.uint8)
+    lengths = np.array([len(body) for _, _, body in units], dtype=np.int64)
     n = len(stream) - ORDER
     window = stream[ORDER:].astype(np.uint64)
     for k in range(1, ORDER + 1):
         window |= stream[ORDER - k : ORDER - k + n].astype(np.uint64) << _U(8 * k)
+    ends = np.cumsum(lengths)
     real = np.ones(n, dtype=bool)
     for k in range(ORDER):
-        real[first[1:-1] + ORDER * np.arange(len(texts) - 1) + k] = False
-    return window[real], first
+        real[ends[:-1] + ORDER * np.arange(len(units) - 1) + k] = False
+    return window[real], np.array([i for i, _, _ in units]), ends - lengths
 
 
-def counted(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order and how often each occurs."""
-    if counts is None:
-        return np.unique(values, return_counts=True)
+def counted(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the sums of their counts."""
     order = np.argsort(values, kind="stable")
     values, counts = values[order], counts[order]
     new = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
     return values[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
-def _mask(order: int) -> np.uint64:
+def mask(order: int) -> np.uint64:
     return _U((1 << (8 * (order + 1))) - 1)
 
 
-Nodes = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-
-def nodes(values: np.ndarray, counts: np.ndarray, total: int, highest: int = ORDER, lowest: int = 0) -> Nodes:
-    """By order: the nodes that have their share of ``total``, their counts, and the occurrences of their contexts.
-
-    ``values`` must hold all symbols of the contexts that it has.
-    """
-    out = {}
-    for k in range(highest, lowest - 1, -1):
-        values, counts = counted(values & _mask(k), counts)
-        start = np.flatnonzero(np.concatenate([[True], np.diff(values >> _U(8)) != 0])) if len(values) else np.zeros(0, np.int64)
-        whole = np.repeat(np.add.reduceat(counts, start), np.diff(np.append(start, len(values)))) if len(start) else counts
-        held = counts * NODES >= total
-        out[k] = values[held], counts[held], whole[held]
-    return out
-
-
-class Model:
-    """The trie as sorted arrays: nodes with log counts, and contexts with the logs that escapes need."""
-
-    def __init__(self, held: Nodes):
-        self.keys, self.logs, self.contexts, self.sums = [], [], [], []
-        before = None
-        for k in range(ORDER + 1):
-            keys, n, whole = held.get(k, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            order = np.argsort(keys)
-            keys, n, whole = keys[order], n[order].astype(np.float64), whole[order].astype(np.float64)
-            context, start = np.unique(keys >> _U(8), return_index=True)
-            t = np.add.reduceat(n, start) if len(start) else np.zeros(0)
-            d = np.diff(np.append(start, len(keys))).astype(np.float64)
-            z = whole[start] if len(start) else np.zeros(0)
-            missed = z - t + HALF * d
-            # low: the suffix without the context's own symbols, and what escapes from it.
-            low, low_missed = np.ones(len(t)), np.ones(len(t))
-            if k:
-                keys_b, n_b, context_b, t_b, d_b, z_b = before
-                own = np.add.reduceat(n_b[np.searchsorted(keys_b, keys & _mask(k - 1))], start) if len(start) else np.zeros(0)
-                at = np.searchsorted(context_b, context & (_mask(k - 1) >> _U(8)))
-                low = z_b[at] - own if len(at) else low
-                low_missed = z_b[at] - t_b[at] + HALF * (d_b[at] - d) if len(at) else low_missed
-            # Where nothing is left of the suffix, the escape from it is certain.
-            low, low_missed = np.where(low > 0, low, 1.0), np.where(low > 0, low_missed, 1.0)
-            with np.errstate(divide="ignore"):
-                sums = np.log10(np.stack([z, np.maximum(missed, 1e-9) / np.maximum(z, 1), low, np.maximum(low_missed, 1e-9) / low], axis=1)) if len(t) else np.zeros((0, 4))
-            sums[:, 1::2] = np.minimum(sums[:, 1::2], 0)
-            self.keys.append(keys)
-            self.logs.append(np.log10(np.maximum(n - HALF, 1e-9)).astype(np.float32))
-            self.contexts.append(context)
-            self.sums.append(sums.astype(np.float32))
-            before = keys, n, context, t, d, z
-        self.rest = float(-np.log10(max(1, 256 - len(self.keys[0]))))
-
-    def score(self, windows: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each window's symbol in its context."""
-        out = np.zeros(len(windows))
-        state = np.full(len(windows), -1, dtype=np.int64)  # the longer context's index, -1: none has been seen
-        open_ = np.arange(len(windows))
-        for k in range(ORDER, -1, -1):
-            if not len(open_):
-                break
-            window = windows[open_] & _mask(k)
-            longer = state[open_]
-            context = window >> _U(8)
-            at = np.searchsorted(self.contexts[k], context)
-            known = at < len(self.contexts[k])
-            known[known] = self.contexts[k][at[known]] == context[known]
-            from_above = longer >= 0
-            norm, escape = np.zeros(len(open_)), np.zeros(len(open_))
-            first = known & ~from_above
-            norm[first], escape[first] = self.sums[k][at[first], 0], self.sums[k][at[first], 1]
-            if k < ORDER:
-                norm[from_above], escape[from_above] = self.sums[k + 1][longer[from_above], 2], self.sums[k + 1][longer[from_above], 3]
-            node = np.searchsorted(self.keys[k], window)
-            hit = node < len(self.keys[k])
-            hit[hit] = self.keys[k][node[hit]] == window[hit]
-            out[open_[hit]] += self.logs[k][node[hit]] - norm[hit]
-            miss = ~hit
-            out[open_[miss]] += escape[miss]
-            state[open_] = np.where(known, at, -1)
-            open_ = open_[miss]
-        out[open_] += self.rest
-        return out
-
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of each normal text's probability; distinct windows are scored once."""
-        window, first = symbols(texts)
-        if not len(window):
-            return np.zeros(len(texts))
-        order = np.argsort(window)
-        ordered = window[order]
-        new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        each = np.empty(len(window))
-        each[order] = np.repeat(self.score(ordered[new]), np.diff(np.append(new, len(ordered))))
-        return np.add.reduceat(each, first[:-1])
+class Level:
+    """The nodes of one order (of some contexts, but of those all): sorted windows and counts, by context."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts.astype(np.float64)
+        self.contexts, self.start = np.unique(keys >> _U(8), return_index=True)
+        self.symbols = np.diff(np.append(self.start, len(keys)))
+        self.total = np.add.reduceat(self.counts, self.start) if len(keys) else np.zeros(0)
+
+    def seen(self) -> np.ndarray:
+        """log10 of each node's probability in its own context."""
+        return np.log10(self.counts - HALF) - np.log10(np.repeat(self.total, self.symbols))
+
+    def find(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of contexts, and whether they are there."""
+        if not len(self.contexts):
+            return np.zeros(len(context), np.int64), np.zeros(len(context), bool)
+        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        return at, self.contexts[at] == context
+
+    def members(self, at: np.ndarray) -> np.ndarray:
+        """The symbols of the contexts at ``at``, 256 bits each."""
+        places, back = np.unique(at, return_inverse=True)
+        n = self.symbols[places]
+        row = np.repeat(np.arange(len(places)), n)
+        node = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[places], n)
+        bits = np.zeros((len(places), 256), np.uint8)
+        bits[row, (self.keys[node] & _U(255)).astype(np.int64)] = 1
+        return np.packbits(bits, axis=1)[back]
+
+
+class Asked:
+    """Windows that wait for an answer: what their escapes have cost, and the symbols of the longer context (none: not seen yet)."""
+
+    def __init__(self, windows: np.ndarray, cost: np.ndarray | None = None, excluded: np.ndarray | None = None):
+        self.windows = windows
+        self.cost = np.zeros(len(windows)) if cost is None else cost
+        self.excluded = np.zeros((len(windows), 32), np.uint8) if excluded is None else excluded
+
+    def __getitem__(self, some: np.ndarray) -> Asked:
+        return Asked(self.windows[some], self.cost[some], self.excluded[some])
+
+
+def resolve(asked: Asked, order: int, level: Level) -> tuple[np.ndarray, np.ndarray, Asked]:
+    """Windows whose symbol is found at ``order`` and their log10 probability, and the others with what the escape costs."""
+    window = asked.windows & mask(order)
+    at, known = level.find(window >> _U(8))
+    below = asked.excluded.any(axis=1)
+    total, symbols = np.ones(len(window)), np.zeros(len(window))
+    total[known], symbols[known] = level.total[at[known]], level.symbols[at[known]]
+    some = np.flatnonzero(below)
+    row, symbol = np.nonzero(np.unpackbits(asked.excluded[some], axis=1))
+    node = np.searchsorted(level.keys, (window[some[row]] & ~_U(255)) | symbol.astype(np.uint64))
+    total[some] -= np.bincount(row, level.counts[node], len(some))
+    symbols[some] -= np.bincount(row, minlength=len(some))
+    # Where nothing is left of a context, the escape from it is certain.
+    norm = np.log10(np.where(total > 0, total, 1.0))
+    with np.errstate(divide="ignore"):
+        escape = np.where(known & (total > 0), np.log10(HALF * symbols) - norm, 0.0)
+    node = np.minimum(np.searchsorted(level.keys, window), max(0, len(level.keys) - 1))
+    hit = level.keys[node] == window if len(level.keys) else np.zeros(len(window), bool)
+    found = asked.cost[hit] + np.log10(level.counts[node[hit]] - HALF) - norm[hit] if hit.any() else np.zeros(0)
+    left = asked[~hit]
+    left.cost = left.cost + escape[~hit]
+    still = known[~hit]
+    if still.any():
+        left.excluded[still] = level.members(at[~hit][still])
+    return asked.windows[hit], found, left
+
+
+def unseen(level: Level) -> float:
+    """log10 of the probability of a symbol that the empty context does not have."""
+    return float(-np.log10(max(1, 256 - len(level.keys))))
