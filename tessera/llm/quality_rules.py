@@ -1,8 +1,11 @@
 """Quality rules whose thresholds come from mergeable quantile sketches per language and source.
 
-Every rule is a whole number of bins, so a sketch is the number of documents for each bin:
-sketches merge by adding, hold at most ``BINS`` + 1 counts however many documents they
-cover, and give the same quantile in any order of merging. A quantile is exact to a bin.
+Every rule is a whole number, and its sketch is the number of documents for each bin, where
+a bin is a number's first six binary digits: sketches merge by adding, hold some hundreds
+of counts however many documents they cover, give the same quantile in any order of
+merging, and are exact to a thirty-second part. Only documents that the base rules leave
+are sketched. A group's threshold is its own at heart, drawn towards that of its language
+and of all the more, the fewer documents it has.
 """
 
 from __future__ import annotations
@@ -13,30 +16,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WORD, documents, settle, table, words
+from tessera.llm.shared import WORD, bounded, settle, table, whole, words
 
-BINS = 1000
-#: The rules, and the least spread (in bins) that a group is credited with.
-RULES = {"repeat_bin": 60, "symbol_bin": 4, "line_bin": 80, "upper_bin": 30, "length_bin": 8}
-#: A threshold is the upper quartile and so many times the quartiles' distance.
-REACH = 4
-#: Groups with fewer documents take the sketch of their language, then that of all.
-LEAST = 200
+#: For each rule two percentiles and a reach: the threshold is the upper one and so many times the distance between them.
+#: Repeats have a long clean tail, hence the high percentile; the others are told by their middle.
+RULES = {"repeat": (50, 99, 1), "symbol": (50, 75, 4), "line": (50, 99, 1), "upper": (25, 75, 4), "length": (25, 75, 4)}
+#: A group's threshold counts as its documents, that of the next larger group as so many.
+DRAWN = 200
+#: What a document has too much of must be so many standard deviations (of a count) above the threshold.
+SURE = 3
 
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Each rule's count, what it is a share of, and the unit.
+_SHARES = {
+    "repeat": ("n_repeat_words", "n_words", 100_000), "symbol": ("n_symbols", "word_chars", 100_000), "line": ("n_dup_lines", "n_lines", 100_000),
+    "upper": ("n_upper", "word_chars", 100_000), "length": ("word_chars", "n_words", 1000),
+}
 
 
-def measures(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, ``keep``, the base counts, base_failed and one bin for each rule.
+def measures(docs: DataFrame, every: bool = False) -> DataFrame:
+    """row (doc_id, lang and source, or with ``every`` all columns), the base counts, base_failed, and each rule's share and least share.
 
     Null and empty texts have no words: all counts 0, base_failed true. Windows are
     counted in full: three-word windows are hashed first, and texts in which a hash
-    repeats are settled by sorting the windows themselves, so no collision counts.
+    repeats are settled by sorting the windows themselves, so no collision counts. The
+    least share is what is left after SURE standard deviations of the count (none for the length).
     """
+    bounded(docs.sparkSession)
     at = "w[i], w[i + 1], w[i + 2]"
+    row = whole(docs) if every else F.struct("doc_id", "lang", "source").alias("row")
+    rules = [f"{unit} * {n} div greatest({of}, 1) AS {r}" for r, (n, of, unit) in _SHARES.items()]
+    least = [
+        f"{unit} * {n if r == 'length' else f'greatest({n} - {SURE} * cast(ceil(sqrt({n})) AS bigint), 0)'} div greatest({of}, 1) AS {r}_least"
+        for r, (n, of, unit) in _SHARES.items()
+    ]
     return (
-        documents(docs, *(c for c in keep if c not in ("doc_id", "text")))
-        .withColumn("t", F.coalesce("text", F.lit("")))
+        docs.select(row, F.coalesce("text", F.lit("")).alias("t"))
         .withColumn("w", words(F.col("t")))
         .withColumn("n", F.size("w"))
         .withColumn("lines", F.expr(f"filter(split(t, '\\n'), l -> l rlike '{WORD}')"))
@@ -51,7 +66,7 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
         .withColumn("twice", F.expr("filter(k, (x, j) -> (j > 0 AND get(k, j - 1).s = x.s) OR (j < size(k) - 1 AND get(k, j + 1).s = x.s))"))
         # inline() keeps a later filter on these from being pushed into, and so repeating, what they are made of.
         .selectExpr(
-            "doc_id", *keep,
+            "row",
             "inline(array(struct(cast(n AS bigint) AS n_words, "
             "cast(char_length(array_join(w, '')) AS bigint) AS word_chars, "
             "cast(regexp_count(t, '[#*$%&|<>]') AS bigint) AS n_symbols, "
@@ -61,90 +76,81 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
             "cast(char_length(regexp_replace(t, '[^A-Z]+', '')) AS bigint) AS n_upper)))",
         )
         .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-        .selectExpr(
-            "*",
-            "1000 * n_repeat_words div greatest(n_words, 1) AS repeat_bin",
-            "1000 * n_symbols div greatest(word_chars, 1) AS symbol_bin",
-            "1000 * n_dup_lines div greatest(n_lines, 1) AS line_bin",
-            "1000 * n_upper div greatest(word_chars, 1) AS upper_bin",
-            "least(10 * word_chars div greatest(n_words, 1), 1000) AS length_bin",
-        )
+        .selectExpr("*", *rules, *least)
     )
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """lang, source, rule, bin and n: the sketch of each rule for each language and source."""
-    rules = ", ".join(f"'{r}', least({r}, {BINS})" for r in RULES)
+    """lang, source, rule, bin (its greatest number) and n: the sketch of each rule for each language and source."""
+    rules = ", ".join(f"'{r}', {r}" for r in RULES)
     return (
-        measured.where("n_words > 0")
-        .selectExpr("lang", "source", f"stack({len(RULES)}, {rules}) AS (rule, bin)")
+        measured.where("NOT base_failed")
+        .selectExpr("row.lang AS lang", "row.source AS source", f"stack({len(RULES)}, {rules}) AS (rule, v)")
+        .withColumn("shift", F.expr("greatest(length(bin(v)) - 6, 0)"))
+        .selectExpr("lang", "source", "rule", "shiftleft(shiftright(v, shift) + 1, shift) - 1 AS bin")
         .groupBy("lang", "source", "rule", "bin")
         .agg(F.count("*").alias("n"))
     )
 
 
 def limits(sketched: DataFrame) -> DataFrame:
-    """lang, source and the threshold of each rule, for every group; thresholds are bins, inclusive.
+    """lang, source and the threshold of each rule, inclusive, for every group.
 
     Sketches of a language, and of all, are merged from those of the groups. Groups are
     few against documents, and a group's sketch has a bounded number of bins.
     """
-    slack = F.create_map(*(F.lit(x) for r, s in RULES.items() for x in (r, s)))
+    low, high, reach = (F.create_map(*(F.lit(x) for r, v in RULES.items() for x in (r, v[i]))) for i in range(3))
 
     def level(keys: list[str], name: str) -> DataFrame:
         merged = sketched.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
         group = W.partitionBy(*keys, "rule")
+        at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q[F.col("rule")], F.col("bin")))
         return (
             merged.withColumn("upto", F.sum("n").over(group.orderBy("bin")))
             .withColumn("all", F.sum("n").over(group))
             .groupBy(*keys, "rule")
-            .agg(
-                F.max("all").alias(f"{name}_n"),
-                F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bin"))).alias("q1"),
-                F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bin"))).alias("q3"),
-            )
+            .agg(F.max("all").alias(f"{name}_n"), at(low).alias("lower"), at(high).alias("upper"))
             .select(
                 *(F.col(k).alias(f"{name}_{k}") for k in keys), F.col("rule").alias(f"{name}_rule"), f"{name}_n",
-                (F.col("q3") + REACH * F.greatest(F.col("q3") - F.col("q1"), slack[F.col("rule")])).alias(f"{name}_limit"),
+                (F.col("upper") + reach[F.col("rule")] * (F.col("upper") - F.col("lower"))).alias(f"{name}_limit"),
             )
         )
 
     own, tongue, every = level(["lang", "source"], "g"), level(["lang"], "l"), level([], "a")
+    drawn = f"(l_n * l_limit + {DRAWN} * a_limit) div (l_n + {DRAWN})"
     found = (
         own.join(tongue, F.col("g_lang").eqNullSafe(F.col("l_lang")) & (F.col("g_rule") == F.col("l_rule")))
         .join(every, F.col("g_rule") == F.col("a_rule"))
-        .select(
-            F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), F.col("g_rule").alias("rule"),
-            F.when(F.col("g_n") >= LEAST, F.col("g_limit")).when(F.col("l_n") >= LEAST, F.col("l_limit")).otherwise(F.col("a_limit")).alias("top"),
-        )
-    )
-    return found.groupBy("lang", "source").agg(
-        *(F.max(F.when(F.col("rule") == r, F.col("top"))).alias(r.replace("_bin", "_limit")) for r in RULES)
+        .selectExpr("g_lang AS lang", "g_source AS source", "g_rule AS rule", f"(g_n * g_limit + {DRAWN} * ({drawn})) div (g_n + {DRAWN}) AS top")
     )
+    return found.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == r, F.col("top"))).alias(f"{r}_limit") for r in RULES))
 
 
 def judge(measured: DataFrame, limited: DataFrame) -> DataFrame:
-    """``measured`` with kept: false if base_failed or if a rule is above its group's threshold."""
-    tops = [r.replace("_bin", "_limit") for r in RULES]
-    g = limited.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *tops)
-    within = reduce(lambda a, b: a & b, (F.col(r) <= F.coalesce(F.col(t), F.lit(BINS)) for r, t in zip(RULES, tops)))
-    joined = measured.join(g, measured["lang"].eqNullSafe(g["__lang"]) & measured["source"].eqNullSafe(g["__source"]), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("__lang", "__source", *tops)
+    """``measured`` with kept: false if base_failed or if a rule's least share is above its group's threshold.
+
+    A group without thresholds has no document that the base rules leave.
+    """
+    g = limited.select(F.struct("lang", "source").alias("group"), *(f"{r}_limit" for r in RULES))
+    within = reduce(lambda a, b: a & b, (F.col(f"{r}_least") <= F.coalesce(f"{r}_limit", f"{r}_least") for r in RULES))
+    joined = measured.join(g, F.col("row.lang").eqNullSafe(F.col("group.lang")) & F.col("row.source").eqNullSafe(F.col("group.source")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & within)
 
 
 def assess(docs: DataFrame) -> DataFrame:
-    """A row for each document with its measures and verdict; measured once, in a written table."""
-    measured = settle(measures(docs, "lang", "source"))
-    return judge(measured, settle(limits(sketches(measured))))
+    """doc_id, lang, source, measures and verdict of each document; measured once, in a written table."""
+    measured = settle(measures(docs))
+    return judge(measured, settle(limits(sketches(measured)))).select("row.*", *_BASE, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns.
+    """The rows of ``docs`` that the rules keep, with their columns, whatever they are called.
 
-    Texts are measured again where they are read instead of being shuffled to the verdicts.
+    Texts are measured once and written beside their measures. Null and empty texts go,
+    and repeated rows have the same verdict. An empty table gives no rows.
     """
-    limited = settle(limits(settle(sketches(measures(docs, "lang", "source")))))
-    return judge(measures(docs, "text", "lang", "source", *(c for c in docs.columns if c not in ("doc_id", "text", "lang", "source"))), limited).where("kept").select(*docs.columns)
+    measured = settle(measures(docs, every=True), "snappy")
+    return judge(measured, settle(limits(sketches(measured)))).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,34 +172,43 @@ m AS (
   FROM w LEFT JOIN rep ON w.doc_id IS NOT DISTINCT FROM rep.doc_id),
 b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         1000 * n_repeat_words // greatest(n_words, 1) AS repeat_bin, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_bin,
-         1000 * n_dup_lines // greatest(n_lines, 1) AS line_bin, 1000 * n_upper // greatest(word_chars, 1) AS upper_bin,
-         least(10 * word_chars // greatest(n_words, 1), 1000) AS length_bin
+         100000 * n_repeat_words // greatest(n_words, 1) AS repeat, 100000 * n_symbols // greatest(word_chars, 1) AS symbol,
+         100000 * n_dup_lines // greatest(n_lines, 1) AS line, 100000 * n_upper // greatest(word_chars, 1) AS upper,
+         1000 * word_chars // greatest(n_words, 1) AS length,
+         100000 * greatest(n_repeat_words - 3 * ceil(sqrt(n_repeat_words))::BIGINT, 0) // greatest(n_words, 1) AS repeat_least,
+         100000 * greatest(n_symbols - 3 * ceil(sqrt(n_symbols))::BIGINT, 0) // greatest(word_chars, 1) AS symbol_least,
+         100000 * greatest(n_dup_lines - 3 * ceil(sqrt(n_dup_lines))::BIGINT, 0) // greatest(n_lines, 1) AS line_least,
+         100000 * greatest(n_upper - 3 * ceil(sqrt(n_upper))::BIGINT, 0) // greatest(word_chars, 1) AS upper_least
   FROM m),
 long AS (
-  UNPIVOT (SELECT lang, source, least(repeat_bin, 1000) AS repeat_bin, least(symbol_bin, 1000) AS symbol_bin, least(line_bin, 1000) AS line_bin,
-                  least(upper_bin, 1000) AS upper_bin, least(length_bin, 1000) AS length_bin FROM b WHERE n_words > 0)
-  ON repeat_bin, symbol_bin, line_bin, upper_bin, length_bin INTO NAME rule VALUE bin),
-slack(rule, slack) AS (VALUES ('repeat_bin', 60), ('symbol_bin', 4), ('line_bin', 80), ('upper_bin', 30), ('length_bin', 8)),
+  SELECT lang, source, rule, ((v >> s) + 1 << s) - 1 AS bin FROM (
+    SELECT lang, source, rule, v, greatest(length(bin(v)) - 6, 0)::INTEGER AS s FROM (
+      UNPIVOT (SELECT lang, source, repeat, symbol, line, upper, length FROM b WHERE NOT base_failed) ON repeat, symbol, line, upper, length INTO NAME rule VALUE v))),
+rules(rule, low, high, reach) AS (VALUES ('repeat', 50, 99, 1), ('symbol', 50, 75, 4), ('line', 50, 99, 1), ('upper', 25, 75, 4), ('length', 25, 75, 4)),
 own AS (
-  SELECT lang, source, rule, n, q3 + 4 * greatest(q3 - q1, slack) AS top FROM (
-    SELECT lang, source, rule, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL) JOIN slack USING (rule)),
+  SELECT lang, source, rule, any_value(n) AS n, max(top) AS top FROM (
+    SELECT lang, source, rule, n, min(bin) FILTER (100 * upto >= high * n) OVER g + reach * (min(bin) FILTER (100 * upto >= high * n) OVER g - min(bin) FILTER (100 * upto >= low * n) OVER g) AS top
+    FROM (SELECT *, count(*) OVER (PARTITION BY lang, source, rule) AS n, count(*) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto FROM long) JOIN rules USING (rule)
+    WINDOW g AS (PARTITION BY lang, source, rule)) GROUP BY ALL),
 tongue AS (
-  SELECT lang, rule, n, q3 + 4 * greatest(q3 - q1, slack) AS top FROM (
-    SELECT lang, rule, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL) JOIN slack USING (rule)),
+  SELECT lang, rule, any_value(n) AS n, max(top) AS top FROM (
+    SELECT lang, rule, n, min(bin) FILTER (100 * upto >= high * n) OVER g + reach * (min(bin) FILTER (100 * upto >= high * n) OVER g - min(bin) FILTER (100 * upto >= low * n) OVER g) AS top
+    FROM (SELECT *, count(*) OVER (PARTITION BY lang, rule) AS n, count(*) OVER (PARTITION BY lang, rule ORDER BY bin) AS upto FROM long) JOIN rules USING (rule)
+    WINDOW g AS (PARTITION BY lang, rule)) GROUP BY ALL),
 every AS (
-  SELECT rule, q3 + 4 * greatest(q3 - q1, slack) AS top FROM (
-    SELECT rule, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM long GROUP BY ALL) JOIN slack USING (rule)),
+  SELECT rule, max(top) AS top FROM (
+    SELECT rule, min(bin) FILTER (100 * upto >= high * n) OVER g + reach * (min(bin) FILTER (100 * upto >= high * n) OVER g - min(bin) FILTER (100 * upto >= low * n) OVER g) AS top
+    FROM (SELECT *, count(*) OVER (PARTITION BY rule) AS n, count(*) OVER (PARTITION BY rule ORDER BY bin) AS upto FROM long) JOIN rules USING (rule)
+    WINDOW g AS (PARTITION BY rule)) GROUP BY ALL),
 tops AS (
-  SELECT own.lang, own.source, own.rule,
-         CASE WHEN own.n >= 200 THEN own.top WHEN tongue.n >= 200 THEN tongue.top ELSE every.top END AS top
+  SELECT own.lang, own.source, own.rule, (own.n * own.top + 200 * ((tongue.n * tongue.top + 200 * every.top) // (tongue.n + 200))) // (own.n + 200) AS top
   FROM own JOIN tongue ON own.lang IS NOT DISTINCT FROM tongue.lang AND own.rule = tongue.rule JOIN every ON own.rule = every.rule),
 g AS (
-  SELECT lang, source, max(top) FILTER (rule = 'repeat_bin') AS a, max(top) FILTER (rule = 'symbol_bin') AS b, max(top) FILTER (rule = 'line_bin') AS c,
-         max(top) FILTER (rule = 'upper_bin') AS d, max(top) FILTER (rule = 'length_bin') AS e
+  SELECT lang, source, max(top) FILTER (rule = 'repeat') AS a, max(top) FILTER (rule = 'symbol') AS b, max(top) FILTER (rule = 'line') AS c,
+         max(top) FILTER (rule = 'upper') AS d, max(top) FILTER (rule = 'length') AS e
   FROM tops GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND repeat_bin <= coalesce(a, 1000) AND symbol_bin <= coalesce(b, 1000) AND line_bin <= coalesce(c, 1000)
-       AND upper_bin <= coalesce(d, 1000) AND length_bin <= coalesce(e, 1000) AS kept
+       NOT base_failed AND repeat_least <= coalesce(a, repeat_least) AND symbol_least <= coalesce(b, symbol_least) AND line_least <= coalesce(c, line_least)
+       AND upper_least <= coalesce(d, upper_least) AND length <= coalesce(e, length) AS kept
 FROM b LEFT JOIN g ON b.lang IS NOT DISTINCT FROM g.lang AND b.source IS NOT DISTINCT FROM g.source
 """
