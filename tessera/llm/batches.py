@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of text that one call of the function sees at most (a longer text comes alone).
 ROWS, BYTES = 1000, 1 << 20
@@ -28,7 +29,7 @@ def sliced(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 
 def per_text(docs: DataFrame, row: Callable[[str], tuple], schema: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each document: ``keep`` and then what ``row`` says of its text (null: the empty text)."""
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    fields = StructType([*(docs.schema[c] for c in keep), *StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = None
@@ -40,7 +41,7 @@ def per_text(docs: DataFrame, row: Callable[[str], tuple], schema: str, keep: tu
                 made = [pa.array(list(v), t) for v, (_, t) in zip(zip(*found), types)]
                 yield pa.RecordBatch.from_arrays(columns + made, names=[*keep, *(n for n, _ in types)])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, {schema}")
+    return docs.select(*keep, "text").mapInArrow(run, fields)
 
 
 def arrow_types(schema: str) -> list[tuple[str, pa.DataType]]:

@@ -1,18 +1,22 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 A candidate is a maximal run of key characters, after ``=`` as well. Its encoding is inferred (hexadecimal, plain
-or in groups with dashes, base 32, base 36 or base 64); the run is then tested for what an encoded random key shows and
-prose does not:
+or in groups with dashes, letters, base 32, base 36 or base 64); the run is then tested for what an encoded random key
+shows and prose does not:
 
-* chi-squared uniformity over the encoding's alphabet, in eight equal blocks of it;
-* the number of runs above and below the alphabet's middle (Wald-Wolfowitz);
+* uniformity over the encoding's alphabet (chi-squared in eight equal blocks of it);
+* the number of runs (above and below the alphabet's middle, Wald-Wolfowitz);
 * the serial correlation of neighbouring values.
 
-A candidate that any of the three refuses is no key. What is left has a p-value under
-the null hypothesis that it is written text: the binomial tail of its changes between
-small letters, capitals, digits and signs, which in text are rare. The p-values of a
-document's candidates go through the weighted Benjamini-Hochberg procedure with weights
-in proportion to length, so that a long run needs less evidence at each place.
+In this form the tests ask whether a run can be random, and one that any of them refuses at
+REFUSED is no key. Whether it can be written text is asked of the same three aspects by
+likelihood: the frequencies of letters (uniformity), the runs of small letters, capitals,
+digits and signs (runs), and the alternation of vowels and consonants (serial dependence).
+The probability of the run as written text over that of a random key in its encoding is a
+p-value under the null hypothesis of text: by Markov's inequality it is below p with
+probability p at most, for runs of any length. The p-values of a document's candidates go
+through the weighted Benjamini-Hochberg procedure with weights in proportion to length, so
+that a long run needs less evidence at each place.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import per_text
-from tessera.llm.shared import documents, table
+from tessera.llm.shared import documents, table, whole
 
 #: Fixed patterns. Case is free in the first one's letters only, and for ASCII letters only.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -33,18 +37,35 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 KINDS = ("assign", "access", "hex", "random")
-#: The rate of false discoveries, the level at which a test refuses, and how often text changes its kind of character.
-RATE, REFUSED, CHANGES = 0.01, 0.001, 0.1
+#: The rate of false discoveries, and the level at which a test refuses.
+RATE, REFUSED = 0.01, 0.001
+#: Letters in ten thousand of written text (fixed values).
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (
+    817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7)))
+VOWELS = "aeiou"
+#: Of a letter after a vowel, and after a consonant: the share of vowels.
+AFTER_VOWEL, AFTER_CONSONANT = 0.15, 0.52
+#: How often a small letter, capital, digit or sign is followed by each of these, in five manners of writing: plain
+#: words, words and names in mixed case, capitals, numbers, and paths or names joined by signs.
+MANNERS = (
+    ((0.990, 0.003, 0.003, 0.004), (0.500, 0.490, 0.005, 0.005), (0.20, 0.05, 0.65, 0.10), (0.80, 0.09, 0.10, 0.01)),
+    ((0.86, 0.07, 0.03, 0.04), (0.62, 0.32, 0.03, 0.03), (0.15, 0.15, 0.60, 0.10), (0.60, 0.20, 0.15, 0.05)),
+    ((0.400, 0.500, 0.050, 0.050), (0.005, 0.960, 0.015, 0.020), (0.02, 0.20, 0.66, 0.12), (0.02, 0.78, 0.17, 0.03)),
+    ((0.30, 0.10, 0.50, 0.10), (0.10, 0.30, 0.50, 0.10), (0.02, 0.02, 0.85, 0.11), (0.05, 0.05, 0.87, 0.03)),
+    ((0.80, 0.01, 0.03, 0.16), (0.50, 0.40, 0.05, 0.05), (0.06, 0.02, 0.62, 0.30), (0.76, 0.08, 0.15, 0.01)),
+)
 
 _B64 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {"-": 62, "_": 63}
 _B32 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")}
 _HEX = {c: i for i, c in enumerate("0123456789abcdef")} | {c: i for i, c in enumerate("ABCDEF", 10)}
 _B32L = {c.lower(): i for c, i in _B32.items()}
 _B36 = {c: i for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyz")} | {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 10)}
+_LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
 #: The encodings, the narrowest first. The dashes of a grouped run are no values.
 ENCODINGS = (
     ("hex", _HEX, 16, re.compile(r"[0-9a-f]+|[0-9A-F]+")),
     ("grouped hex", _HEX, 16, re.compile(r"[0-9a-f]+(?:-[0-9a-f]+)+|[0-9A-F]+(?:-[0-9A-F]+)+")),
+    ("letters", _LETTERS, 26, re.compile(r"[A-Z]+|[a-z]+")),
     ("base32", _B32 | _B32L, 32, re.compile(r"[A-Z2-7]+|[a-z2-7]+")),
     ("base36", _B36, 36, re.compile(r"[A-Z0-9]+|[a-z0-9]+")),
     ("base64", _B64, 64, re.compile(r"[A-Za-z0-9+/_-]+")),
@@ -61,15 +82,6 @@ def tail_chi2(x: float, k: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def tail_binomial(k: int, n: int, p: float) -> float:
-    """P(X >= k) of ``n`` draws at ``p``."""
-    if k <= 0:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(v - top) for v in logs))
-
-
 def infer(run: str) -> tuple[str, list[int], int]:
     """The narrowest encoding that has all characters, the values, and the alphabet's size."""
     body = run.rstrip("=")
@@ -110,20 +122,49 @@ def kind(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
-def p_value(run: str) -> float:
-    """The chance that written text changes its kind of character so often; 1 if a test refuses the run."""
+_SHARE = {c: n / 10_000 for c, n in LETTERS.items()}
+_V = sum(_SHARE[c] for c in VOWELS)
+_OWN = {c: math.log(p / (_V if c in VOWELS else sum(_SHARE.values()) - _V)) for c, p in _SHARE.items()}
+_TURN = {(v, w): math.log(p if w else 1 - p) for v, p in ((True, AFTER_VOWEL), (False, AFTER_CONSONANT), (None, _V)) for w in (True, False)}
+_MANNERS = [[[math.log(p) for p in row] for row in manner] for manner in MANNERS]
+_SIGNS, _DIGIT = math.log(1 / 4), math.log(1 / 10)
+
+
+def written(body: str) -> float:
+    """The log probability of a run as written text: the mean over the manners of writing."""
+    kinds = [kind(c) for c in body]
+    signs = 0.0
+    before = None
+    for c, k in zip(body.lower(), kinds):
+        if k < 2:
+            vowel = c in VOWELS
+            signs += _TURN[before, vowel] + _OWN[c]
+            before = vowel
+        else:
+            signs += _DIGIT if k == 2 else _SIGNS
+            before = None
+    steps = list(zip(kinds, kinds[1:]))
+    logs = [math.log(1 / 4) + sum(manner[x][y] for x, y in steps) for manner in _MANNERS]
+    top = max(logs)
+    return signs + top + math.log(sum(math.exp(v - top) for v in logs) / len(logs))
+
+
+def evidence(run: str) -> float:
+    """The probability of the run as written text over that as a random key of its encoding, 1 at most; 1 if a test refuses the run."""
     name, values, size = infer(run)
     if not size or refused(values, size):
         return 1.0
     body = run.rstrip("=")
-    kinds = [kind(c) for c in (body.replace("-", "") if name == "grouped hex" else body)]
-    return tail_binomial(sum(x != y for x, y in zip(kinds, kinds[1:])), len(kinds) - 1, CHANGES)
+    body = body.replace("-", "") if name == "grouped hex" else body
+    one_case = name in ("hex", "grouped hex", "letters", "base32", "base36")
+    random_ = -len(values) * math.log(size) - (math.log(2) if one_case else 0.0)
+    return math.exp(min(0.0, written(body) - random_))
 
 
 def discoveries(runs: list[str]) -> list[bool]:
     """Weighted Benjamini-Hochberg at RATE over the runs of a document; weights follow length."""
     mean = sum(map(len, runs)) / max(1, len(runs))
-    held = sorted((p_value(r) * mean / len(r), i) for i, r in enumerate(runs))
+    held = sorted((evidence(r) * mean / len(r), i) for i, r in enumerate(runs))
     passed = max((k for k, (p, _) in enumerate(held, 1) if p <= RATE * k / len(runs)), default=0)
     out = [False] * len(runs)
     for _, i in held[:passed]:
@@ -189,16 +230,15 @@ def scans(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets in the text replaced; null texts stay null, all other columns stay as they are.
+    """``docs`` with secrets in the text replaced; null texts stay null, all other columns stay as they are, whatever they are called.
 
-    n_chars, where there is such a column, is counted again.
+    n_chars, where there is such a column, is counted again. Repeated rows give repeated results.
     """
-    keep = tuple(c for c in docs.columns if c != "text")
-    hidden = docs.select(*keep, F.col("text"), F.col("text").isNull().alias("__null"))
-    done = per_text(hidden, redacted, "__text string", keep=(*keep, "__null")).withColumn("text", F.when(~F.col("__null"), F.col("__text")))
-    if "n_chars" in keep:
-        done = done.withColumn("n_chars", F.when(F.col("__null"), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return done.select(*docs.columns)
+    made = per_text(docs.select(whole(docs), "text"), redacted, "hidden string", keep=("row",))
+    fields = {"text": F.when(F.col("row.text").isNotNull(), F.col("hidden"))}
+    if "n_chars" in docs.columns:
+        fields["n_chars"] = F.when(F.col("row.text").isNull(), F.col("row.n_chars")).otherwise(F.char_length("hidden").cast(docs.schema["n_chars"].dataType))
+    return made.select(*(fields.get(c, F.col("row.`" + c.replace("`", "``") + "`")).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
