@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import documents, settle, table, words
+from tessera.llm.shared import documents, settle, table, whole, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -96,11 +96,15 @@ def plan(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed rows: each row of ``docs``, with all its columns, as often as its draw says."""
-    rated = settle(rates(settle(sizes(docs)))).select(F.col("source").alias("__source"), "rate")
-    n = copies(F.col("rate"), key()).cast("int")
-    joined = docs.join(rated, docs["source"].eqNullSafe(F.col("__source"))).withColumn("__n", n).where("__n > 0")
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("__n"))).alias("__copy")).drop("__copy")
+    """The mixed rows: each row of ``docs``, with all its columns, as often as its draw says.
+
+    Columns may have any names. Null and empty texts have no words; they are drawn at
+    their source's rate like any other, and repeated rows get equal draws.
+    """
+    rated = settle(rates(settle(sizes(docs)))).select(F.col("source").alias("of"), "rate")
+    rows = docs.select(whole(docs), F.col("source").alias("source"), key().alias("draw_key"))
+    joined = rows.join(rated, F.col("source").eqNullSafe(F.col("of"))).withColumn("n", copies(F.col("rate"), F.col("draw_key")).cast("int")).where("n > 0")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("row.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
