@@ -1,14 +1,16 @@
 """Toxicity scores: a weighted lexicon matched by Aho-Corasick in folded text, with exception phrases.
 
-Text is folded before matching: case, compatibility forms, letters of other scripts that
-look Latin, and digits and signs that stand for letters. The lexicon (whole words and
-beginnings of words) is learned from labelled documents as log odds; longer words that a
-beginning would also match but that clean documents use are exception phrases, and take
-the match back. What has matched is weighed against the length of the text.
+Text is folded before matching: case, accents and compatibility forms, letters of other
+scripts that look Latin, and digits and signs that stand for letters. The lexicon (whole
+words and beginnings of words) is learned from labelled documents as log odds. Exception
+phrases take a match back: longer words that a beginning would also match, and pairs of
+a matching word with its neighbour, where clean documents use them. What has matched is
+weighed against the number of words.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -25,31 +27,38 @@ from tessera.llm.labelled import held_out, logistic, sample, sigmoid, with_texts
 from tessera.llm.shared import documents, settle, table
 
 #: Letters of the Cyrillic and Greek scripts that look like Latin ones, after lower-casing (fixed values).
-HOMOGLYPHS = dict(zip("авеікмнорстухјѕԁһԛԝαβεηικνορτυχγω", "abeikmhopctyxjsdhqwabehiknoptyxyw"))
+HOMOGLYPHS = dict(zip("авеікмнорстухјѕԁһԛԝαβεηικνορτυχγω", "abeikmhopctyxjsdhqwabenikvoptuxyw"))
+#: Letters with a stroke or without a dot, which have no decomposition (fixed values).
+STROKES = dict(zip("ıøłđħŧƀɨɵʉ", "iolhhtbiou")) | {"đ": "d"}
 #: Digits and signs that stand for letters (fixed values).
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+#: Signs that stand for letters inside a word only (fixed values).
+INSIDE = {"!": "i", "|": "i", "+": "t"}
 #: Lengths of the word beginnings that can be in the lexicon.
 SHORTEST, LONGEST = 3, 7
-#: An entry occurs in so many toxic documents at least, has such odds, and there are so many entries at most.
-LEAST, ODDS, ENTRIES = 4, 8.0, 3000
+#: An entry occurs in so many toxic documents at least and has such odds; an exception in so many clean ones.
+LEAST, ODDS = 4, 8.0
 
 
 class _Fold(dict):
     """What a character becomes, found when it is first met: a letter or digit, or a space."""
 
     def __missing__(self, code: int) -> str:
-        c = unicodedata.normalize("NFKC", chr(code)).lower()
-        c = "".join(HOMOGLYPHS.get(x, SUBSTITUTES.get(x, x)) for x in c)
-        self[code] = made = "".join(x if x.isalnum() else " " for x in c if not unicodedata.combining(x)) or ("" if unicodedata.combining(chr(code)) else " ")
+        found = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", chr(code)).lower())
+        found = "".join(STROKES.get(x, HOMOGLYPHS.get(x, SUBSTITUTES.get(x, x))) for x in found if not unicodedata.combining(x))
+        self[code] = made = "".join(x if x.isalnum() else " " for x in found) or ("" if unicodedata.combining(chr(code)) else " ")
         return made
 
 
 _FOLD = _Fold()
+_SIGN = re.compile(r"(?<=\w)[!|+](?=\w)")
 
 
 def fold(text: str) -> str:
-    """The folded text between two spaces."""
-    return f" {unicodedata.normalize('NFC', text).translate(_FOLD)} "
+    """The folded text, one space between words and around them."""
+    if any(c in text for c in INSIDE):
+        text = _SIGN.sub(lambda m: INSIDE[m[0]], text)
+    return f" {' '.join(text.translate(_FOLD).split())} "
 
 
 def entries(folded: str) -> set[str]:
@@ -107,10 +116,10 @@ class Lexicon:
             return 0.0, 0.0, 0.0
         if not hasattr(self, "_built"):
             self._built = self.automaton()
-        total = 0.0
-        for _, weight in self._built.iter(fold(text)):
+        total, folded = 0.0, fold(text)
+        for _, weight in self._built.iter(folded):
             total += weight
-        total, n = max(total, 0.0), text.count(" ") + text.count("\n") + 1
+        total, n = max(total, 0.0), max(1, folded.count(" ") - 1)
         return float(np.log1p(total)), total / n**0.5, float(np.log1p(100 * total / n))
 
     def score(self, text: str) -> float:
@@ -142,19 +151,37 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexico
     return Lexicon(weights, exceptions)
 
 
+def phrases(folded: str, lexicon: Lexicon) -> set[str]:
+    """Words with their neighbours, for each word that the lexicon matches."""
+    words, found = folded.split(), set()
+    for k, word in enumerate(words):
+        if any(f" {word[:n]}" in lexicon.weights for n in range(SHORTEST, len(word) + 1)) or f" {word} " in lexicon.weights:
+            found |= {f" {' '.join(pair)} " for pair in (words[k - 1 : k + 1] if k else [], words[k : k + 2]) if len(pair) == 2}
+    return found
+
+
+def excuse(lexicon: Lexicon, pairs: list[str]) -> None:
+    """Makes ``pairs`` exception phrases, which take back what matches in them (once, if one pair's match is another's)."""
+    bare = Lexicon(lexicon.weights, dict(lexicon.exceptions)).automaton()
+    for pair in pairs:
+        taken = sum(w for _, w in bare.iter(pair))
+        if taken > 0:
+            lexicon.exceptions[pair] = taken
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """A lexicon from a bounded sample: one half gives entries and weights, the other the calibration.
 
-    Only counts that are far from chance come to the driver, at most ENTRIES of either kind.
+    All counts that are far from chance come to the driver: of at most SAMPLE labelled
+    texts, those entries alone that LEAST of them have. Without labels the lexicon is empty.
     """
-    chosen = with_texts(docs, sample(labels, "toxic"))
-    counts = chosen.mapInArrow(_counted, "entry string, toxic bigint, clean bigint").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counts = settle(counts)
+    chosen = settle(with_texts(docs, sample(labels, "toxic")))
+    counts = settle(chosen.mapInArrow(_counted, "entry string, toxic bigint, clean bigint").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")))
     totals = counts.where("entry = ''").first()
     toxic, clean = (totals["t"], totals["c"]) if totals else (0, 0)
     odds = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(clean + 1.0))
     seen = counts.where("entry <> ''").withColumn("o", odds)
-    strong = seen.where((F.col("t") >= LEAST) & (F.col("o") >= float(np.log(ODDS)))).orderBy((-F.col("o") * F.col("t")), "entry").limit(ENTRIES).collect()
+    strong = seen.where((F.col("t") >= LEAST) & (F.col("o") >= float(np.log(ODDS)))).orderBy("entry").collect()
     starts = sorted({r["entry"].rstrip(" ") for r in strong})
     weak = []
     if starts:
@@ -162,9 +189,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         near = F.lit(False)
         for n in sorted({len(s) for s in starts}):
             near = near | F.substring("entry", 1, n).isin([s for s in starts if len(s) == n])
-        weak = benign.where(near).orderBy(-F.col("c"), "entry").limit(ENTRIES).collect()
+        weak = benign.where(near).orderBy("entry").collect()
     lexicon = choose([(r["entry"], r["t"], r["c"]) for r in [*strong, *weak]], toxic, clean)
 
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen_in = {True: Counter(), False: Counter()}
+        for batch in batches:
+            for i, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
+                if _half(i):
+                    seen_in[bool(label)].update(phrases(fold(text or ""), lexicon))
+        names = list(seen_in[True].keys() | seen_in[False].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen_in[x][n] for n in names], pa.int64()) for x in (True, False))], names=["entry", "t", "c"])
+
+    if lexicon.weights:
+        pairs = chosen.mapInArrow(paired, "entry string, t bigint, c bigint").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        excuse(lexicon, [r["entry"] for r in pairs.withColumn("o", odds).where((F.col("c") >= LEAST) & (F.col("o") < 0)).orderBy("entry").collect()])
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole):
@@ -181,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row; a null text is empty, and an empty one has a score."""
+    """doc_id, held_out, score and predicted of each row; a null text is empty, and an empty one has a score; repeated rows have equal scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
