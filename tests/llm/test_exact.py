@@ -77,6 +77,35 @@ def test_quality_thresholds_adapt(spark):
     assert sum(kept[i] for i in range(1, 301)) >= 297 and not any(kept[i] for i in range(301, 331))
 
 
+def test_each_rule_has_thresholds_of_its_own_by_group(spark):
+    """A group whose documents have more of anything gets another threshold for it, and keeps what the other group does not."""
+    r = random.Random(4)
+
+    def text(i, rich):
+        w = ["".join(r.choices("abcdefghij", k=r.randint(4, 6))) for _ in range(150)]
+        if rich:
+            for k in range(0, 150, 3):
+                w[k] = w[k].upper() + "#" * r.randint(1, 3) + "longer" * r.randint(1, 2)
+            again = r.randint(5, 40)
+            w += w[:again]
+        lines = [" ".join(w[k : k + 10]) for k in range(0, len(w), 10)]
+        return "\n".join(lines + lines[: rich * r.randint(1, 4)])
+
+    data = [(i, text(i, i >= 400), "en", "plain" if i < 400 else "rich") for i in range(800)] + [(i, text(i, True), "en", "plain") for i in range(800, 803)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    tops = {x["source"]: x for x in quality_rules.limits(quality_rules.sketches(quality_rules.measures(docs))).collect()}
+    assert all(tops["rich"][f"{rule}_limit"] > 1.2 * tops["plain"][f"{rule}_limit"] for rule in quality_rules.RULES), tops
+    kept = {x["doc_id"]: x["kept"] for x in quality_rules.assess(docs).collect()}
+    assert sum(kept[i] for i in range(800)) >= 760 and not any(kept[i] for i in range(800, 803))
+
+
+def test_a_small_group_is_drawn_towards_larger_ones(spark):
+    """Thresholds change by little as a group passes any number of documents."""
+    rows_ = [("en", s, rule, 100 * k, n) for rule in quality_rules.RULES for s, n, k in (("big", 5000, 1), ("g", 199, 5), ("g2", 201, 5), ("one", 1, 5))]
+    tops = {x["source"]: x["symbol_limit"] for x in quality_rules.limits(spark.createDataFrame(rows_, "lang string, source string, rule string, bin long, n long")).collect()}
+    assert tops["big"] < tops["one"] < 120 < tops["g"] <= tops["g2"] < tops["g"] + 10
+
+
 def levels(sizes, weights, share=1.5, cap=2):
     """Targets by sharing again and again."""
     target, open_, left = dict.fromkeys(sizes, 0.0), set(sizes), share * sum(sizes.values())
@@ -136,19 +165,56 @@ def test_backtracking_gives_way():
     assert greedy
 
 
-def test_ppm_is_a_distribution():
-    texts = [ppm.normal(t.encode()) for t in copies(3)]
-    values, counts = ppm.counted(ppm.symbols(texts)[0])
-    for share in (1 << 20, 1 << 8):
-        held, ppm.NODES = ppm.NODES, share
-        model = ppm.Model(ppm.nodes(values, counts, int(counts.sum())))
-        ppm.NODES = held
-        for context in (b"\n" * 6, b"in the", b"zzzzzz", b"tion o"):
-            window = np.array([int.from_bytes(bytes([s]) + context[::-1], "little") for s in range(256)], dtype=np.uint64)
-            assert abs((10 ** model.score(window)).sum() - 1) < 1e-4
-        assert max(len(k) for k in model.keys) <= share
-        one = model.texts(texts)
-        assert np.allclose(one, [model.texts([t])[0] for t in texts])
+def ppm_by_hand(train, text):
+    """log10 of a normal text's probability, symbol by symbol from dictionaries of contexts."""
+    seen = defaultdict(Counter)
+    for t in train:
+        padded = b"\n" * ppm.ORDER + t
+        for i in range(ppm.ORDER, len(padded)):
+            for k in range(ppm.ORDER + 1):
+                seen[padded[i - k : i]][padded[i]] += 1
+    total, padded = 0.0, b"\n" * ppm.ORDER + text
+    for i in range(ppm.ORDER, len(padded)):
+        excluded = set()
+        for k in range(ppm.ORDER, -1, -1):
+            own = seen.get(padded[i - k : i], {})
+            left = {s: n for s, n in own.items() if s not in excluded}
+            if padded[i] in left:
+                total += math.log10((left[padded[i]] - 0.5) / sum(left.values()))
+                break
+            if left:
+                total += math.log10(0.5 * len(left) / sum(left.values()))
+            excluded |= set(own)
+        else:
+            total -= math.log10(256 - len(seen.get(b"", {})))
+    return total
+
+
+@pytest.mark.parametrize("slice_, part, piece", [(16 << 20, 32 << 20, 1 << 20), (4000, 1500, 700)])
+def test_ppm_scores(spark, monkeypatch, slice_, part, piece):
+    """Scores against contexts in dictionaries, in one part and in many; texts that only held-out rows have go down all levels."""
+    monkeypatch.setattr(lm_score, "SLICE", slice_)
+    monkeypatch.setattr(lm_score, "PART", part)
+    texts = copies(3) + ["Zebra QUARTZ jumps über 日本 vexed", "xyzzy " * 30, None, "", "a"] + [prose(900 + i, 30).replace("e", "qz") for i in range(12)]
+    normal = [ppm.normal((t or "").encode()) for t in texts]
+    assert sum(len(p[0]) for p in ppm.pieces(normal)) == sum(map(len, normal))
+    train = [t for d, t in enumerate(normal, 1) if zlib.crc32(str(d).encode()) % 10]
+    out = {r["doc_id"]: r["score"] for r in lm_score.scores(frame(spark, texts)).collect()}
+    for d in {*range(1, len(texts) + 1, 5), *(d for d in range(1, len(texts) + 1) if zlib.crc32(str(d).encode()) % 10 == 0)}:
+        assert math.isclose(out[d], ppm_by_hand(train, normal[d - 1]), abs_tol=1e-6 * len(normal[d - 1]) + 1e-5), d
+
+
+def test_ppm_pieces_reach_over_their_cuts(monkeypatch):
+    texts = [ppm.normal(t.encode()) for t in copies(3)[:9]]
+    whole = np.concatenate([p[0] for p in ppm.pieces(texts)])
+    monkeypatch.setattr(ppm, "PIECE", 50)
+    assert (np.concatenate([p[0] for p in ppm.pieces(texts)]) == whole).all()
+
+
+def test_ppm_without_training(spark):
+    held = [d for d in range(200) if zlib.crc32(str(d).encode()) % 10 == 0]
+    out = lm_score.scores(spark.createDataFrame([(d, "ab") for d in held], "doc_id long, text string")).collect()
+    assert len(out) == len(held) and all(math.isclose(r["score"], -3 * math.log10(256), rel_tol=1e-6) and r["train_tokens"] == 0 for r in out)
 
 
 def test_word_model(spark):
@@ -190,25 +256,57 @@ def test_random_keys_are_found_and_words_are_not():
     assert not any(secret_scan.discoveries(words)) and not any(secret_scan.discoveries([w.capitalize() + "-" + w for w in words]))
 
 
-def test_keys_of_other_alphabets_are_found():
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+MAKERS = {
+    "base64": (LOWER + UPPER + DIGITS + "+/", 40), "url base64": (LOWER + UPPER + DIGITS + "-_", 40), "base62": (LOWER + UPPER + DIGITS, 32),
+    "hex": ("0123456789abcdef", 32), "capital hex": ("0123456789ABCDEF", 32), "base32": (UPPER + "234567", 32), "lower base32": (LOWER + "234567", 52),
+    "base36": (LOWER + DIGITS, 32), "capital base36": (UPPER + DIGITS, 32), "letters": (LOWER, 40), "capitals": (UPPER, 40), "base58": (DIGITS[1:] + LOWER.replace("l", "") + UPPER.replace("I", "").replace("O", ""), 44),
+}
+#: Long runs that people write.
+WRITTEN = """com/example/app/v2/API/users/42/items getUserAccountBalanceFromDB2 averylongcompoundwordwithoutanykey AVERYLONGCOMPOUNDWORDWITHOUTANYKEY
+chapter12sectionnumber3page 2024-01-02-03-04-05-06-07 aaaaaaaa-bbbbbbbb-cccccccc Donaudampfschifffahrtsgesellschaft MAX_CONNECTIONS_PER_HOST_AND_PORT
+src/main/java/org/apache/commons/lang3/StringUtils /usr/local/share/doc/packages/README the-quick-brown-fox-jumps-over-the-lazy-dog
+AbstractSingletonProxyFactoryBean application/vnd_openxmlformats-officedocument INTERNATIONALIZATIONANDLOCALIZATION 12345678901234567890123456789
+responsabilidadcorporativainternacional thisIsAVariableNameWithManyWordsInIt node_modules/webpack-dev-server/client/index electroencephalographically
+2019-12-31/2020-01-01/report-final-v3 HTTPServerRequestHandlerFactoryImpl anticonstitutionnellement-et-autres-mots issue-tracker-1234567-comment-98765
+user_profile_picture_thumbnail_url_2x abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 xxxxxxxxxxxxxxxxxxxxxxxxxxxx images/2023/11/27/IMG_20231127_104512""".split()
+
+
+def test_keys_of_every_alphabet_are_found():
     import uuid
 
     r = random.Random(2)
-    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    makers = {
-        "base36": lambda: "".join(r.choices(lower + "0123456789", k=40)),
-        "capital base36": lambda: "".join(r.choices(upper + "0123456789", k=40)),
-        "lower base32": lambda: "".join(r.choices(lower + "234567", k=52)),
-        "uuid": lambda: str(uuid.UUID(int=r.getrandbits(128), version=4)),
-    }
-    found = {name: sum(secret_scan.discoveries([make()])[0] for _ in range(200)) for name, make in makers.items()}
-    assert min(found.values()) >= 170, found
+    makers = {name: lambda a=a, n=n: "".join(r.choices(a, k=n)) for name, (a, n) in MAKERS.items()} | {"uuid": lambda: str(uuid.UUID(int=r.getrandbits(128), version=4))}
+    found = {name: sum(secret_scan.discoveries([make()])[0] for _ in range(400)) / 400 for name, make in makers.items()}
+    assert min(found.values()) >= 0.95, found
+
+
+def test_written_runs_are_none():
+    assert [w for w in WRITTEN if secret_scan.discoveries([w])[0]] == []
+    assert not any(secret_scan.discoveries(WRITTEN))
     counts = [0] * 8
     for v in range(36):
         counts[v * 8 // 36] += 1
-    assert not secret_scan.refused(r.sample(list(range(36)) * 10, 360), 36) and counts == [5, 4, 5, 4, 5, 4, 5, 4]
-    for text in ("aaaaaaaa-bbbbbbbb-cccccccc", "2024-01-02-03-04-05-06-07", "averylongcompoundwordwithoutanykey", "AVERYLONGCOMPOUNDWORDWITHOUTANYKEY", "chapter12sectionnumber3page"):
-        assert secret_scan.discoveries([text]) == [False], text
+    assert not secret_scan.refused(random.Random(2).sample(list(range(36)) * 10, 360), 36) and counts == [5, 4, 5, 4, 5, 4, 5, 4]
+
+
+def test_the_evidence_is_a_p_value():
+    """Of runs drawn from the written-text model itself, at most a share p has evidence p or less."""
+    r = random.Random(5)
+    vowels = secret_scan.VOWELS
+    others = [c for c in LOWER if c not in vowels]
+
+    def draw(n):
+        out, share = "", sum(secret_scan.LETTERS[c] for c in vowels) / sum(secret_scan.LETTERS.values())
+        for _ in range(n):
+            chosen = vowels if r.random() < share else others
+            out += r.choices(chosen, [secret_scan.LETTERS[c] for c in chosen])[0]
+            share = secret_scan.AFTER_VOWEL if chosen is vowels else secret_scan.AFTER_CONSONANT
+        return out
+
+    runs = [draw(30) for _ in range(3000)]
+    for p in (0.1, 0.01, 0.001):
+        assert sum(secret_scan.evidence(x) <= p for x in runs) <= p * len(runs) * 1.5 + 2
 
 
 def test_keys_after_an_equals_sign_are_candidates():
@@ -282,21 +380,48 @@ def test_a_large_bucket_hides_no_link(spark, monkeypatch):
     assert out == [1] * 100
 
 
-def test_toxicity_learns_words_and_disguises(spark):
-    r = random.Random(1)
+def toxic_corpus(seed, n):
+    """Texts of which every fourth has toxic words, disguised or not; clean ones have the same words in two harmless phrases."""
+    r = random.Random(seed)
     texts, labels = [], []
-    for i in range(1, 1201):
+    for i in range(1, n + 1):
         toxic = i % 4 == 0
         w = prose(i, r.randint(30, 80)).split()
         for _ in range(3 * toxic):
             w[r.randrange(len(w))] = r.choice(["zorgle", "Z0RGLE", "zоrgle", "blimph", "81imph".replace("81", "bl"), "kravish" + r.choice(["en", "es", "on"])])
+        for _ in range(r.random() < 0.15 and not toxic):
+            w[r.randrange(len(w))] = r.choice(["zorgle garden", "green blimph"])
         texts.append(" ".join(w))
         labels.append((i, int(toxic)))
+    return texts, labels
+
+
+def test_toxicity_learns_words_and_disguises(spark):
+    texts, labels = toxic_corpus(1, 2000)
     docs, marks = frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
-    out = {x["doc_id"]: x for x in toxicity.scores(docs, toxicity.learn(docs, marks)).collect()}
+    lexicon = toxicity.learn(docs, marks)
+    out = {x["doc_id"]: x for x in toxicity.scores(docs, lexicon).collect()}
     held = [(out[i]["predicted"], y) for i, y in labels if out[i]["held_out"]]
     assert sum(p == y for p, y in held) / len(held) > 0.97
-    assert toxicity.fold("Z0RGLЕ") == " zorgle "
+    assert {" zorgle garden ", " green blimph "} <= set(lexicon.exceptions)
+    assert lexicon.measure("we saw the zorgle garden")[0] == 0 < lexicon.measure("we saw the zorgle man")[0]
+    # The automaton against every entry looked for at every place, and the score of a text against its formula.
+    for text in texts[:200] + ["", "zorgle zorgle garden green blimph blimph", "Z0RGLE!garden"]:
+        folded = toxicity.fold(text)
+        total = sum(w * sum(folded.startswith(e, k) for k in range(len(folded))) for e, w in lexicon.weights.items())
+        total -= sum(w * sum(folded.startswith(e, k) for k in range(len(folded))) for e, w in lexicon.exceptions.items())
+        n, total = max(1, len(folded.split())), max(total, 0.0)
+        expected = (math.log1p(total), total / n**0.5, math.log1p(100 * total / n))
+        assert np.allclose(lexicon.measure(text), expected)
+        assert math.isclose(lexicon.score(text), 1 / (1 + math.exp(-sum(a * b for a, b in zip(lexicon.curve, (*expected, 1))))), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("raw,folded", [
+    ("Z0RGLЕ", "zorgle"), ("ζνη", "ζvn"), ("b|imph k1ll", "bimph kill".replace("bim", "biim")), ("st!nk s+op hello!", "stink stop hello"), ("8a6 9oo", "bag goo"),
+    ("ıdıøt Łoser đumb", "idiot loser dumb"), ("éàü e\u0301", "eau e"), ("\uff4b\uff49\uff4c\uff4c", "kill"), ("a+b = c", "atb c"), ("", ""),
+])
+def test_toxicity_folds(raw, folded):
+    assert toxicity.fold(raw).split() == folded.split()
 
 
 def test_trees_learn():
