@@ -1,7 +1,9 @@
 """Scopes, identities, requirements, claims and the answer-or-abstain ladder.
 
-Identity metadata comes from ``part`` (brand as manufacturer, type as family, name as
-model); sentences of technical language, which the test tables lack, are literal rows.
+The test tables have no sentences of technical language, so chunks are spelled out of
+``part``: five parts make a manual of one model, and each part gives a sentence with its
+own size, price and type as the values. Every 50th part asks a question. Candidates of a
+question are found by the names it asks for or its two rarest tokens, never by pairing all questions with all chunks.
 """
 
 from __future__ import annotations
@@ -11,36 +13,51 @@ from tessera.plans.dialect import Book
 book = Book()
 QUERIES, ORACLES, COVERS = book.QUERIES, book.ORACLES, book.COVERS
 
-CHUNKS = [
-    "(1, 'd1', 'AX-200', 'AX', 'drives', 3, 'The AX-200 drive supports Modbus RTU at 19200 baud. Parameter P12 sets the ramp time to 5 s.')",
-    "(2, 'd1', 'AX-200', 'AX', 'drives', 4, 'Fault E07 means over-temperature. Let the drive cool and check the fan.')",
-    "(3, 'd2', 'AX-300', 'AX', 'drives', 1, 'The AX-300 drive supports CANopen. Rated voltage 400 V. Firmware 2.10 or later.')",
-    "(4, 'd3', 'BR-10', 'BR', 'brakes', 2, 'Brake BR-10 has a rated torque of 10 Nm and weighs 1.5 kg.')",
-    "(5, 'd3', 'BR-10', 'BR', 'brakes', 5, 'Do not open the cover. Fault E07 does not apply to brakes.')",
-    "(6, 'd4', '', '', 'general', 1, 'General safety notes. Wear gloves.')",
-]
-ASKS = [
-    "(1, 'What does fault E07 mean on the AX-200?', 'AX-200', 'E07')",
-    "(2, 'Which bus does the AX-300 support?', 'AX-300', '')",
-    "(3, 'What is the rated torque of the BR-10?', 'BR-10', '')",
-    "(4, 'Ramp time of the CX-900', 'CX-900', '')",
-    "(5, 'What does fault F99 mean?', '', 'F99')",
-    "(6, 'Should I wear gloves?', '', '')",
-    "(7, 'How do I bypass the password of the drive?', '', '')",
-]
+#: Models and fault codes as they are written in chunks and questions.
+NAME = "[A-Z]{2}-?[0-9]{2,9}|[EF][0-9]{2,9}"
+SERIES = "CASE k % 6 WHEN 0 THEN 'EC' WHEN 1 THEN 'ST' WHEN 2 THEN 'PR' WHEN 3 THEN 'LA' WHEN 4 THEN 'ME' ELSE 'SM' END"
 
 
 def chunks(d):
-    return d.rows("chunk_id, doc, model, series, family, page, text", *CHUNKS)
+    """chunk_id, doc, model ('' for general notes), series, family, page and text of each part."""
+    n = lambda x: f"CAST({x} AS VARCHAR(20))"
+    price = n("CAST(floor(p_retailprice) AS BIGINT)")
+    return f"""(SELECT chunk_id, 'd' || {n('k')} AS doc, model, CASE WHEN model = '' THEN '' ELSE series END AS series, family, page,
+      CASE WHEN model = '' THEN 'General safety notes for a ' || name || '. Wear gloves of size ' || {n('size')} || '.'
+           WHEN page = 1 THEN 'The ' || model || ' ' || name || ' supports ' || bus || ' at ' || {n('size * 100')} || ' baud. Parameter P' || {n('size')} || ' sets the ramp time to ' || {n('size')} || ' s.'
+           WHEN page = 2 THEN 'Fault E' || {n('k + 10')} || ' means over-temperature. Let the ' || name || ' cool and check the fan.'
+           WHEN page = 3 THEN 'The ' || model || ' ' || name || ' supports ' || bus || '. Rated voltage ' || {price} || ' V. Firmware 2.' || {n('size')} || ' or later.'
+           WHEN page = 4 THEN name || ' ' || model || ' has a rated torque of ' || {n('size')} || ' Nm and weighs ' || {price} || ' kg. Rated voltage ' || {n('size * 8')} || ' V.'
+           ELSE 'Do not open the cover of the ' || model || '. Fault E' || {n('k + 10')} || ' does not apply to a ' || name || '.' END AS text
+      FROM (SELECT chunk_id, k, page, name, size, p_retailprice, family, {SERIES} AS series, CASE WHEN k % 7 = 6 THEN '' ELSE {SERIES} || '-' || {n('k + 10')} END AS model, CASE WHEN size % 2 = 0 THEN 'Modbus RTU' ELSE 'CANopen' END AS bus
+            FROM (SELECT p_partkey AS chunk_id, CAST(floor(p_partkey / 5) AS BIGINT) AS k, p_partkey % 5 + 1 AS page, p_name AS name, CAST(p_size AS BIGINT) AS size, p_retailprice, lower(p_type) AS family FROM {d.t('part')}) k0) k1)"""
 
 
 def asks(d):
-    return d.rows("ask, question, model, code", *ASKS)
-
-
-TABLES = lambda d: f"c AS (SELECT * FROM {chunks(d)} c0), a AS (SELECT * FROM {asks(d)} a0)"
-SCORED = lambda d: f"""qt AS (SELECT ask, {d.explode(d.distinct(d.tokens('question')))} AS token FROM a), ct AS (SELECT chunk_id, {d.explode(d.distinct(d.tokens('text')))} AS token FROM c),
-    hits AS (SELECT ask, chunk_id, count(*) AS n FROM qt JOIN ct ON qt.token = ct.token WHERE length(qt.token) > 2 GROUP BY ask, chunk_id)"""
+    """ask, question, model and code for every 50th part: its own manual, one that no chunk has, or none."""
+    n = lambda x: f"CAST({x} AS VARCHAR(20))"
+    own = f"{SERIES} || '-' || {n('k + 10')}"
+    return f"""(SELECT ask, model, code,
+      CASE kind WHEN 0 THEN 'What does fault ' || code || ' mean on the ' || model || '?' WHEN 1 THEN 'Which bus does the ' || model || ' support?'
+           WHEN 2 THEN 'What is the rated torque of the ' || model || '?' WHEN 3 THEN 'Ramp time of the ' || model WHEN 4 THEN 'What does fault ' || code || ' mean?'
+           WHEN 5 THEN 'Should I wear gloves with a ' || name || '?' WHEN 6 THEN 'How do I bypass the password of the drive?' ELSE 'Is the rated voltage of the ' || model || ' 400 V?' END AS question
+      FROM (SELECT ask, name, kind, CASE WHEN kind IN (4, 5, 6) THEN '' WHEN kind = 3 THEN 'CX-' || {n('k + 10')} ELSE {own} END AS model,
+                   CASE kind WHEN 0 THEN 'E' || {n('k + 10')} WHEN 4 THEN 'F' || {n('k + 10')} ELSE '' END AS code
+            FROM (SELECT p_partkey AS ask, CAST(floor(p_partkey / 5) AS BIGINT) AS k, p_partkey % 5 + 1 AS page, p_name AS name, CAST(floor(p_partkey / 50) AS BIGINT) % 8 AS kind FROM {d.t('part')} WHERE p_partkey % 50 = 0) a0) a1)"""
+
+
+TABLES = lambda d: f"c AS (SELECT * FROM {chunks(d)} c9), a AS (SELECT * FROM {asks(d)} a9)"
+#: hits: tokens in common of a question and its candidates: chunks with one of the names (tokens with digits) that it asks
+#: for, or, where it asks for none, with both of its two rarest tokens.
+SCORED = lambda d: f"""qt AS (SELECT ask, token, CASE WHEN {d.has('token', '[0-9]')} THEN 1 ELSE 0 END AS is_name FROM (SELECT ask, {d.explode(d.distinct(d.tokens('question')))} AS token FROM a) q0 WHERE length(token) > 2),
+    ct AS (SELECT chunk_id, token FROM (SELECT chunk_id, {d.explode(d.distinct(d.tokens('text')))} AS token FROM c) c0 WHERE token IN (SELECT token FROM qt)),
+    df AS (SELECT token, count(*) AS df FROM ct GROUP BY token),
+    rare AS (SELECT ask, token, named FROM (SELECT qt.ask, qt.token, is_name, max(is_name) OVER (PARTITION BY qt.ask) AS named, row_number() OVER (PARTITION BY qt.ask ORDER BY CASE WHEN df.df IS NULL THEN 1 ELSE 0 END, df.df, qt.token) AS k
+             FROM qt LEFT JOIN df ON qt.token = df.token) r0 WHERE named = 1 AND is_name = 1 OR named = 0 AND k <= 2),
+    cand AS (SELECT rare.ask, ct.chunk_id FROM rare JOIN ct ON rare.token = ct.token GROUP BY rare.ask, ct.chunk_id HAVING max(named) = 1 OR count(*) = 2),
+    hits AS (SELECT cand.ask, cand.chunk_id, count(*) AS n FROM cand JOIN qt ON cand.ask = qt.ask JOIN ct ON cand.chunk_id = ct.chunk_id AND qt.token = ct.token GROUP BY cand.ask, cand.chunk_id)"""
+#: names: the models and codes that each chunk has, in its text or as its model.
+NAMES = lambda d: f"""names AS (SELECT DISTINCT chunk_id, doc, name FROM (SELECT chunk_id, doc, {d.explode(d.find_all('text', NAME))} AS name FROM c UNION ALL SELECT chunk_id, doc, model FROM c WHERE model <> '') n0)"""
 
 
 @book.both("FLT1 FLT2 FLT3 SUB60")
@@ -56,28 +73,29 @@ def exact_filter_with_fallback(d):
 @book.both("FLT4 SUB4 HAR35")
 def identifier_scope(d):
     """Chunks that have every identifier of a question, in their text or as their model."""
-    p = "[A-Z]{1,3}-?[0-9]{2,4}"
     return f"""
-    WITH {TABLES(d)}, w AS (SELECT ask, {d.distinct(d.find_all('question', p))} AS wanted FROM a),
-    f AS (SELECT chunk_id, {d.distinct(d.either(d.find_all('text', p), d.array('model')))} AS found FROM c)
-    SELECT ask, chunk_id FROM w JOIN f ON {d.size('wanted')} > 0 AND {d.size(d.minus('wanted', 'found'))} = 0"""
+    WITH {TABLES(d)}, {NAMES(d)}, w AS (SELECT ask, {d.explode(d.distinct(d.find_all('question', NAME)))} AS name FROM a), need AS (SELECT ask, count(*) AS k FROM w GROUP BY ask)
+    SELECT w.ask, names.chunk_id FROM w JOIN names ON w.name = names.name JOIN need ON w.ask = need.ask GROUP BY w.ask, names.chunk_id, k HAVING count(*) = k"""
 
 
 @book.both("FLT5 JOIN3 IDN4 IDN5")
 def identity_relation_matrix(d):
-    """The relation of each asked model to each chunk's, from the same model to a mismatch."""
+    """How many chunks have each relation to a question's model, from the same model to a mismatch: counts by model and series, no pairs."""
+    series = d.find('a.model', '^[A-Z]+')
     return f"""
-    WITH {TABLES(d)}
-    SELECT ask, chunk_id, CASE WHEN a.model = '' OR c.model = '' THEN 'UNKNOWN' WHEN a.model = c.model THEN 'EXACT_MODEL'
-           WHEN {d.find('a.model', '^[A-Z]+')} = c.series THEN 'SAME_SERIES' ELSE 'MISMATCH' END AS relation,
-           a.model = '' OR c.model = '' OR a.model = c.model AS compatible FROM a JOIN c ON true"""
+    WITH {TABLES(d)}, m AS (SELECT model, count(*) AS n FROM c WHERE model <> '' GROUP BY model), s AS (SELECT series, count(*) AS n FROM c WHERE model <> '' GROUP BY series),
+    t AS (SELECT count(*) AS n, {d.i("sum(CASE WHEN model = '' THEN 1 ELSE 0 END)")} AS blank FROM c),
+    r AS (SELECT a.ask, a.model, t.n AS every, t.blank, coalesce(m.n, 0) AS same, coalesce(s.n, 0) AS series FROM a JOIN t ON true LEFT JOIN m ON a.model = m.model LEFT JOIN s ON {series} = s.series),
+    x AS (SELECT ask, 'UNKNOWN' AS relation, CASE WHEN model = '' THEN every ELSE blank END AS chunks FROM r UNION ALL SELECT ask, 'EXACT_MODEL', same FROM r WHERE model <> ''
+      UNION ALL SELECT ask, 'SAME_SERIES', series - same FROM r WHERE model <> '' UNION ALL SELECT ask, 'MISMATCH', every - blank - series FROM r WHERE model <> '')
+    SELECT ask, relation, chunks, relation IN ('UNKNOWN', 'EXACT_MODEL') AS compatible FROM x WHERE chunks > 0"""
 
 
 @book.both("JOIN5 WIN4 RET7")
 def scope_tier_fill(d):
     """Ten parts for each asked part, filled tier by tier (brand and type, brand, size); a part fills once, in its first tier."""
     return f"""
-    WITH q AS (SELECT p_partkey AS ask, p_brand AS b, p_type AS t, p_size AS s FROM {d.t('part')} WHERE p_partkey % 100 = 0),
+    WITH q AS (SELECT p_partkey AS ask, p_brand AS b, p_type AS t, p_size AS s FROM {d.t('part')} WHERE p_partkey % 50 = 0),
     m AS (SELECT ask, p_partkey, CASE WHEN p_brand = b AND p_type = t THEN 0 WHEN p_brand = b THEN 1 ELSE 2 END AS tier FROM q JOIN {d.t('part')} p ON (p_brand = b) AND p_partkey <> ask
           UNION ALL SELECT ask, p_partkey, 2 AS tier FROM q JOIN {d.t('part')} p ON p_size = s AND p_brand <> b),
     r AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY tier, p_partkey) AS rank FROM m)
@@ -88,7 +106,7 @@ def scope_tier_fill(d):
 def query_identities(d):
     """Models that a question names, raw and without hyphens, against those of the corpus; which of them the corpus lacks."""
     return f"""
-    WITH {TABLES(d)}, m AS (SELECT ask, {d.explode(d.distinct(d.find_all('question', '[A-Z]{2}-?[0-9]{2,4}')))} AS model FROM a),
+    WITH {TABLES(d)}, m AS (SELECT ask, {d.explode(d.distinct(d.find_all('question', '[A-Z]{2}-?[0-9]{2,9}')))} AS model FROM a),
     k AS (SELECT DISTINCT replace(model, '-', '') AS folded FROM c WHERE model <> '')
     SELECT ask, m.model, k.folded IS NOT NULL AS known, CASE WHEN k.folded IS NOT NULL THEN 'EXACT' ELSE 'UNKNOWN' END AS confidence FROM m LEFT JOIN k ON replace(m.model, '-', '') = k.folded"""
 
@@ -106,8 +124,8 @@ def extended_identity(d):
 def coverage_gate(d):
     """A verdict for each question: the models and codes it names that no chunk has, in order, as the reason."""
     return f"""
-    WITH {TABLES(d)}, n AS (SELECT ask, {d.explode(d.distinct(d.find_all('question', '[A-Z]{1,2}-?[0-9]{2,4}')))} AS name FROM a),
-    missing AS (SELECT n.ask, n.name FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE contains(c.text, n.name)))
+    WITH {TABLES(d)}, {NAMES(d)}, n AS (SELECT ask, {d.explode(d.distinct(d.find_all('question', NAME)))} AS name FROM a),
+    missing AS (SELECT n.ask, n.name FROM n LEFT JOIN (SELECT DISTINCT name FROM names) k ON n.name = k.name WHERE k.name IS NULL)
     SELECT a.ask, m.reason IS NULL AS ok, coalesce(m.reason, '') AS reason FROM a LEFT JOIN (SELECT ask, {d.listed('name', '+', 'name')} AS reason FROM missing GROUP BY ask) m ON a.ask = m.ask"""
 
 
@@ -118,7 +136,7 @@ def typed_requirements(d):
     WITH {TABLES(d)}
     SELECT ask, 'identifier' AS kind, code AS item, true AS critical FROM a WHERE code <> ''
     UNION ALL SELECT ask, 'model', model, true FROM a WHERE model <> ''
-    UNION ALL SELECT ask, 'attribute', {d.find('lower(question)', '(rated torque|ramp time|bus|voltage)', 1)}, true FROM a WHERE {d.has('lower(question)', '(rated torque|ramp time|bus|voltage)')}
+    UNION ALL SELECT ask, 'attribute', {d.find('lower(question)', '(rated torque|ramp time|rated voltage|bus)', 1)}, true FROM a WHERE {d.has('lower(question)', '(rated torque|ramp time|rated voltage|bus)')}
     UNION ALL SELECT ask, 'keyword', {d.explode(d.distinct(d.find_all('lower(question)', '[a-z]{6,}')))}, false FROM a"""
 
 
@@ -126,9 +144,9 @@ def typed_requirements(d):
 def claim_cover_pairs(d):
     """Groups of one or two chunks of a document that together hold all critical items of a question."""
     return f"""
-    WITH {TABLES(d)}, r AS (SELECT ask, code AS item FROM a WHERE code <> '' UNION ALL SELECT ask, model FROM a WHERE model <> ''),
+    WITH {TABLES(d)}, {NAMES(d)}, r AS (SELECT ask, code AS item FROM a WHERE code <> '' UNION ALL SELECT ask, model FROM a WHERE model <> ''),
     need AS (SELECT ask, count(*) AS k FROM r GROUP BY ask),
-    has_item AS (SELECT r.ask, r.item, c.chunk_id, c.doc FROM r JOIN c ON contains(c.text, r.item) OR c.model = r.item),
+    has_item AS (SELECT r.ask, r.item, names.chunk_id, names.doc FROM r JOIN names ON names.name = r.item),
     pair AS (SELECT x.ask, x.chunk_id AS a, y.chunk_id AS b, x.item AS i, y.item AS j FROM has_item x JOIN has_item y ON x.ask = y.ask AND x.doc = y.doc AND x.chunk_id <= y.chunk_id)
     SELECT pair.ask, a, b FROM (SELECT ask, a, b, i AS item FROM pair UNION SELECT ask, a, b, j FROM pair) pair JOIN need ON pair.ask = need.ask GROUP BY pair.ask, a, b, k HAVING count(DISTINCT item) = k"""
 
@@ -141,28 +159,34 @@ def local_value_scope(d):
     SELECT doc, model, count(*) AS pages, max(page) - min(page) AS spread, max(page) - min(page) <= 2 AS same_scope FROM v GROUP BY doc, model"""
 
 
+#: reasons: the first branch that holds for each question.
+LADDER = lambda d: f"""{TABLES(d)}, {SCORED(d)}, {NAMES(d)}, known AS (SELECT DISTINCT name FROM names), models AS (SELECT DISTINCT model FROM c WHERE model <> ''),
+    f AS (SELECT a.ask, a.code <> '' AS asks_code, a.model <> '' AS asks_model, {d.has('lower(question)', 'bypass')} AND {d.has('lower(question)', 'password')} AS unsafe, known.name IS NOT NULL AS code_known, models.model IS NOT NULL AS model_known
+          FROM a LEFT JOIN known ON a.code = known.name LEFT JOIN models ON a.model = models.model),
+    h AS (SELECT hits.ask, max(n) AS best, max(CASE WHEN c.model = a.model THEN n ELSE 0 END) AS own FROM hits JOIN c ON hits.chunk_id = c.chunk_id JOIN a ON hits.ask = a.ask GROUP BY hits.ask),
+    reasons AS (SELECT f.ask, CASE WHEN unsafe THEN 'SECURITY_BYPASS' WHEN asks_code AND NOT code_known THEN 'UNKNOWN_IDENTIFIER' WHEN asks_model AND NOT model_known THEN 'MODEL_MISMATCH'
+           WHEN best IS NULL THEN 'NO_CANDIDATE' WHEN asks_model AND own = 0 THEN 'NO_COMPATIBLE' WHEN asks_code THEN 'IDENTIFIER_MATCH' WHEN asks_model THEN 'MODEL_MATCH'
+           WHEN best >= 2 THEN 'LEXICAL_MATCH' ELSE 'WEAK_EVIDENCE' END AS reason FROM f LEFT JOIN h ON f.ask = h.ask)"""
+
+
 @book.both("EVD1 SUB2 EVD17 EVD18 FLT14")
 def evidence_ladder(d):
     """ANSWER or ABSTAIN for each question by the first branch that holds, with the reason."""
     return f"""
-    WITH {TABLES(d)}, {SCORED(d)},
-    f AS (SELECT a.ask, a.code <> '' AS asks_code, a.model <> '' AS asks_model, {d.has('lower(question)', 'bypass')} AND {d.has('lower(question)', 'password')} AS unsafe,
-                 EXISTS (SELECT 1 FROM c WHERE a.code <> '' AND contains(c.text, a.code)) AS code_known, EXISTS (SELECT 1 FROM c WHERE c.model = a.model) AS model_known FROM a),
-    h AS (SELECT hits.ask, max(n) AS best, max(CASE WHEN c.model = a.model THEN n ELSE 0 END) AS own FROM hits JOIN c ON hits.chunk_id = c.chunk_id JOIN a ON hits.ask = a.ask GROUP BY hits.ask),
-    r AS (SELECT f.ask, CASE WHEN unsafe THEN 'SECURITY_BYPASS' WHEN asks_code AND NOT code_known THEN 'UNKNOWN_IDENTIFIER' WHEN asks_model AND NOT model_known THEN 'MODEL_MISMATCH'
-           WHEN best IS NULL THEN 'NO_CANDIDATE' WHEN asks_model AND own = 0 THEN 'NO_COMPATIBLE' WHEN asks_code THEN 'IDENTIFIER_MATCH' WHEN asks_model THEN 'MODEL_MATCH'
-           WHEN best >= 2 THEN 'LEXICAL_MATCH' ELSE 'WEAK_EVIDENCE' END AS reason FROM f LEFT JOIN h ON f.ask = h.ask)
-    SELECT ask, CASE WHEN reason IN ('IDENTIFIER_MATCH', 'MODEL_MATCH', 'LEXICAL_MATCH') THEN 'ANSWER' ELSE 'ABSTAIN' END AS decision, reason FROM r"""
+    WITH {LADDER(d)}
+    SELECT ask, CASE WHEN reason IN ('IDENTIFIER_MATCH', 'MODEL_MATCH', 'LEXICAL_MATCH') THEN 'ANSWER' ELSE 'ABSTAIN' END AS decision, reason FROM reasons"""
 
 
 @book.both("EVD10 EVD11 EVD12 EVD14 SUB6 SUB11 SUB12")
 def support_gate(d):
-    """Whether a chunk supports a question's attribute with a value of a fitting unit: supported, partial or unsupported."""
+    """Whether a candidate chunk supports a question's attribute with a value of a fitting unit: supported, partial or unsupported."""
+    named = "(CASE attribute WHEN 'bus' THEN contains(text, 'Modbus') OR contains(text, 'CANopen') ELSE contains(lower(text), attribute) END)"
+    units = {"rated torque": "[0-9] Nm", "ramp time": "[0-9] s[.]", "rated voltage": "[0-9] V", "bus": "supports"}
+    unit = "CASE attribute " + " ".join(f"WHEN '{k}' THEN {d.has('text', p)}" for k, p in units.items()) + " ELSE false END"
     return f"""
-    WITH {TABLES(d)}, u AS (SELECT * FROM {d.rows('attribute, pattern_hit', "('rated torque', 'Nm')", "('ramp time', ' s.')", "('voltage', ' V')", "('bus', 'supports')")} u0),
-    q AS (SELECT ask, {d.find('lower(question)', '(rated torque|ramp time|bus|voltage)', 1)} AS attribute, model FROM a),
-    j AS (SELECT ask, chunk_id, contains(lower(text), u.attribute) AS named, contains(text, pattern_hit) AS unit, c.model = q.model AS own FROM q JOIN u ON q.attribute = u.attribute JOIN c ON true)
-    SELECT ask, chunk_id, CASE WHEN own AND unit AND (named OR contains('bus', 'bus')) THEN 'SUPPORTED' WHEN unit AND named THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS state FROM j"""
+    WITH {TABLES(d)}, {SCORED(d)}, q AS (SELECT ask, {d.find('lower(question)', '(rated torque|ramp time|rated voltage|bus)', 1)} AS attribute, model FROM a),
+    j AS (SELECT q.ask, c.chunk_id, {named} AS named, {unit} AS unit, c.model = q.model AS own FROM q JOIN hits ON q.ask = hits.ask JOIN c ON hits.chunk_id = c.chunk_id WHERE q.attribute <> '')
+    SELECT ask, chunk_id, CASE WHEN own AND unit AND named THEN 'SUPPORTED' WHEN unit AND named OR own AND named THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS state FROM j"""
 
 
 @book.both("EVD8 EVD15 EVD16 SUB54")
@@ -175,11 +199,11 @@ def proximity_support(d):
 
 @book.both("EVL2")
 def evidence_reason_hist(d):
-    """Reasons mapped to families by the order of the tests: the first substring wins, so two families hide later ones."""
+    """The ladder's reasons mapped to families by the order of the tests: the first substring wins, so two families hide later ones."""
     return f"""
-    WITH r AS (SELECT * FROM {d.rows('reason', "('UNKNOWN_IDENTIFIER')", "('IDENTIFIER_MATCH')", "('MODEL_MISMATCH')", "('MODEL_MATCH')", "('NO_CANDIDATE')", "('WEAK_EVIDENCE')", "('LEXICAL_MATCH')")}),
-    f AS (SELECT reason, CASE WHEN reason LIKE '%IDENTIFIER%' OR reason LIKE '%MODEL%' THEN 'IDENTIFIER_MATCH' WHEN substr(reason, 1, 3) = 'NO_' THEN 'NO_EVIDENCE' WHEN reason LIKE '%MISMATCH%' THEN 'MISMATCH' ELSE 'OTHER' END AS family FROM r)
-    SELECT family, count(*) AS n, {d.listed('reason', ',', 'reason')} AS reasons FROM f GROUP BY family"""
+    WITH {LADDER(d)},
+    families AS (SELECT reason, CASE WHEN reason LIKE '%IDENTIFIER%' OR reason LIKE '%MODEL%' THEN 'IDENTIFIER_MATCH' WHEN substr(reason, 1, 3) = 'NO_' THEN 'NO_EVIDENCE' WHEN reason LIKE '%MISMATCH%' THEN 'MISMATCH' ELSE 'OTHER' END AS family FROM reasons)
+    SELECT family, count(*) AS n, count(DISTINCT reason) AS reasons, min(reason) AS first_reason FROM families GROUP BY family"""
 
 
 @book.both("EXP1 EXP2 EXP12 EXP37 HAR40")
@@ -203,11 +227,11 @@ def typed_coverage_relation(d):
 
 @book.both("EXP23 EXP27 EXP28 EXP31 SUB48")
 def competing_values(d):
-    """Chunks of a document with different values of one unit: candidates for a conflict."""
+    """Pairs of chunks of one document that give one unit different values: candidates for a conflict."""
+    p = "[0-9]+(?:[.][0-9]+)? (?:V|Nm|kg|baud)"
     return f"""
-    WITH {TABLES(d)}, v AS (SELECT doc, chunk_id, {d.find('text', '([0-9.]+) (?:V|Nm|kg|baud)', 1)} AS value, {d.find('text', '[0-9.]+ (V|Nm|kg|baud)', 1)} AS unit FROM c)
-    SELECT x.chunk_id AS a, y.chunk_id AS b, x.unit, x.value AS value_a, y.value AS value_b FROM v x JOIN v y ON x.unit = y.unit AND x.unit <> '' AND x.chunk_id < y.chunk_id AND x.value <> y.value
-    UNION ALL SELECT chunk_id, chunk_id, unit, value, value FROM v WHERE unit <> ''"""
+    WITH {TABLES(d)}, s AS (SELECT doc, chunk_id, {d.explode(d.distinct(d.find_all('text', p)))} AS spec FROM c), v AS (SELECT doc, chunk_id, {d.find('spec', '^([0-9.]+)', 1)} AS value, {d.find('spec', ' (.+)$', 1)} AS unit FROM s)
+    SELECT x.chunk_id AS a, y.chunk_id AS b, x.unit, x.value AS value_a, y.value AS value_b FROM v x JOIN v y ON x.doc = y.doc AND x.unit = y.unit AND x.chunk_id < y.chunk_id AND x.value <> y.value"""
 
 
 @book.both("EXP41 EXP4 SUB18 SUB19 SUB20")
@@ -220,9 +244,9 @@ def spec_extraction(d):
 
 @book.both("EXP7 EXP8 EXP9 SUB27")
 def span_multiplicity(d):
-    """Whether the values that chunks give for a code's sentences are none, one or several."""
+    """Whether the chunks that have a question's code are none, one or several."""
     return f"""
-    WITH {TABLES(d)}, s AS (SELECT a.ask, count(DISTINCT c.chunk_id) AS n FROM a LEFT JOIN c ON a.code <> '' AND contains(c.text, a.code) GROUP BY a.ask)
+    WITH {TABLES(d)}, {NAMES(d)}, s AS (SELECT a.ask, count(names.chunk_id) AS n FROM a LEFT JOIN names ON a.code = names.name GROUP BY a.ask)
     SELECT ask, n, CASE WHEN n = 0 THEN 'NONE' WHEN n = 1 THEN 'UNIQUE' ELSE 'MULTIPLE' END AS multiplicity, n = 1 AS sufficient FROM s"""
 
 
@@ -240,7 +264,7 @@ def neighbor_expand(d):
     """Two neighbours on either side of each anchor document within its source, nearest first, the one before first; each once."""
     return f"""
     WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM {d.t('documents')}),
-    x AS (SELECT doc_id AS anchor, source, pos FROM s WHERE doc_id % 97 = 0),
+    x AS (SELECT doc_id AS anchor, source, pos FROM s WHERE doc_id % 50 = 0),
     n AS (SELECT x.anchor, s.doc_id, abs(s.pos - x.pos) AS dist, CASE WHEN s.pos < x.pos THEN 0 ELSE 1 END AS side FROM x JOIN s ON s.source = x.source AND s.pos BETWEEN x.pos - 2 AND x.pos + 2 AND s.pos <> x.pos),
     o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dist, side, anchor) AS first_use FROM n)
     SELECT anchor, doc_id, {d.i('row_number() OVER (PARTITION BY anchor ORDER BY dist, side)')} AS place FROM o WHERE first_use = 1"""
@@ -257,7 +281,7 @@ def region_siblings_budget(d):
 
 @book.both("JOIN17 WIN11 SUB69 SUB82 TBL14")
 def gap_cluster_1d(d):
-    """Prices of each returned-flag group clustered where neighbours are more than 50 apart; the mean of each cluster."""
+    """Prices of each supplier clustered where neighbours are more than 50 apart; the mean of each cluster."""
     return f"""
     WITH o AS (SELECT l_suppkey, l_extendedprice AS v, CASE WHEN l_extendedprice - lag(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) <= 50 THEN 0 ELSE 1 END AS starts FROM {d.t('lineitem')}),
     g AS (SELECT l_suppkey, v, sum(starts) OVER (PARTITION BY l_suppkey ORDER BY v ROWS UNBOUNDED PRECEDING) AS cluster FROM o)
@@ -273,12 +297,11 @@ def proof_lineage(d):
 
 @book.both("TBL17 SUB66 SUB83")
 def edge_coverage(d):
-    """How much of each line's span other edges cover, and whether that is the 0.45 that a boundary needs."""
+    """How much of each order's span (its quantities end to end) its lines cover, each by a share of its own, and whether that is the 0.45 that a boundary needs."""
     return f"""
-    WITH s AS (SELECT * FROM {d.rows('line, lo, hi', '(1, 0.0, 10.0)', '(2, 0.0, 20.0)', '(3, 5.0, 9.0)')}),
-    e AS (SELECT * FROM {d.rows('line, x0, x1', '(1, 0.0, 3.0)', '(1, 4.0, 6.0)', '(2, 15.0, 30.0)', '(3, 5.0, 9.0)')})
-    SELECT s.line, round({d.d('sum(greatest(least(hi, x1) - greatest(lo, x0), 0)) / max(hi - lo)')}, 6) AS coverage, {d.d('sum(greatest(least(hi, x1) - greatest(lo, x0), 0))')} >= 0.45 * {d.d('max(hi - lo)')} AS boundary
-    FROM s JOIN e ON s.line = e.line GROUP BY s.line"""
+    WITH l AS (SELECT l_orderkey AS line, {d.d('l_quantity')} AS q, {d.d('l_quantity')} * (1 - 5 * {d.d('l_discount')}) AS own, sum({d.d('l_quantity')}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS upto FROM {d.t('lineitem')}),
+    s AS (SELECT line, upto - q AS x0, upto - q + greatest(own, 0) AS x1, max(upto) OVER (PARTITION BY line) AS hi FROM l)
+    SELECT line, round(sum(x1 - x0) / max(hi), 6) AS coverage, round(sum(x1 - x0) / max(hi), 6) >= 0.45 AS boundary FROM s GROUP BY line"""
 
 
 @book.both("TBL5 TBL8 SUB74 SUB78")

@@ -1,7 +1,7 @@
 """Metadata from text, citations, claim binding, grounded answers and follow-up questions.
 
-The technical sentences are literal rows (see ``decisions``); labelled lines and
-conversations come from the test tables where these have them.
+Technical sentences and labelled lines are spelled out of ``part`` (see ``decisions``);
+citations, verdicts and conversations come from the other test tables.
 """
 
 from __future__ import annotations
@@ -12,16 +12,13 @@ from tessera.plans.dialect import Book
 book = Book()
 QUERIES, ORACLES, COVERS = book.QUERIES, book.ORACLES, book.COVERS
 
-HEADS = (
-    "('f1', 'Manufacturer: Acme Drives\nModel: AX-200\nVersion: 2.1\nPublished: 2021-03-04\nDrive manual')",
-    "('f2', 'Model: BR-10\nPublished: 2019-11-30\nBrake sheet')",
-    "('acme_ax300_v2.pdf', 'Drive AX-300\nVersion: 3.0.1')",
-    "('f4', '')",
-)
-
-
 def heads(d):
-    return f"h AS (SELECT * FROM {d.rows('name, text', *HEADS)} h0)"
+    """h: a manual's name and first lines for each part; some lack a maker, a version, or all lines."""
+    n = lambda x: f"CAST({x} AS VARCHAR(20))"
+    nl = "' || chr(10) || '"
+    return f"""h AS (SELECT CASE p_partkey % 3 WHEN 0 THEN lower(replace(p_brand, '#', '')) || '_ax' || {n('p_partkey')} || '_v' || {n('p_size')} || '.pdf' ELSE 'f' || {n('p_partkey')} END AS name, p_partkey, p_brand, p_size,
+      CASE p_partkey % 4 WHEN 0 THEN 'Manufacturer: ' || p_brand || '{nl}Model: AX-' || {n('p_size')} || '{nl}Version: 2.' || {n('p_size')} || '{nl}Published: 2021-03-' || {n('10 + p_partkey % 19')} || '{nl}Drive manual'
+           WHEN 1 THEN 'Model: BR-' || {n('p_size')} || '{nl}Published: 2019-11-' || {n('10 + p_partkey % 19')} || '{nl}Brake sheet' WHEN 2 THEN 'Drive AX-' || {n('p_size')} || '{nl}Version: 3.0.' || {n('p_size')} ELSE '' END AS text FROM {d.t('part')})"""
 
 
 def labelled(d, label):
@@ -32,7 +29,7 @@ def labelled(d, label):
 def labelled_lines(d):
     """Manufacturer, model, version and date from labelled lines, and the kind of equipment by words; '' where there is none."""
     return f"""
-    WITH {heads(d)} SELECT name, {labelled(d, 'Manufacturer')} AS manufacturer, {labelled(d, 'Model')} AS model, {labelled(d, 'Version')} AS version, {labelled(d, 'Published')} AS published,
+    WITH {heads(d)} SELECT p_partkey, name, {labelled(d, 'Manufacturer')} AS manufacturer, {labelled(d, 'Model')} AS model, {labelled(d, 'Version')} AS version, {labelled(d, 'Published')} AS published,
       CASE WHEN contains(lower(text), 'drive') THEN 'drive' WHEN contains(lower(text), 'brake') THEN 'brake' ELSE '' END AS equipment FROM h"""
 
 
@@ -40,8 +37,8 @@ def labelled_lines(d):
 def filename_identity(d):
     """Identity from file names by templates, filling only what is absent: a blank that is present stays."""
     return f"""
-    WITH {heads(d)}, m AS (SELECT * FROM {d.rows('name, maker, series', "('f1', 'Acme', 'AX')", "('acme_ax300_v2.pdf', CAST(NULL AS VARCHAR(10)), '')")} m0)
-    SELECT h.name, coalesce(m.maker, {d.find('h.name', '^([a-z]+)_', 1)}) AS maker, coalesce(m.series, upper({d.find('h.name', '_([a-z]+)[0-9]+', 1)})) AS series FROM h LEFT JOIN m ON h.name = m.name"""
+    WITH {heads(d)}, m AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN p_brand END AS given_maker, CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'BR' END AS given_series FROM h)
+    SELECT p_partkey, name, coalesce(given_maker, {d.find('name', '^([a-z]+[0-9]*)_', 1)}) AS maker, coalesce(given_series, upper({d.find('name', '_([a-z]+)[0-9]+', 1)})) AS series FROM m"""
 
 
 @book.both("FN5 FN6 SUB43 SUB49")
@@ -70,7 +67,7 @@ def enum_clamp(d):
 def scoped_vector_search(d):
     """The five nearest vectors within a label's scope, which becomes a filter of the scan: the query's own label."""
     return f"""
-    WITH q AS (SELECT vec_id AS query_id, label AS scope, embedding AS a FROM {d.t('embeddings')} WHERE vec_id % 100 = 0),
+    WITH q AS (SELECT vec_id AS query_id, label AS scope, embedding AS a FROM {d.t('embeddings')} WHERE vec_id % 50 = 0),
     s AS (SELECT query_id, vec_id, round({d.squared('a', 'embedding')}, 6) AS distance FROM q JOIN {d.t('embeddings')} e ON e.label = q.scope AND e.vec_id <> q.query_id)
     SELECT * FROM (SELECT query_id, vec_id, distance, {d.i('row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)')} AS rank FROM s) x WHERE rank <= 5"""
 
@@ -85,10 +82,14 @@ def relation_direction(d):
 
 @book.both("FN44 EXP6 SUB31")
 def citation_check(d):
-    """Citations of sources that were given, out-of-range ones dropped; the first source where none is left."""
+    """Citations of an answer that are among its sources, out-of-range ones dropped; the first source where none is left.
+
+    An answer stands for each event: it cites two sources by the event's own numbers and was given one to three.
+    """
+    n = lambda x: f"CAST({x} AS VARCHAR(20))"
     return f"""
-    WITH x AS (SELECT * FROM {d.rows('id, answer, sources', "(1, 'Set P12 [S1]. See [S4].', 2)", "(2, 'No sources here.', 3)", "(3, 'Both [S2][S3].', 3)")} x0),
-    c AS (SELECT id, sources, {d.explode(d.find_all('answer', '\\[S([0-9]+)\\]', 1))} AS k FROM x),
+    WITH x AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'No sources here.' ELSE 'Set P12 [S' || {n('event_id % 5')} || ']. See [S' || {n('1 + user_id % 6')} || '].' END AS answer, 1 + event_id % 3 AS sources FROM {d.t('events')} WHERE user_id IS NOT NULL),
+    c AS (SELECT id, sources, {d.explode(d.distinct(d.find_all('answer', '\\[S([0-9]+)\\]', 1)))} AS k FROM x),
     ok AS (SELECT id, {d.listed("'S' || k", ',', 'k')} AS cited FROM c WHERE CAST(k AS INT) BETWEEN 1 AND sources GROUP BY id)
     SELECT x.id, coalesce(ok.cited, 'S1') AS cited, ok.id IS NULL AS is_fallback FROM x LEFT JOIN ok ON x.id = ok.id"""
 
@@ -104,10 +105,10 @@ def preservation_class(d):
 
 @book.both("IDN9 IDN10 SUB63")
 def aligned_view(d):
-    """Chunks as a question sees them: the model rewritten to the asked one where its series is the same, and only there."""
+    """Candidate chunks as a question sees them: the model rewritten to the asked one where its series is the same, and only there."""
     return f"""
-    WITH {TABLES(d)} SELECT ask, chunk_id, CASE WHEN a.model <> '' AND c.series = {d.find('a.model', '^[A-Z]+')} AND c.series <> '' THEN a.model ELSE c.model END AS model,
-      a.model <> '' AND c.series = {d.find('a.model', '^[A-Z]+')} AND c.model <> a.model AS rewritten FROM a JOIN c ON true"""
+    WITH {TABLES(d)}, {SCORED(d)} SELECT a.ask, c.chunk_id, CASE WHEN a.model <> '' AND c.series = {d.find('a.model', '^[A-Z]+')} AND c.series <> '' THEN a.model ELSE c.model END AS model,
+      a.model <> '' AND c.series = {d.find('a.model', '^[A-Z]+')} AND c.model <> a.model AS rewritten FROM a JOIN hits ON a.ask = hits.ask JOIN c ON hits.chunk_id = c.chunk_id"""
 
 
 @book.both("IDN11 IDN12 SUB5")
@@ -139,32 +140,33 @@ def open_question_support(d):
 
 @book.both("EXP18 SUB38 SUB39")
 def judge_json(d):
-    """Verdicts in JSON parsed and held against their schema; what breaks it, in order."""
+    """Verdicts in JSON (a customer's segment and balance as state and confidence) parsed and held against their schema; what breaks it, in order."""
     return f"""
-    WITH x AS (SELECT * FROM {d.rows('id, js', "(1, '{\"state\": \"supported\", \"confidence\": \"0.9\"}')", "(2, '{\"state\": \"maybe\"}')", "(3, '{\"confidence\": \"7\"}')")} x0),
+    WITH x AS (SELECT c_custkey AS id, '{{' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '"confidence": "' || CAST(round(c_acctbal / 7000, 2) AS VARCHAR(20)) || '", ' END || '"state": "' || CASE c_custkey % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'refuted' WHEN 2 THEN 'unknown' ELSE lower(c_mktsegment) END || '"}}' AS js FROM {d.t('customer')}),
     p AS (SELECT id, {d.json('js', 'state')} AS state, {d.json('js', 'confidence')} AS confidence FROM x),
     e AS (SELECT id, 'a_state' AS error FROM p WHERE coalesce(state, '') NOT IN ('supported', 'refuted', 'unknown') UNION ALL SELECT id, 'b_missing' FROM p WHERE confidence IS NULL
-      UNION ALL SELECT id, 'c_range' FROM p WHERE confidence IS NOT NULL AND {d.d('confidence')} > 1)
+      UNION ALL SELECT id, 'c_range' FROM p WHERE confidence IS NOT NULL AND ({d.d('confidence')} > 1 OR {d.d('confidence')} < 0))
     SELECT p.id, e.errors IS NULL AS valid, coalesce(e.errors, '') AS errors FROM p LEFT JOIN (SELECT id, {d.listed('error', '+', 'error')} AS errors FROM e GROUP BY id) e ON p.id = e.id"""
 
 
 @book.both("EXP25 EXP40 SUB42 SUB44 SUB45 SUB46")
 def four_part_binding(d):
-    """Target, relation, attribute and value found together in a chunk, as four flags and how many hold."""
+    """Target, relation, attribute and value found together in a candidate chunk, as four flags and how many hold."""
+    asked = d.find('lower(question)', '(torque|bus|ramp time|fault|voltage)', 1)
     return f"""
-    WITH {TABLES(d)}, b AS (SELECT ask, chunk_id, c.model = a.model AND a.model <> '' AS target, {d.has('text', 'supports|has a|sets|means')} AS relation,
-      {d.find('lower(question)', '(torque|bus|ramp time|fault)', 1)} <> '' AND contains(lower(text), {d.find('lower(question)', '(torque|bus|ramp time|fault)', 1)}) AS attribute, {d.has('text', '[0-9]')} AS value FROM a JOIN c ON true)
+    WITH {TABLES(d)}, {SCORED(d)}, b AS (SELECT a.ask, c.chunk_id, c.model = a.model AND a.model <> '' AS target, {d.has('text', 'supports|has a|sets|means')} AS relation,
+      {asked} <> '' AND contains(lower(text), {asked}) AS attribute, {d.has('text', '[0-9] (?:V|Nm|kg|baud|s)')} AS value FROM a JOIN hits ON a.ask = hits.ask JOIN c ON hits.chunk_id = c.chunk_id)
     SELECT ask, chunk_id, {d.i('CASE WHEN target THEN 1 ELSE 0 END + CASE WHEN relation THEN 1 ELSE 0 END + CASE WHEN attribute THEN 1 ELSE 0 END + CASE WHEN value THEN 1 ELSE 0 END')} AS held, target AND relation AND attribute AND value AS bound FROM b"""
 
 
 @book.both("CNV4 SUB88 SUB89")
 def follow_up_rewrite(d):
-    """Turns that begin with a pronoun or 'and', with the last earlier topic of their conversation put before them."""
+    """Turns that begin with a pronoun or 'and', with the last earlier topic of their conversation put before them; 1,000 characters of a turn are the limit of a query."""
     last = d.last("CASE WHEN topic <> '' THEN topic END")
     return f"""
     WITH t AS (SELECT conv_id, turn, text, {d.find('lower(text)', '[a-z]{7,}')} AS topic, {d.has('lower(text)', '^(?:it|this|that|they|and|the|is) ')} AS follows FROM {d.t('conversations')} WHERE role = 'user'),
     c AS (SELECT *, {last} OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM t)
-    SELECT conv_id, turn, follows, CASE WHEN follows AND earlier IS NOT NULL THEN earlier || ': ' || substr(text, 1, 40) ELSE substr(text, 1, 40) END AS standalone FROM c"""
+    SELECT conv_id, turn, follows, CASE WHEN follows AND earlier IS NOT NULL THEN earlier || ': ' || substr(text, 1, 1000) ELSE substr(text, 1, 1000) END AS standalone FROM c"""
 
 
 @book.both("TBL3 SUB84 SUB73")
@@ -179,11 +181,13 @@ def header_paths(d):
 
 @book.both("TBL16 TBL18 TBL2 SUB67")
 def perimeter_cells(d):
-    """Cells between neighbouring row and column edges, with the atoms inside each and whether it is empty."""
+    """Cells of each supplier's balance sheet between neighbouring row and column edges, with the order lines (by discount and tax) in each and whether it is empty."""
     return f"""
-    WITH r AS (SELECT y, lead(y) OVER (ORDER BY y) AS y1, row_number() OVER (ORDER BY y) AS i FROM {d.rows('y', '(0.0)', '(10.0)', '(20.0)')} r0), k AS (SELECT x, lead(x) OVER (ORDER BY x) AS x1, row_number() OVER (ORDER BY x) AS j FROM {d.rows('x', '(0.0)', '(5.0)', '(50.0)')} k0),
-    p AS (SELECT * FROM {d.rows('word, px, py', "('a', 1.0, 2.0)", "('b', 7.0, 3.0)", "('c', 8.0, 3.5)", "('d', 2.0, 15.0)")} p0)
-    SELECT {d.i('i')} AS i, {d.i('j')} AS j, count(word) AS atoms, count(word) = 0 AS empty FROM r JOIN k ON r.y1 IS NOT NULL AND k.x1 IS NOT NULL LEFT JOIN p ON px >= x AND px < x1 AND py >= y AND py < y1 GROUP BY i, j"""
+    WITH e AS (SELECT DISTINCT l_suppkey, floor({d.d('l_discount')} * 50) AS y FROM {d.t('lineitem')}), r AS (SELECT l_suppkey, y, lead(y) OVER (PARTITION BY l_suppkey ORDER BY y) AS y1, row_number() OVER (PARTITION BY l_suppkey ORDER BY y) AS i FROM e),
+    f AS (SELECT DISTINCT l_suppkey, floor({d.d('l_quantity')} / 10) AS x FROM {d.t('lineitem')}), k AS (SELECT l_suppkey, x, lead(x) OVER (PARTITION BY l_suppkey ORDER BY x) AS x1, row_number() OVER (PARTITION BY l_suppkey ORDER BY x) AS j FROM f),
+    p AS (SELECT l_suppkey, floor({d.d('l_discount')} * 50) AS py, floor({d.d('l_quantity')} / 10) AS px, count(*) AS n FROM {d.t('lineitem')} GROUP BY l_suppkey, floor({d.d('l_discount')} * 50), floor({d.d('l_quantity')} / 10))
+    SELECT r.l_suppkey, {d.i('i')} AS i, {d.i('j')} AS j, {d.i('coalesce(sum(p.n), 0)')} AS atoms, coalesce(sum(p.n), 0) = 0 AS empty FROM r JOIN k ON r.l_suppkey = k.l_suppkey AND r.y1 IS NOT NULL AND k.x1 IS NOT NULL
+    LEFT JOIN p ON p.l_suppkey = r.l_suppkey AND px >= x AND px < x1 AND py >= y AND py < y1 GROUP BY r.l_suppkey, i, j"""
 
 
 @book.both("TBL4 TBL7 SUB70 SUB80")

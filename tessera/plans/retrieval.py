@@ -44,8 +44,9 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 GRAMS = """
-norm AS (SELECT doc_id AS chunk_id, regexp_replace(lower(substr(text, 1, 400)), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS t FROM documents),
-gram AS (SELECT chunk_id, substr(t, i, n) AS gram FROM (SELECT *, unnest(range(1, length(t) - n + 2)) AS i FROM norm, (VALUES (2), (3), (4)) AS s(n))),
+norm AS (SELECT doc_id AS chunk_id, regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS t FROM documents),
+part AS (SELECT chunk_id, substr(t, k * 400 + 1, 403) AS t FROM (SELECT *, unnest(range((greatest(length(t), 1) - 1) // 400 + 1)) AS k FROM norm)),
+gram AS (SELECT chunk_id, substr(t, i, n) AS gram FROM (SELECT *, unnest(range(1, least(400, length(t) - n + 1) + 1)) AS i FROM part, (VALUES (2), (3), (4)) AS s(n))),
 tf AS (SELECT chunk_id, gram, count(*) AS tf FROM gram GROUP BY ALL),
 vocab AS (SELECT gram, sum(tf) AS every, count(*) AS df FROM tf GROUP BY gram ORDER BY every DESC, gram LIMIT 15000),
 raw AS (SELECT chunk_id, gram, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN vocab USING (gram)),
@@ -54,9 +55,8 @@ weight AS (SELECT chunk_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_i
 
 @book.frame("AGG3 TOP2", f"WITH {GRAMS} SELECT chunk_id, count(*) AS n, round(sum(weight), 4) AS total, round(max(weight), 6) AS top FROM weight GROUP BY chunk_id")
 def char_gram_weights(spark: SparkSession, folder: str) -> DataFrame:
-    """Character n-gram vectors of the documents' first 400 characters (the window of a chunk), summed up."""
-    heads = _corpus(spark, folder).withColumn("text", F.substring("text", 1, 400))
-    w = lx.gram_weights(heads)
+    """Character n-gram vectors of the documents' whole texts, summed up."""
+    w = lx.gram_weights(_corpus(spark, folder))
     return w.groupBy("chunk_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 

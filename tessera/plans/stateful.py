@@ -48,8 +48,8 @@ def idempotent_first(d):
 def job_latest_state(d):
     """The last event of each user as its state, with its age at the end of the data and whether it is stalled (over a day old)."""
     return f"""
-    WITH l AS (SELECT user_id, event_type, event_id, {d.micros('ts')} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, max({d.micros('ts')}) OVER () AS now FROM {d.t('events')})
-    SELECT user_id, event_type AS state, event_id, round({d.d('now - t')} / 1000000, 3) AS age, now - t > 86400000000 AS stalled FROM l WHERE k = 1"""
+    WITH l AS (SELECT user_id, event_type, event_id, {d.micros('ts')} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {d.t('events')}), e AS (SELECT max({d.micros('ts')}) AS now FROM {d.t('events')})
+    SELECT user_id, event_type AS state, event_id, round({d.d('now - t')} / 1000000, 3) AS age, now - t > 86400000000 AS stalled FROM l JOIN e ON true WHERE k = 1"""
 
 
 @book.both("STR10")
@@ -72,8 +72,8 @@ def superseded_writes(d):
 def expired_cleanup(d):
     """Inputs older than ten days at the end of the data, by type."""
     return f"""
-    WITH e AS (SELECT event_type, {d.micros('ts')} AS t, max({d.micros('ts')}) OVER () AS now FROM {d.t('events')})
-    SELECT event_type, count(*) AS expired FROM e WHERE now - t > 864000000000 GROUP BY event_type"""
+    WITH e AS (SELECT max({d.micros('ts')}) AS now FROM {d.t('events')})
+    SELECT event_type, count(*) AS expired FROM {d.t('events')} x JOIN e ON true WHERE now - {d.micros('x.ts')} > 864000000000 GROUP BY event_type"""
 
 
 @book.both("FLT20 STR12 SRC20")

@@ -102,7 +102,7 @@ def quote_windows(d):
 
 @book.both("EXP39 EXP3 SUB17")
 def sentence_value_support(d):
-    """Sentences that hold a number and a word of the passage's first three, for documents with a passage's item number among theirs."""
+    """Sentences that hold a number and an article, with the first number and how many there are."""
     return f"""
     WITH s AS ({d.places('doc_id', d.split('text', '[.] '), d.t('documents'), 'sentence', 'content')})
     SELECT doc_id, sentence, {d.find('content', '[0-9]+')} AS value, {d.size(d.find_all('content', '[0-9]+'))} AS n_values FROM s WHERE {d.has('content', '[0-9]')} AND {d.has('lower(content)', '(?:^|[^a-z])(the|der|la|le)(?:[^a-z]|$)')}"""
@@ -226,10 +226,10 @@ def vertical_spans(d):
 
 @book.both("SRC22 CNV9")
 def prompt_blocks(d):
-    """Numbered source blocks of the first three documents of each source, in order, as one string."""
+    """Numbered source blocks of the first three documents of each source, whole and in order, as the digest of one string."""
     return f"""
-    WITH r AS (SELECT source, doc_id, substr(text, 1, 40) AS head, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM {d.t('documents')})
-    SELECT source, {d.listed("'[S' || k || '] ' || head", ' # ', 'k')} AS prompt FROM r WHERE k <= 3 GROUP BY source"""
+    WITH r AS (SELECT source, doc_id, text AS head, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM {d.t('documents')})
+    SELECT source, {d.sha(d.listed("'[S' || k || '] ' || head", ' # ', 'k'))} AS prompt FROM r WHERE k <= 3 GROUP BY source"""
 
 
 @book.both("SRC15 FN32 FN33 SRC18")
@@ -274,18 +274,18 @@ def ordered_distinct(d):
 
 @book.both("CNV3 SUB91")
 def conversation_summary(d):
-    """The last three user turns of each conversation and its distinct long words, in order."""
+    """The last three user turns of each conversation, whole and in order, as the digest of one string."""
     return f"""
     WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {d.t('conversations')} WHERE role = 'user')
-    SELECT conv_id, {d.listed('substr(text, 1, 30)', ' / ', 'turn')} AS summary, count(*) AS turns, {d.i('sum(length(text))')} AS n_chars FROM u WHERE back <= 3 GROUP BY conv_id"""
+    SELECT conv_id, {d.sha(d.listed('text', ' / ', 'turn'))} AS summary, count(*) AS turns, {d.i('sum(length(text))')} AS n_chars FROM u WHERE back <= 3 GROUP BY conv_id"""
 
 
 @book.both("WIN14 CNV10")
 def recent_turns(d):
-    """The last four turns of each conversation as a message list; how many older ones go to the summary."""
+    """The last four turns of each conversation, whole, as the digest of a message list; how many older ones go to the summary."""
     return f"""
     WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM {d.t('conversations')})
-    SELECT conv_id, max(n) - count(*) AS older, {d.listed("role || ':' || substr(text, 1, 20)", ' | ', 'turn')} AS messages FROM b WHERE back <= 4 GROUP BY conv_id"""
+    SELECT conv_id, max(n) - count(*) AS older, {d.sha(d.listed("role || ':' || text", ' | ', 'turn'))} AS messages FROM b WHERE back <= 4 GROUP BY conv_id"""
 
 
 @book.both("WIN15 CNV2")

@@ -4,12 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import tempfile
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Folders of our own, by application, where the session names none.
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset a temporary folder for a local master, and one in the warehouse on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        context = spark.sparkContext
+        if context.applicationId not in _own:
+            local = context.master == "local" or context.master.startswith("local[")
+            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_tessera"
+        folder = _own[context.applicationId]
+    return folder.rstrip("/")
+
+
 def window_limit(events: DataFrame, limit: int, key: str = "user_id", order: str = "event_id", amount: str = "amount", late: str = "1 day") -> DataFrame:
     """Allowed or refused for each call of a key and day: allowed while the day's amount fits; refused calls use nothing.
 
@@ -58,13 +76,17 @@ def latest_state(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
-    """Run a stream over what is there, into a memory table or (with ``folder``) Parquet, and return the rows."""
+    """Run a stream over what is there and return the rows: appended ones as Parquet in ``folder`` (the shared one), others as a memory table.
+
+    Complete mode gives a row for each key again with every trigger, which only a memory table takes; its state is in ``folder`` too.
+    """
     spark = stream.sparkSession
+    folder = folder or shared_folder(spark)
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
-    if folder:
+    if mode == "append":
         query = writer.format("parquet").option("checkpointLocation", f"{folder}/{name}-state").start(f"{folder}/{name}")
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
-    query = writer.format("memory").queryName(name).start()
+    query = writer.format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}-state").start()
     query.awaitTermination()
     return spark.table(name)
