@@ -77,8 +77,9 @@ def test_quality_thresholds_adapt(spark):
     assert sum(kept[i] for i in range(1, 301)) >= 297 and not any(kept[i] for i in range(301, 331))
 
 
-def test_each_rule_has_thresholds_of_its_own_by_group(spark):
+def test_each_rule_has_thresholds_of_its_own_by_group(spark, monkeypatch):
     """A group whose documents have more of anything gets another threshold for it, and keeps what the other group does not."""
+    monkeypatch.setattr(quality_rules, "DRAWN", 10)
     r = random.Random(4)
 
     def text(i, rich):
