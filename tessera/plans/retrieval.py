@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import lexical as lx
+from tessera.operators.dense import nearest
 from tessera.plans.dialect import Book, Duck
 from tessera.sources.tables import spread, table
 
@@ -15,7 +16,7 @@ _D = Duck()
 
 
 def _corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents")).select(F.col("doc_id").alias("chunk_id"), "text")
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,27 +57,46 @@ weight AS (SELECT chunk_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_i
 @book.frame("AGG3 TOP2", f"WITH {GRAMS} SELECT chunk_id, count(*) AS n, round(sum(weight), 4) AS total, round(max(weight), 6) AS top FROM weight GROUP BY chunk_id")
 def char_gram_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Character n-gram vectors of the documents' whole texts, summed up."""
-    w = lx.gram_weights(_corpus(spark, folder))
+    w = lx.gram_weights(spread(_corpus(spark, folder)))
     return w.groupBy("chunk_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 
-@book.both("RET5 WIN2")
-def dense_l2_topk(d):
-    """The ten nearest vectors of every 50th one by squared distance, ties to the least id; itself excluded."""
+ASKED_GRAMS = """
+qnorm AS (SELECT item_id AS query_id, regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS t FROM benchmark),
+qtf AS (SELECT query_id, substr(t, i, n) AS gram, count(*) AS tf FROM (SELECT *, unnest(range(1, length(t) - n + 2)) AS i FROM qnorm, (VALUES (2), (3), (4)) AS s(n)) GROUP BY ALL),
+qraw AS (SELECT query_id, gram, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM qtf JOIN vocab USING (gram)),
+qweight AS (SELECT query_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS asked FROM qraw),
+near AS (SELECT query_id, chunk_id, round(sum(asked * weight), 6) AS score FROM qweight JOIN weight USING (gram) GROUP BY ALL)"""
+
+
+@book.frame("RET4 AGG3 TOP2", f"WITH {GRAMS}, {ASKED_GRAMS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near) WHERE rank <= 10")
+def gram_cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten documents nearest to each passage by the cosine of character n-grams of whole texts."""
+    return lx.gram_top(spread(_corpus(spark, folder)), _asked(spark, folder), 10)
+
+
+def _every_50th(spark: SparkSession, folder: str, cosine: bool) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10, cosine)
+
+
+def _ten(score: str, order: str) -> str:
     return f"""
-    WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM {d.t('embeddings')} WHERE vec_id % 50 = 0),
-    s AS (SELECT query_id, vec_id, round({d.squared('a', 'embedding')}, 6) AS distance FROM q JOIN {d.t('embeddings')} e ON q.query_id <> e.vec_id)
-    SELECT * FROM (SELECT query_id, vec_id, distance, {d.i('row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)')} AS rank FROM s) x WHERE rank <= 10"""
+WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, {score} FROM q JOIN embeddings e ON q.query_id <> e.vec_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, vec_id) AS rank FROM s) WHERE rank <= 10"""
 
 
-@book.both("WIN2")
-def dense_cosine_topk(d):
+@book.frame("RET5 WIN2", _ten(f"round({_D.squared('a', 'embedding')}, 6) AS distance", "distance"))
+def dense_l2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every 50th one by squared distance, ties to the least id; itself excluded."""
+    return _every_50th(spark, folder, cosine=False).withColumnRenamed("score", "distance")
+
+
+@book.frame("WIN2", _ten(f"round({_D.dot('a', 'embedding')} / sqrt({_D.dot('a', 'a')} * {_D.dot('embedding', 'embedding')}), 6) AS score", "score DESC"))
+def dense_cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar vectors of every 50th one by cosine."""
-    return f"""
-    WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM {d.t('embeddings')} WHERE vec_id % 50 = 0),
-    s AS (SELECT query_id, vec_id, round({d.dot('a', 'embedding')} / sqrt({d.dot('a', 'a')} * {d.dot('embedding', 'embedding')}), 6) AS score
-          FROM q JOIN {d.t('embeddings')} e ON q.query_id <> e.vec_id)
-    SELECT * FROM (SELECT query_id, vec_id, score, {d.i('row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)')} AS rank FROM s) x WHERE rank <= 10"""
+    return _every_50th(spark, folder, cosine=True)
 
 
 SETS = f"""
@@ -87,16 +107,6 @@ overlap AS (SELECT query_id, chunk_id, round(n / sqrt(len(a)::DOUBLE * len(b)),
 vector AS (SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM overlap) WHERE rank <= 10)"""
 
 
-def _set_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    """Cosine of token sets: the second channel where no embedding of text is at hand."""
-    bag = _corpus(spark, folder).select("chunk_id", F.array_distinct(lx.tokens(F.col("text"))).alias("a"))
-    need = _asked(spark, folder).select("query_id", F.array_distinct(lx.tokens(F.col("text"))).alias("b"))
-    left = need.select("query_id", F.size("b").alias("nb"), F.explode("b").alias("token"))
-    right = bag.select("chunk_id", F.size("a").alias("na"), F.explode("a").alias("token"))
-    hit = left.join(right, "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return hit.select("query_id", "chunk_id", (F.col("n") / F.sqrt(F.col("na").cast("double") * F.col("nb"))).alias("score"))
-
-
 FUSED = """
 fused AS (
   SELECT query_id, chunk_id, l.rank AS lexical_rank, l.score AS lexical_score, v.rank AS vector_rank, v.score AS vector_score,
@@ -106,8 +116,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def _fused(spark: SparkSession, folder: str) -> DataFrame:
-    a = lx.top(lx.bm25(_corpus(spark, folder), _asked(spark, folder)), 10)
-    return lx.fuse(a, lx.top(_set_cosine(spark, folder), 10))
+    """Two channels: BM25, and the cosine of token sets, as no embedding of text is at hand."""
+    return lx.hybrid(_corpus(spark, folder), _asked(spark, folder))
 
 
 @book.frame("JOIN2 AGG4 WIN3 SET4 RET6 RET1", f"WITH {BM25}, {SETS}, {FUSED} SELECT * FROM ranked")
