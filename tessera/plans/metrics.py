@@ -7,7 +7,12 @@ whose first character is no capital letter run is answered.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators.ranks import at_ranks
 from tessera.plans.dialect import Book
+from tessera.sources.tables import table
 
 book = Book()
 QUERIES, ORACLES, COVERS = book.QUERIES, book.ORACLES, book.COVERS
@@ -199,38 +204,42 @@ def size_mode(d):
     SELECT p_brand, p_size, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size DESC) AS k FROM c) x WHERE k = 1"""
 
 
-@book.both("AGG26 FN34")
-def p95_nearest_rank(d):
-    """The 95th percentile of each event type at rank ceil(0.95 n), with the mean."""
+def _ordered(columns: str) -> str:
     return f"""
-    WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM {d.t('events')})
-    SELECT event_type, max(n) AS n, round(avg(value), 6) AS mean, max(CASE WHEN k = CAST(ceil({d.d('0.95')} * n) AS BIGINT) THEN value END) AS p95 FROM o GROUP BY event_type"""
+WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, {columns} FROM o GROUP BY event_type"""
+
+
+@book.frame("AGG26 FN34", _ordered("max(n) AS n, round(avg(value), 6) AS mean, max(value) FILTER (k = ceil(0.95::DOUBLE * n)) AS p95"))
+def p95_nearest_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The 95th percentile of each event type at rank ceil(0.95 n), with the mean."""
+    events = table(spark, folder, "events")
+    mean = events.groupBy(F.col("event_type").alias("of_type")).agg(F.round(F.avg("value"), 6).alias("mean"))
+    found = at_ranks(events, "event_type", "value", {"p95": lambda n: F.ceil(F.lit(0.95) * n)})
+    return found.join(mean, F.col("event_type").eqNullSafe(F.col("of_type"))).select("event_type", "n", "mean", "p95")
 
 
-@book.both("AGG27 EVL18")
-def p95_ceil_eps(d):
+@book.frame("AGG27 EVL18", _ordered("round(median(value), 6) AS median, max(value) FILTER (k = floor(0.95::DOUBLE * n + 0.999999)) AS p95"))
+def p95_ceil_eps(spark: SparkSession, folder: str) -> DataFrame:
     """Median, and the 95th percentile at index floor(0.95 n + 0.999999) - 1."""
-    return f"""
-    WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM {d.t('events')})
-    SELECT event_type, round({d.cont('value', 0.5)}, 6) AS median, max(CASE WHEN k = CAST(floor({d.d('0.95')} * n + 0.999999) AS BIGINT) THEN value END) AS p95 FROM o GROUP BY event_type"""
+    ranks = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1, "p95": lambda n: F.floor(F.lit(0.95) * n + 0.999999)}
+    found = at_ranks(table(spark, folder, "events"), "event_type", "value", ranks)
+    return found.select("event_type", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), "p95")
 
 
-@book.both("AGG28")
-def p95_round(d):
+@book.frame("AGG28", _ordered("max(value) FILTER (k - 1 = round_even(0.95::DOUBLE * (n - 1), 0)) AS p95"))
+def p95_round(spark: SparkSession, folder: str) -> DataFrame:
     """The 95th percentile at index round-half-even((n - 1) 0.95)."""
-    x = d.d("0.95") + " * (n - 1)"
-    even = f"CASE WHEN {x} - floor({x}) = 0.5 THEN 2 * round(floor({x}) / 2 + 0.25) ELSE floor({x} + 0.5) END"
-    return f"""
-    WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM {d.t('events')})
-    SELECT event_type, max(CASE WHEN k = CAST({even} AS BIGINT) THEN value END) AS p95 FROM o GROUP BY event_type"""
+    return at_ranks(table(spark, folder, "events"), "event_type", "value", {"p95": lambda n: F.rint(F.lit(0.95) * (n - 1)) + 1}).select("event_type", "p95")
 
 
 @book.both("AGG29 AGG30 SRC21 STR16")
 def latency_histogram(d):
-    """Cumulative histogram buckets of each event type in long form, with sum and count."""
-    edges = (5, 10, 25, 50, 100, 250, 500, 1000, 10000)
-    sums = " UNION ALL ".join(f"SELECT event_type, 'le_{e}' AS bucket, {count_if(d, f'value <= {e}')} AS n FROM {d.t('events')} GROUP BY event_type" for e in edges)
-    return f"{sums} UNION ALL SELECT event_type, 'le_inf', count(*) FROM {d.t('events')} GROUP BY event_type"
+    """Cumulative histogram buckets of each event type in long form, from one scan; the last has no bound."""
+    edges = d.array("5", "10", "25", "50", "100", "250", "500", "1000", "10000", "-1")
+    return f"""
+    WITH e AS (SELECT event_type, value, {d.explode(edges)} AS edge FROM {d.t('events')})
+    SELECT event_type, CASE WHEN edge < 0 THEN 'le_inf' ELSE 'le_' || CAST(edge AS VARCHAR(9)) END AS bucket, {count_if(d, 'edge < 0 OR value <= edge')} AS n FROM e GROUP BY event_type, edge"""
 
 
 @book.both("HAR39 EXP34 EXP35 EXP36")
@@ -240,7 +249,7 @@ def signal_confusion(d):
     WITH {runs(d)} SELECT {count_if(d, 'score <= 0.04 AND expected')} AS tp, {count_if(d, 'score <= 0.04 AND NOT expected')} AS fp, {count_if(d, 'score > 0.04 AND expected')} AS fn, {count_if(d, 'score > 0.04 AND NOT expected')} AS tn FROM r"""
 
 
-@book.both("HAR30 HAR15 HAR31 HAR32 EVL7 EXP16 EXP17 EXP19 EXP21 EXP30")
+@book.both("HAR30 HAR15 HAR31")
 def responsibility(d):
     """Who answers for a failure, by the first rule: the parser, the gate, or the labels; with relaxability."""
     return f"""
@@ -276,9 +285,10 @@ def protected_hashes(d):
 
 @book.both("EVL12 EVL14")
 def stability_digest(d):
-    """A digest of each language's ordered decisions: repeated runs must agree."""
+    """A digest of each language's ordered decisions, over those of blocks of 1,000 ids: repeated runs must agree."""
     return f"""
-    WITH {runs(d)} SELECT lang, {d.sha(d.listed("doc_id || ':' || CASE WHEN decided THEN 'A' ELSE 'R' END", ',', 'doc_id'))} AS signature FROM r GROUP BY lang"""
+    WITH {runs(d)}, b AS (SELECT lang, floor(doc_id / 1000) AS block, {d.sha(d.listed("doc_id || ':' || CASE WHEN decided THEN 'A' ELSE 'R' END", ',', 'doc_id'))} AS h FROM r GROUP BY lang, floor(doc_id / 1000))
+    SELECT lang, {d.sha(d.listed('h', ',', 'block'))} AS signature FROM b GROUP BY lang"""
 
 
 @book.both("EVL16 AGG7")

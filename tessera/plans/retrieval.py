@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import lexical as lx
@@ -183,8 +184,6 @@ again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stand_in D
 SELECT query_id, chunk_id, before, after, CASE WHEN after < before THEN 'IMPROVED' WHEN after > before THEN 'DEGRADED' ELSE 'SAME' END AS outcome FROM again WHERE after <= 3""")
 def rerank_top3(spark: SparkSession, folder: str) -> DataFrame:
     """The first five reordered by a stand-in scorer (no model is at hand), cut to three, with each one's change of rank."""
-    from pyspark.sql import Window as W
-
     five = _fused(spark, folder).where("rank <= 5").select("query_id", "chunk_id", F.col("rank").alias("before"), F.coalesce("vector_score", F.lit(0.0)).alias("s"))
     after = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s"), "before", "chunk_id")).cast("long")
     outcome = F.when(F.col("after") < F.col("before"), "IMPROVED").when(F.col("after") > F.col("before"), "DEGRADED").otherwise("SAME")
@@ -208,15 +207,42 @@ def token_df_idf(d):
     SELECT token, df, round(ln(1 + (n - df + {d.d('0.5')}) / (df + {d.d('0.5')})), 6) AS idf FROM p, n WHERE df > 1"""
 
 
-@book.both("FN2 FN3 FN4 TOP3")
-def section_rank(d):
-    """The two sections (first words of a document) of each passage by weighted token overlap."""
-    return f"""
-    WITH s AS (SELECT doc_id, {d.distinct(d.tokens('substr(text, 1, 200)'))} AS title FROM {d.t('documents')}),
-    q AS (SELECT item_id, token, {d.i('count(*)')} AS tf FROM (SELECT item_id, {d.explode(d.tokens('text'))} AS token FROM {d.t('benchmark')}) x GROUP BY item_id, token),
-    e AS (SELECT doc_id, {d.explode('title')} AS token FROM s),
-    o AS (SELECT item_id, doc_id, round(1.5 * sum(1 + ln(1 + tf)), 6) AS score FROM q JOIN e ON q.token = e.token WHERE length(q.token) > 2 GROUP BY item_id, doc_id)
-    SELECT * FROM (SELECT item_id, doc_id, {d.d('score')} AS score, {d.i('row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)')} AS rank FROM o) y WHERE rank <= 2"""
+# Words that name no section, and short words that may.
+GENERAL = ("powerflex", "compactlogix", "controller", "controllers", "drive", "drives")
+SHORT = ("ip", "dc")
+
+SECTIONS = f"""
+term AS (SELECT DISTINCT item_id AS query_id, token FROM (SELECT item_id, unnest({_D.tokens('text')}) AS token FROM benchmark)
+         WHERE (length(token) > 1 OR token IN {SHORT}) AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN {GENERAL}),
+line AS (SELECT doc_id AS chunk_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+line_tf AS (SELECT chunk_id, pos, token, count(*) AS tf FROM (SELECT chunk_id, pos, unnest({_D.tokens('line')}) AS token FROM line) GROUP BY ALL),
+part AS (SELECT query_id, chunk_id, pos, sum(1 + ln(1 + tf)) AS overlap FROM term JOIN line_tf USING (token) SEMI JOIN lexical USING (query_id, chunk_id) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY overlap DESC, pos) AS k FROM part),
+section AS (SELECT query_id, chunk_id, round(coalesce(1.5 * sum(overlap) FILTER (pos = 0), 0) + sum(overlap * CASE k WHEN 1 THEN 1 WHEN 2 THEN 0.3::DOUBLE WHEN 3 THEN 0.1::DOUBLE ELSE 0 END), 6) AS score FROM best GROUP BY ALL)"""
+
+
+@book.frame("FN2 FN3 FN4 TOP3 JOIN6 WIN5", f"WITH {BM25}, {SECTIONS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM section) WHERE rank <= 2")
+def section_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The two best sections of each passage among the documents that BM25 allows it.
+
+    A document is a section: its first line is the title, its lines are the chunks. Terms
+    are the passage's distinct tokens but digits, single characters and general words; an
+    overlap sums 1 + ln(1 + tf); a section scores 1.5 times its title's overlap, and its
+    three best chunks' times 1, 0.3 and 0.1.
+    """
+    corpus, asked = _corpus(spark, folder), _asked(spark, folder)
+    allowed = lx.top(lx.bm25(corpus, asked), 10).select("query_id", "chunk_id")
+    t = F.col("token")
+    terms = asked.select("query_id", F.explode(F.array_distinct(lx.tokens(F.col("text")))).alias("token"))
+    terms = terms.where(((F.length(t) > 1) | t.isin(*SHORT)) & ~t.rlike("^[0-9]+$") & ~t.isin(*GENERAL))
+    # Only allowed documents are cut into lines.
+    lines = corpus.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    tf = lines.select("chunk_id", "pos", F.explode(lx.tokens(F.col("line"))).alias("token")).groupBy("chunk_id", "pos", "token").agg(F.count("*").alias("tf"))
+    part = tf.join(allowed, "chunk_id").join(terms, ["query_id", "token"]).groupBy("query_id", "chunk_id", "pos").agg(F.sum(1 + F.log1p("tf")).alias("overlap"))
+    k = F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy(F.desc("overlap"), "pos"))
+    weight = F.when(F.col("k") == 1, 1.0).when(F.col("k") == 2, 0.3).when(F.col("k") == 3, 0.1).otherwise(0.0) + F.when(F.col("pos") == 0, 1.5).otherwise(0.0)
+    scored = part.withColumn("k", k).groupBy("query_id", "chunk_id").agg(F.sum(F.col("overlap") * weight).alias("score"))
+    return lx.top(scored, 2)
 
 
 @book.both("EXP20 HAR2")
@@ -256,9 +282,9 @@ def passage_similarity_class(d):
 
 @book.both("HAR34 JOIN4")
 def all_any_word_coverage(d):
-    """For each passage: documents that hold all of its first three words, and any."""
+    """For each passage: how many documents hold all of its words, and any."""
     return f"""
-    WITH q AS (SELECT item_id, {d.distinct(d.slice(d.tokens('text'), 1, 3))} AS b FROM {d.t('benchmark')}),
+    WITH q AS (SELECT item_id, {d.distinct(d.tokens('text'))} AS b FROM {d.t('benchmark')}),
     qe AS (SELECT item_id, {d.size('b')} AS nb, {d.explode('b')} AS token FROM q),
     de AS (SELECT doc_id, {d.explode(d.distinct(d.tokens('text')))} AS token FROM {d.t('documents')}),
     h AS (SELECT item_id, doc_id, nb, count(*) AS n FROM qe JOIN de ON qe.token = de.token GROUP BY item_id, doc_id, nb)
