@@ -72,6 +72,7 @@ def test_large_query_sets_are_shuffled_to_the_same_scores(spark, monkeypatch):
 def test_gram_top_by_hand(spark, monkeypatch):
     monkeypatch.setattr(dense, "SPARSE_VECTORS", 2)
     monkeypatch.setattr(dense, "SPARSE_QUERIES", 1)
+    monkeypatch.setattr(lx, "GRAMS", 5)
     corpus, asks = _frames(spark)
     grams = lambda t: Counter(t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1))
     counts = {i: grams(t.lower()) for i, t in CORPUS if t is not None}
