@@ -16,7 +16,7 @@ import re, sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith('tessera.llm') or name == 'corpus_pipeline':
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 names = e.queries()
@@ -26,6 +26,27 @@ assert set(e.oracle_sql()) <= set(names)
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+def test_a_missing_library_is_an_error():
+    """Queries do not vanish because a library that they need is not there."""
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == 'ahocorasick':
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Gone())
+import importlib.util
+import __spark_entry__ as e
+try:
+    names = e.queries()
+except ModuleNotFoundError as x:
+    assert x.name == 'ahocorasick'
+else:
+    assert 'pipeline' not in names and importlib.util.find_spec('corpus_pipeline') is None
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
 def test_nothing_imports_the_operators():
     for p in (ROOT / "tessera").rglob("*.py"):
         if "llm" not in p.parts:
