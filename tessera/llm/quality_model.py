@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.batches import sliced
 from tessera.llm.labelled import held_out, sample, sigmoid, with_texts
 from tessera.llm.shared import documents, table
-from tessera.llm.wordhash import _BYTE, _VALUE, bounds, ranges, raw, windows
+from tessera.llm.wordhash import _BYTE, bounds, ranges, raw, windows
 
 FEATURES = (
     "log_words", "word_bytes", "long_words", "short_words", "capitals", "digits", "signs", "symbols", "bars", "exclamations",
@@ -62,7 +62,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         return np.bincount(r[new], minlength=n_docs).astype(np.float64)
 
     length = (ends - starts).astype(np.float64)
-    hashes = ranges(_VALUE[data], starts, ends, _BYTE) if len(starts) else np.zeros(0, np.uint64)
+    hashes = ranges(data, starts, ends, _BYTE) if len(starts) else np.zeros(0, np.uint64)
     same = np.zeros(len(hashes))
     same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     at, three = windows(hashes, first, 3)

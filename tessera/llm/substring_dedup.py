@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import documents, table
-from tessera.llm.wordhash import bounds, ranges, raw, windows, word_hashes, _BYTE, _VALUE
+from tessera.llm.wordhash import bounds, ranges, raw, windows, word_hashes, _BYTE
 
 WINDOW = 35
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -153,7 +153,7 @@ def repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         column = _text(rows)
         data, offsets = raw(column)
         starts, ends, first = bounds(data, offsets)
-        hashes = ranges(_VALUE[data], starts, ends, _BYTE) if len(starts) else np.zeros(0, dtype=np.uint64)
+        hashes = ranges(data, starts, ends, _BYTE) if len(starts) else np.zeros(0, dtype=np.uint64)
         at, found = _candidates(hashes, first, back, parts)
         again = at[_received(back, 1, found, WINDOW_BYTES, parts)] if len(at) else at
         edge = np.zeros(len(hashes) + 1, dtype=np.int64)

@@ -15,6 +15,8 @@ _BYTE, _WORD, _WORD2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
+#: Values (bytes or words) that are hashed at a time.
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,23 +30,40 @@ _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _U(_BYTE))
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64."""
+    """base**0 .. base**(n - 1) modulo 2**64; no more than 2 * PIECE of them are kept."""
     held = _powers.get(base)
     if held is None or len(held) < n:
-        step = np.full(max(n, 1 << 20), base, dtype=np.uint64)
-        step[0] = 1
-        held = _powers[base] = np.multiply.accumulate(step)
+        held = np.full(max(n, 2 * PIECE), base, dtype=np.uint64)
+        held[0] = 1
+        np.multiply.accumulate(held, out=held)
+        if len(held) == 2 * PIECE:
+            _powers[base] = held
     return held[:n]
 
 
-def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """The polynomial hash of values[start:end] for each range, the same wherever the range stands."""
+def _range(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * powers(base, len(values)), out=sums[1:])
     back = powers(pow(base, -1, 1 << 64), len(values) + 1)
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _U(0x632BE59BD9B4E019))
 
 
+def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """The polynomial hash of values[start:end] for each range, the same wherever the range stands.
+
+    Ranges come in order of their starts. Those that start within PIECE values are hashed
+    at a time, so what is held besides the result does not grow with the text (but with
+    its longest range). ``values`` may be bytes, which stand for _VALUE of themselves.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(starts, np.arange(0, len(values), PIECE)), [len(starts)]]))
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        low, high = int(starts[s]), int(ends[s:e].max())
+        part = values[low:high]
+        out[s:e] = _range(_VALUE[part] if part.dtype == np.uint8 else part, starts[s:e] - low, ends[s:e] - low, base)
+    return out
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; a null row is empty."""
     column = column.cast(pa.large_binary())
@@ -81,7 +100,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = bounds(data, offsets)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), first
-    return ranges(_VALUE[data], starts, ends, _BYTE), first
+    return ranges(data, starts, ends, _BYTE), first
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
