@@ -29,9 +29,10 @@ from tessera.llm.wordhash import bounds, ranges, raw, windows, word_hashes, _BYT
 WINDOW = 35
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bytes of text in a cell and for each range of hashes; with more text than fits 16 cells and one range
-#: for each partition of the shuffle, both grow.
-CELL, RANGE, CELLS = 1 << 20, 16 << 20, 16
+#: Bytes of text in a cell, and for each range of hashes: from the first number, while 16 cells and one range
+#: for each partition of the shuffle do, up to the second, whatever the number of partitions. So a task holds a bounded
+#: cell or range at a time; a cell and a range have a row between them only if they share a hash, so rows never outnumber hashes.
+CELL, RANGE, CELLS = (1 << 20, 8 << 20), (16 << 20, 64 << 20), 16
 #: Bytes of a hash that travel: false repeats of anchors only make candidates, windows are sent in full.
 ANCHOR_BYTES, WINDOW_BYTES = 6, 8
 
@@ -42,28 +43,30 @@ def _top(hashes: np.ndarray, width: int) -> np.ndarray:
     return hashes >> _U(64 - 8 * width)
 
 
-def _cuts(distinct: np.ndarray, width: int, parts: int) -> np.ndarray:
-    """Where each of ``parts`` equal ranges of hashes begins in the sorted ``distinct``."""
-    span = 1 << (8 * width)
-    return np.searchsorted(distinct, np.array([span * k // parts for k in range(parts)] , dtype=np.uint64))
+def _range_of(distinct: np.ndarray, width: int, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal ranges each of the sorted hashes belongs to, in order."""
+    return ((distinct >> _U(8 * width - 32)) * _U(parts)) >> _U(32)
 
 
 def _send(cell: int, kind: int, hashes: np.ndarray, width: int, parts: int) -> list[tuple]:
-    """Rows (part, kind, cell, blob) with the distinct hashes of a cell."""
+    """Rows (part, kind, cell, blob) with the distinct hashes of a cell; a range without any has no row."""
     distinct = np.unique(_top(hashes, width))
-    cuts = np.append(_cuts(distinct, width, parts), len(distinct))
+    if not len(distinct):
+        return []
+    owner = _range_of(distinct, width, parts)
+    cuts = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(distinct)]
     packed = np.ascontiguousarray(distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-    return [(p, kind, cell, packed[s:e].tobytes()) for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
+    return [(int(owner[s]), kind, cell, packed[s:e].tobytes()) for s, e in zip(cuts[:-1], cuts[1:])]
 
 
 def _received(rows: pa.Table, kind: int, hashes: np.ndarray, width: int, parts: int) -> np.ndarray:
     """Whether each of ``hashes`` occurs again, in the cell or (by the bits that came back) in another."""
     distinct, place, counts = np.unique(_top(hashes, width), return_inverse=True, return_counts=True)
     again = counts > 1
-    cuts = np.append(_cuts(distinct, width, parts), len(distinct))
+    owner = _range_of(distinct, width, parts)
     for k, part, bits in zip(rows.column("kind").to_pylist(), rows.column("part").to_pylist(), rows.column("bits").to_pylist()):
         if k == kind:
-            s, e = cuts[part], cuts[part + 1]
+            s, e = np.searchsorted(owner, _U(part), "left"), np.searchsorted(owner, _U(part), "right")
             again[s:e] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=e - s).astype(bool)
     return again[place]
 
@@ -123,6 +126,11 @@ def _text(rows: pa.Table) -> pa.Array:
     return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
 
 
+def dealing(size: int, width: int) -> tuple[int, int]:
+    """The number of cells and of hash ranges for ``size`` bytes of text and ``width`` partitions."""
+    return tuple(max(1, min(-(-size // least), width * times), -(-size // most)) for (least, most), times in ((CELL, CELLS), (RANGE, 1)))
+
+
 def repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for each row; with ``texts`` the kept text as well.
 
@@ -133,7 +141,7 @@ def repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells, parts = max(1, min(-(-size // CELL), width * CELLS)), max(1, min(-(-size // RANGE), width))
+    cells, parts = dealing(size, width)
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = (
         documents(docs).withColumn("cell", F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)).cast("long")).repartition(width, "cell")

@@ -16,7 +16,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
 #: Values (bytes or words) that are hashed at a time.
-PIECE = 1 << 18
+PIECE = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -43,7 +43,11 @@ def copies(seed):
     return texts + texts[:3] + [prose(5, 40) + " " + prose(5, 40)]
 
 
-def test_substring_removal(spark):
+@pytest.mark.parametrize("cell, span", [(substring_dedup.CELL, substring_dedup.RANGE), ((500, 900), (300, 700))])
+def test_substring_removal(spark, monkeypatch, cell, span):
+    """With one cell, and with more cells and ranges than partitions."""
+    monkeypatch.setattr(substring_dedup, "CELL", cell)
+    monkeypatch.setattr(substring_dedup, "RANGE", span)
     texts = copies(1)
     words = [[w.encode() for w in WORD.findall(t)] for t in texts]
     seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
@@ -57,6 +61,20 @@ def test_substring_removal(spark):
     assert all(hashlib.sha256(r[0].encode()).hexdigest() == r[1] for r in kept)
 
 
+@pytest.mark.parametrize("width", [1, 8, 200, 10_000])
+@pytest.mark.parametrize("size", [0, 1, 10**8, 3 * 10**10, 10**14])
+def test_cells_and_ranges_are_bounded(size, width):
+    """A task's share does not grow with the text, and small texts are not cut finer than the partitions ask for."""
+    cells, parts = substring_dedup.dealing(size, width)
+    assert size <= cells * substring_dedup.CELL[1] and size <= parts * substring_dedup.RANGE[1]
+    assert cells <= max(1, 16 * width, size / substring_dedup.CELL[1] + 1) and parts <= max(1, width, size / substring_dedup.RANGE[1] + 1)
+
+
+def test_a_cell_sends_no_more_rows_than_hashes():
+    hashes = np.arange(50, dtype=np.uint64) << np.uint64(58)
+    assert len(substring_dedup._send(1, 0, hashes, 6, 10_000)) == len(set(hashes.tolist())) == 50
+
+
 def test_quality_counts(spark):
     texts = [*copies(2), "a b c a b c a b", "#x $y\n#x $y\n\n %", "w " * 60, "a a a a", "é日 b\x1cc d"]
     for r in quality_rules.assess(frame(spark, texts)).collect():
