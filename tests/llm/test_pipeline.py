@@ -30,3 +30,13 @@ def test_run(spark, tmp_path):
     expected = sorted((i, *model.digest(t)) for i, t, *_ in once for _ in range(times[i]))
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == expected
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_near_dedup", "secret_scans", "source_mix", "sentencepiece"]
+
+
+def test_run_on_awkward_rows(spark, edge, nothing, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through all stages; an empty table gives no rows."""
+    edge.write.parquet(f"{tmp_path}/edge/documents.parquet")
+    nothing.write.parquet(f"{tmp_path}/nothing/documents.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/edge").collect()
+    assert {r["doc_id"] for r in rows} <= {6, 7, 9, 10, None} and len(rows) == len([r for r in rows if r["n_tokens"] > 50])
+    assert len({r["decoded_sha256"] for r in rows}) > 1
+    assert corpus_pipeline.run(spark, f"{tmp_path}/nothing").collect() == []
