@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import lm_score, media_columns, near_dup, pieces, quality_model, quality_rules, secret_scan, source_mix, substring_dedup, toxicity
+from tessera.llm import line_dedup, lm_score, media_columns, near_dup, pieces, quality_model, quality_rules, secret_scan, source_mix, substring_dedup, toxicity
 
 _MODULES = {
     "op1_toxicity": toxicity,
@@ -19,6 +19,7 @@ _MODULES = {
     "op8_sentencepiece": pieces,
     "op9_secret_scan": secret_scan,
     "op10_minhash_dedup": near_dup,
+    "op11_line_dedup": line_dedup,
 }
 
 

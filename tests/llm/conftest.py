@@ -34,3 +34,11 @@ def nothing(spark):
 @pytest.fixture(scope="session")
 def labels(spark):
     return spark.createDataFrame([(i, 1, i % 2) for i in range(1, 12)] + [(5, None, None), (None, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
+
+
+#: Columns whose names an operator may use itself, or that need quoting.
+CLASHING_SCHEMA = "doc_id long, text string, cell string, shard string, bits string, ids string, kept string, n string, `a b` string, `a.b` string"
+
+
+def clashing(n):
+    return [(i, prose(i % 7, 40) + "\n" + prose(i, 30), *"abcdefgh") for i in range(n)]

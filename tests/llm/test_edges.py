@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tessera.llm import lm_score, media_columns, near_dup, pieces, quality_model, quality_rules, registry, secret_scan, source_mix, substring_dedup, toxicity
+from tessera.llm import line_dedup, lm_score, media_columns, near_dup, pieces, quality_model, quality_rules, registry, secret_scan, source_mix, substring_dedup, toxicity
 from tessera.llm.batches import per_text
 from tessera.llm.shared import documents
 
@@ -19,6 +19,7 @@ PLAIN = {
     "pieces": pieces.digests,
     "secrets": secret_scan.scans,
     "near": near_dup.classes,
+    "lines": line_dedup.dedup,
 }
 
 
@@ -61,7 +62,7 @@ def test_stages_keep_the_columns_and_values(edge, nothing, spark, stage):
 
 def test_registry_names():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, len(names) + 1))
     assert set(registry.oracle_sql()) <= set(names)
 
 
