@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import line_dedup, lm_score, media_columns, near_dup, pieces, prefix_trie, quality_model, quality_rules, secret_scan, source_mix, substring_dedup, toxicity
+from tessera.llm import line_dedup, lm_score, media_columns, near_dup, pieces, prefix_trie, quality_model, quality_rules, secret_scan, source_mix, substring_dedup, toxicity, whitening
 
 _MODULES = {
     "op1_toxicity": toxicity,
@@ -21,6 +21,7 @@ _MODULES = {
     "op10_minhash_dedup": near_dup,
     "op11_line_dedup": line_dedup,
     "op12_prefix_trie": prefix_trie,
+    "op13_whitening": whitening,
 }
 
 
