@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import decisions, grounding, metrics, relational, retrieval, sequential, stateful, texts
+from tessera.plans import decisions, grounding, metrics, relational, retrieval, sequential, stateful, texts, vectors
 
 FLAGSHIP = "rrf_hybrid"
 
-_MODULES = (retrieval, texts, decisions, grounding, metrics, stateful, sequential, relational)
+_MODULES = (retrieval, texts, decisions, grounding, metrics, stateful, sequential, relational, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

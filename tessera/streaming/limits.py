@@ -4,28 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-#: Folders of our own, by application, where the session names none.
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset a temporary folder for a local master, and one in the warehouse on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if context.applicationId not in _own:
-            local = context.master == "local" or context.master.startswith("local[")
-            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_tessera"
-        folder = _own[context.applicationId]
-    return folder.rstrip("/")
+from tessera.session import shared_folder
 
 
 def window_limit(events: DataFrame, limit: int, key: str = "user_id", order: str = "event_id", amount: str = "amount", late: str = "1 day") -> DataFrame:
