@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import decisions, grounding, metrics, relational, reports, retrieval, sequential, stateful, structure, texts, vectors
+from tessera.plans import decisions, geometry, grounding, metrics, relational, reports, retrieval, sequential, stateful, structure, texts, vectors
 
 FLAGSHIP = "rrf_hybrid"
 
-_MODULES = (retrieval, texts, decisions, grounding, metrics, stateful, sequential, relational, vectors, structure, reports)
+_MODULES = (retrieval, texts, decisions, grounding, metrics, stateful, sequential, relational, vectors, structure, reports, geometry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
