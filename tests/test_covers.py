@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tessera.plans import catalogue
 
-MISSING = {"EXP16", "EXP17", "EXP19", "EXP21", "EXP30", "HAR32", "EVL7", "EXP43", "CNV5", "CNV11"}
+MISSING = {"EXP16", "EXP17", "EXP19", "EXP21", "EXP30", "HAR32", "EVL7"}
 
 
 def test_missing_ids_are_not_claimed():
