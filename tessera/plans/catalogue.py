@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import decisions, geometry, grounding, identities, metrics, relational, reports, retrieval, sequential, stateful, structure, texts, validation, vectors
+from tessera.plans import decisions, geometry, grounding, identities, metrics, relational, reports, retrieval, sequential, stateful, storage, structure, texts, validation, vectors
 
 FLAGSHIP = "rrf_hybrid"
 
-_MODULES = (retrieval, texts, decisions, grounding, metrics, stateful, sequential, relational, vectors, structure, reports, geometry, validation, identities)
+_MODULES = (retrieval, texts, decisions, grounding, metrics, stateful, sequential, relational, vectors, structure, reports, geometry, validation, identities, storage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
