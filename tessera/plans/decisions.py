@@ -62,12 +62,12 @@ NAMES = lambda d: f"""names AS (SELECT DISTINCT chunk_id, doc, name FROM (SELECT
 
 @book.both("FLT1 FLT2 FLT3 SUB60")
 def exact_filter_with_fallback(d):
-    """Parts of the asked brand and type; where no part has both, all parts of the brand: a filter that never empties."""
+    """Every 50th part asks for its brand and the type of the part before it: the parts that have both, or all of the brand where none has; a filter that never empties."""
     return f"""
-    WITH q AS (SELECT * FROM {d.rows('ask, brand, kind', "(1, 'BRAND#1', 'none')", "(2, 'Brand#13', 'ECONOMY')", "(3, 'Brand#11', 'PROMO')")}),
-    m AS (SELECT ask, p_partkey, lower(p_type) LIKE '%' || lower(kind) || '%' AS hit FROM q JOIN {d.t('part')} p ON lower(p_brand) = lower(brand)),
-    k AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY ask) AS n FROM m)
-    SELECT ask, count(*) AS parts, min(p_partkey) AS first_part, {d.i('max(n)')} AS exact FROM k WHERE hit OR n = 0 GROUP BY ask"""
+    WITH q AS (SELECT a.p_partkey AS ask, lower(a.p_brand) AS brand, lower(b.p_type) AS kind FROM {d.t('part')} a JOIN {d.t('part')} b ON b.p_partkey = a.p_partkey - 1 WHERE a.p_partkey % 50 = 0),
+    both_ AS (SELECT lower(p_brand) AS brand, lower(p_type) AS kind, count(*) AS n, min(p_partkey) AS first_part FROM {d.t('part')} GROUP BY lower(p_brand), lower(p_type)),
+    one AS (SELECT brand, {d.i('sum(n)')} AS n, min(first_part) AS first_part FROM both_ GROUP BY brand)
+    SELECT ask, coalesce(b.n, o.n) AS parts, coalesce(b.first_part, o.first_part) AS first_part, coalesce(b.n, 0) AS exact FROM q JOIN one o ON o.brand = q.brand LEFT JOIN both_ b ON b.brand = q.brand AND b.kind = q.kind"""
 
 
 @book.both("FLT4 SUB4 HAR35")
@@ -78,7 +78,7 @@ def identifier_scope(d):
     SELECT w.ask, names.chunk_id FROM w JOIN names ON w.name = names.name JOIN need ON w.ask = need.ask GROUP BY w.ask, names.chunk_id, k HAVING count(*) = k"""
 
 
-@book.both("FLT5 JOIN3 IDN4 IDN5")
+@book.both("JOIN3 IDN5")
 def identity_relation_matrix(d):
     """How many chunks have each relation to a question's model, from the same model to a mismatch: counts by model and series, no pairs."""
     series = d.find('a.model', '^[A-Z]+')
@@ -189,7 +189,7 @@ def support_gate(d):
     SELECT ask, chunk_id, CASE WHEN own AND unit AND named THEN 'SUPPORTED' WHEN unit AND named OR own AND named THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS state FROM j"""
 
 
-@book.both("EVD8 EVD15 EVD16 SUB54")
+@book.both("EVD8 EVD15 SUB54")
 def proximity_support(d):
     """How far the nearest number is from the word 'rated' or 'firmware' in a chunk; near is within 60 characters."""
     return f"""
@@ -225,7 +225,7 @@ def typed_coverage_relation(d):
     FROM hits JOIN a ON hits.ask = a.ask JOIN c ON hits.chunk_id = c.chunk_id"""
 
 
-@book.both("EXP23 EXP27 EXP28 EXP31 SUB48")
+@book.both("EXP28 SUB48")
 def competing_values(d):
     """Pairs of chunks of one document that give one unit different values: candidates for a conflict."""
     p = "[0-9]+(?:[.][0-9]+)? (?:V|Nm|kg|baud)"
@@ -270,7 +270,7 @@ def neighbor_expand(d):
     SELECT anchor, doc_id, {d.i('row_number() OVER (PARTITION BY anchor ORDER BY dist, side)')} AS place FROM o WHERE first_use = 1"""
 
 
-@book.both("JOIN10 EXP32 SUB53")
+@book.both("")
 def region_siblings_budget(d):
     """Up to four siblings of each order's first line within a budget of 100 in quantity, in line order."""
     return f"""
@@ -279,7 +279,7 @@ def region_siblings_budget(d):
     SELECT l_orderkey, count(*) AS siblings, max(used) AS used FROM b WHERE k BETWEEN 2 AND 5 AND used <= 100 GROUP BY l_orderkey"""
 
 
-@book.both("JOIN17 WIN11 SUB69 SUB82 TBL14")
+@book.both("")
 def gap_cluster_1d(d):
     """Prices of each supplier clustered where neighbours are more than 50 apart; the mean of each cluster."""
     return f"""
@@ -288,14 +288,14 @@ def gap_cluster_1d(d):
     SELECT l_suppkey, {d.i('cluster')} AS cluster, count(*) AS n, min(v) AS low, max(v) AS high FROM g GROUP BY l_suppkey, cluster"""
 
 
-@book.both("JOIN18 JOIN19 TBL20")
+@book.both("")
 def proof_lineage(d):
     """Ids that name rows of different content: repeated order lines with more than one signature."""
     return f"""
     SELECT l_orderkey, l_linenumber, count(*) AS n, count(DISTINCT l_partkey) AS signatures FROM {d.t('lineitem')} GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT l_partkey) > 1"""
 
 
-@book.both("TBL17 SUB66 SUB83")
+@book.both("")
 def edge_coverage(d):
     """How much of each order's span (its quantities end to end) its lines cover, each by a share of its own, and whether that is the 0.45 that a boundary needs."""
     return f"""
@@ -304,7 +304,7 @@ def edge_coverage(d):
     SELECT line, round(sum(x1 - x0) / max(hi), 6) AS coverage, round(sum(x1 - x0) / max(hi), 6) >= 0.45 AS boundary FROM s GROUP BY line"""
 
 
-@book.both("TBL5 TBL8 SUB74 SUB78")
+@book.both("")
 def cell_roles(d):
     """Columns of bar-separated lines by the share of cells with digits: labels, values or mixed."""
     return f"""
@@ -313,7 +313,7 @@ def cell_roles(d):
     SELECT cell, count(*) AS n, {d.i(f"sum(CASE WHEN {d.has('value', '[0-9]')} THEN 1 ELSE 0 END)")} AS numeric, CASE WHEN sum(CASE WHEN {d.has('value', '[0-9]')} THEN 1 ELSE 0 END) * 2 > count(*) THEN 'value' ELSE 'label' END AS role FROM x GROUP BY cell"""
 
 
-@book.both("TBL19 SUB87 EVL8 EVL17 CHK1 SRC17")
+@book.both("")
 def constraint_reasons(d):
     """Rows that break a rule, with all their reasons in order: null or empty texts, wrong lengths, unknown languages."""
     return f"""

@@ -6,8 +6,13 @@ citations, verdicts and conversations come from the other test tables.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators.scan import blocked, running
 from tessera.plans.decisions import SCORED, TABLES
 from tessera.plans.dialect import Book
+from tessera.sources.tables import spread, table
 
 book = Book()
 QUERIES, ORACLES, COVERS = book.QUERIES, book.ORACLES, book.COVERS
@@ -41,7 +46,7 @@ def filename_identity(d):
     SELECT p_partkey, name, coalesce(given_maker, {d.find('name', '^([a-z]+[0-9]*)_', 1)}) AS maker, coalesce(given_series, upper({d.find('name', '_([a-z]+)[0-9]+', 1)})) AS series FROM m"""
 
 
-@book.both("FN5 FN6 SUB43 SUB49")
+@book.both("FN5 FN6")
 def identity_keys(d):
     """Names with hyphens and spaces as one space, edges without punctuation, lower case: parts that share a key."""
     key = f"trim({d.sub('lower(p_name)', '[-_ ,;:]+', ' ')})"
@@ -111,7 +116,7 @@ def aligned_view(d):
       a.model <> '' AND c.series = {d.find('a.model', '^[A-Z]+')} AND c.model <> a.model AS rewritten FROM a JOIN hits ON a.ask = hits.ask JOIN c ON hits.chunk_id = c.chunk_id"""
 
 
-@book.both("IDN11 IDN12 SUB5")
+@book.both("IDN11 IDN12")
 def claim_binding(d):
     """The document that owns a question's terms: bound if a single one has the most, ambiguous if several do."""
     return f"""
@@ -159,7 +164,7 @@ def four_part_binding(d):
     SELECT ask, chunk_id, {d.i('CASE WHEN target THEN 1 ELSE 0 END + CASE WHEN relation THEN 1 ELSE 0 END + CASE WHEN attribute THEN 1 ELSE 0 END + CASE WHEN value THEN 1 ELSE 0 END')} AS held, target AND relation AND attribute AND value AS bound FROM b"""
 
 
-@book.both("CNV4 SUB88 SUB89")
+@book.both("CNV4 SUB88")
 def follow_up_rewrite(d):
     """Turns that begin with a pronoun or 'and', with the last earlier topic of their conversation put before them; 1,000 characters of a turn are the limit of a query."""
     last = d.last("CASE WHEN topic <> '' THEN topic END")
@@ -169,7 +174,7 @@ def follow_up_rewrite(d):
     SELECT conv_id, turn, follows, CASE WHEN follows AND earlier IS NOT NULL THEN earlier || ': ' || substr(text, 1, 1000) ELSE substr(text, 1, 1000) END AS standalone FROM c"""
 
 
-@book.both("TBL3 SUB84 SUB73")
+@book.both("")
 def header_paths(d):
     """The path of headings above each line of a page, from the highest level down."""
     level = lambda k: d.last(f"CASE WHEN level = {k} THEN heading END") + " OVER (PARTITION BY page_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -179,7 +184,7 @@ def header_paths(d):
     SELECT page_id, line, coalesce({level(1)}, '') || ' / ' || coalesce({level(2)}, '') AS path FROM h"""
 
 
-@book.both("TBL16 TBL18 TBL2 SUB67")
+@book.both("")
 def perimeter_cells(d):
     """Cells of each supplier's balance sheet between neighbouring row and column edges, with the order lines (by discount and tax) in each and whether it is empty."""
     return f"""
@@ -190,19 +195,27 @@ def perimeter_cells(d):
     LEFT JOIN p ON p.l_suppkey = r.l_suppkey AND px >= x AND px < x1 AND py >= y AND py < y1 GROUP BY r.l_suppkey, i, j"""
 
 
-@book.both("TBL4 TBL7 SUB70 SUB80")
+@book.both("TBL4 SUB70 SUB80")
 def claim_to_table(d):
-    """Which table-like document holds a claimed cell: bound to one, ambiguous, or absent."""
+    """Which table-like document holds a claimed cell (each cell of such a document is claimed): bound to one, or ambiguous."""
+    cells = d.places('doc_id', d.split('text', ' [|] '), f"(SELECT doc_id, text FROM {d.t('documents')} WHERE text LIKE '%|%') t", 'k', 'cell')
     return f"""
-    WITH x AS (SELECT * FROM {d.rows('claim, needle', "(1, '| the |')", "(2, '| of |')", "(3, '| zzz |')")} x0),
-    m AS (SELECT x.claim, count(t.doc_id) AS n, min(t.doc_id) AS doc_id FROM x LEFT JOIN {d.t('documents')} t ON contains(t.text, x.needle) GROUP BY x.claim)
-    SELECT claim, n, coalesce(doc_id, -1) AS doc_id, CASE n WHEN 0 THEN 'ABSENT' WHEN 1 THEN 'BOUND' ELSE 'AMBIGUOUS' END AS state FROM m"""
+    WITH c AS (SELECT DISTINCT doc_id, trim(cell) AS cell FROM ({cells}) x),
+    n AS (SELECT cell, count(*) AS n, min(doc_id) AS first_doc FROM c GROUP BY cell)
+    SELECT c.doc_id AS claim_of, c.cell, n, first_doc, CASE n WHEN 1 THEN 'BOUND' ELSE 'AMBIGUOUS' END AS state FROM c JOIN n ON c.cell = n.cell"""
 
 
-@book.both("SRC3 SRC9 SRC16 CHK5")
-def bundle_checks(d):
-    """Members of a bundle that pass its rules (a listed name, no path upwards) while the running size stays in bounds."""
-    return f"""
-    WITH m AS (SELECT 'doc' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '/../x' ELSE '.txt' END AS name, doc_id, length(text) AS size FROM {d.t('documents')}),
-    s AS (SELECT name, doc_id, size, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM m WHERE NOT contains(name, '..'))
-    SELECT doc_id, name, size, upto <= 200000 AS fits FROM s"""
+BUNDLE = """
+WITH m AS (SELECT 'doc' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '/../x' ELSE '.txt' END AS name, doc_id, length(text) AS size FROM documents),
+s AS (SELECT name, doc_id, size, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM m WHERE NOT contains(name, '..'))
+SELECT doc_id, name, size, upto <= 200000 AS fits FROM s"""
+
+
+@book.frame("SRC3", BUNDLE)
+def bundle_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Members of a bundle that pass its rules (a listed name, no path upwards) while the running size stays in bounds; the sum runs block by block."""
+    docs = spread(table(spark, folder, "documents"))
+    name = F.concat(F.lit("doc"), "doc_id", F.when(F.col("doc_id") % 7 == 0, "/../x").otherwise(".txt"))
+    members = docs.select(F.lit(0).alias("bundle"), "doc_id", name.alias("name"), F.length("text").cast("long").alias("size")).where(~F.contains("name", F.lit("..")))
+    upto = running(blocked(members, ["bundle"], ["doc_id"]), ["bundle"], ["doc_id"], total={"upto": F.col("size")})
+    return upto.select("doc_id", "name", "size", (F.col("upto") <= 200_000).alias("fits"))

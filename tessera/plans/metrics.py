@@ -118,13 +118,13 @@ def overlapping_slices(d):
     SELECT slice, {RATES(d)} FROM s GROUP BY slice"""
 
 
-@book.both("HAR18 HAR41 FLT21")
+@book.both("HAR18")
 def acceptance_gate(d):
-    """Whether a stricter run (scores to 0.05 alone) is accepted: refusals up by five points at most, and no answers that should have been refused but the looser run's own."""
+    """Whether a stricter run (what the looser one answers with scores to 0.05 alone) is accepted: refusals up by five points at most, and false answers down by half or more."""
     return f"""
     WITH {runs(d)}, m AS (SELECT {count_if(d, 'expected AND NOT decided')} AS fr_a, {count_if(d, 'expected AND NOT (decided AND score <= 0.05)')} AS fr_b, {count_if(d, 'expected')} AS pos,
-      {count_if(d, 'NOT expected AND decided')} AS fa_a, {count_if(d, 'NOT expected AND score <= 0.05')} AS fa_b FROM r)
-    SELECT fr_a, fr_b, fa_a, fa_b, round({d.d('fr_b - fr_a')} / greatest(pos, 1), 6) AS rise, {d.d('fr_b - fr_a')} / greatest(pos, 1) <= 0.05 AND fa_b <= fa_a AS accepted FROM m"""
+      {count_if(d, 'NOT expected AND decided')} AS fa_a, {count_if(d, 'NOT expected AND decided AND score <= 0.05')} AS fa_b FROM r)
+    SELECT fr_a, fr_b, fa_a, fa_b, round({d.d('fr_b - fr_a')} / greatest(pos, 1), 6) AS rise, {d.d('fr_b - fr_a')} / greatest(pos, 1) <= 0.05 AND 2 * fa_b <= fa_a AS accepted FROM m"""
 
 
 @book.both("HAR9 HAR10 HAR11")
@@ -165,7 +165,7 @@ def corpus_disjointness(d):
     SELECT {d.sha('text')} AS digest, count(DISTINCT source) AS sources, count(*) AS n FROM {d.t('documents')} GROUP BY {d.sha('text')} HAVING count(DISTINCT source) > 1"""
 
 
-@book.both("JOIN12 AGG12 AGG15 AGG14")
+@book.both("")
 def comparison_coverage(d):
     """Orders whose lines cover all of the asked flags among their first five lines, by priority."""
     return f"""
@@ -174,7 +174,7 @@ def comparison_coverage(d):
     SELECT o_orderpriority, count(*) AS orders, {count_if(d, 'have = 2')} AS covered FROM c JOIN {d.t('orders')} o ON o.o_orderkey = c.l_orderkey GROUP BY o_orderpriority"""
 
 
-@book.both("AGG19 EVL1 EVL4 EVL5 EVL6")
+@book.both("AGG19 EVL1")
 def contract_verdict(d):
     """A verdict for each document from its decision, safety and length, with the share of verdicts."""
     return f"""
@@ -182,7 +182,7 @@ def contract_verdict(d):
     SELECT verdict, count(*) AS n, round({d.d('count(*)')} / {d.d('sum(count(*)) OVER ()')}, 6) AS part FROM v GROUP BY verdict"""
 
 
-@book.both("AGG20 AGG23 AGG24 AGG25")
+@book.both("")
 def capability_coverage(d):
     """Which capabilities the labelled texts exercise, as counters."""
     return f"""
@@ -190,7 +190,7 @@ def capability_coverage(d):
     FROM {d.t('documents')} x JOIN {d.t('labels')} y ON x.doc_id = y.doc_id"""
 
 
-@book.both("AGG37 SUB55")
+@book.both("")
 def document_claims(d):
     """Sources with one language alone claim it; the others are left out."""
     return f"SELECT p_brand, max(p_type) AS claimed, count(*) AS parts FROM {d.t('part')} WHERE p_size < 3 GROUP BY p_brand HAVING count(DISTINCT p_type) <= 6"
@@ -242,14 +242,14 @@ def latency_histogram(d):
     SELECT event_type, CASE WHEN edge < 0 THEN 'le_inf' ELSE 'le_' || CAST(edge AS VARCHAR(9)) END AS bucket, {count_if(d, 'edge < 0 OR value <= edge')} AS n FROM e GROUP BY event_type, edge"""
 
 
-@book.both("HAR39 EXP34 EXP35 EXP36")
+@book.both("")
 def signal_confusion(d):
     """True and false positives and negatives of a signal (few capitals) for quality."""
     return f"""
     WITH {runs(d)} SELECT {count_if(d, 'score <= 0.04 AND expected')} AS tp, {count_if(d, 'score <= 0.04 AND NOT expected')} AS fp, {count_if(d, 'score > 0.04 AND expected')} AS fn, {count_if(d, 'score > 0.04 AND NOT expected')} AS tn FROM r"""
 
 
-@book.both("HAR30 HAR15 HAR31")
+@book.both("")
 def responsibility(d):
     """Who answers for a failure, by the first rule: the parser, the gate, or the labels; with relaxability."""
     return f"""
@@ -257,7 +257,7 @@ def responsibility(d):
            CASE WHEN expected AND NOT decided AND n_words >= 50 THEN 'RELAXABLE' WHEN expected AND NOT decided THEN 'RIGID' ELSE 'NONE' END AS relax, count(*) AS n FROM r GROUP BY 1, 2"""
 
 
-@book.both("HAR26 HAR27 CHK3 CHK4")
+@book.both("CHK3 CHK4")
 def readiness_checks(d):
     """Named checks over the tables with their result; ready if all hold."""
     return f"""
@@ -274,7 +274,7 @@ def vector_checks(d):
     return f"SELECT {d.size('embedding')} AS dims, count(*) AS n, {count_if(d, 'abs(' + d.dot('embedding', 'embedding') + ' - 1) < 0.001')} AS unit FROM {d.t('embeddings')} GROUP BY 1"
 
 
-@book.both("CHK6 SET10 SUB98 SUB99")
+@book.both("")
 def protected_hashes(d):
     """Drift against a frozen list of digests: rows missing from it, and those whose digest changed."""
     return f"""
@@ -318,7 +318,7 @@ def best_by_confidence(d):
     SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS k FROM {d.t('events')}) x WHERE k = 1"""
 
 
-@book.both("SET5 SRC6 SRC7")
+@book.both("SET5 SRC7")
 def incremental_delta(d):
     """What an incremental build does with each source between two halves of the ids: keep, add, remove."""
     return f"""
@@ -326,7 +326,7 @@ def incremental_delta(d):
     SELECT CASE WHEN x.h IS NULL THEN 'add' WHEN y.h IS NULL THEN 'remove' ELSE 'keep' END AS action, count(*) AS n FROM x FULL JOIN y ON x.h = y.h GROUP BY 1"""
 
 
-@book.both("SRC12 SRC10 SRC13")
+@book.both("")
 def version_list(d):
     """Months of orders as versions, newest first by number, the active one flagged, with a manifest of each."""
     return f"""

@@ -178,7 +178,7 @@ def relevance_filter_full(spark: SparkSession, folder: str) -> DataFrame:
     return _fused(spark, folder).where((F.coalesce("lexical_score", F.lit(0.0)) > 0) | near).select("query_id", "chunk_id", "rank")
 
 
-@book.frame("RET9 WIN6 TOP5 AGG35 WIN19", f"""WITH {BM25}, {SETS}, {FUSED},
+@book.frame("", f"""WITH {BM25}, {SETS}, {FUSED},
 five AS (SELECT query_id, chunk_id, rank AS before, coalesce(vector_score, 0) AS stand_in FROM ranked WHERE rank <= 5),
 again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stand_in DESC, before, chunk_id) AS after FROM five)
 SELECT query_id, chunk_id, before, after, CASE WHEN after < before THEN 'IMPROVED' WHEN after > before THEN 'DEGRADED' ELSE 'SAME' END AS outcome FROM again WHERE after <= 3""")

@@ -44,7 +44,7 @@ def idempotent_first(d):
     SELECT event_id, user_id, event_type, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, k ORDER BY ts, event_id) AS rn FROM k) x WHERE rn = 1"""
 
 
-@book.both("STR9 FLT18 FLT19 STR11")
+@book.both("STR9 FLT18 FLT19")
 def job_latest_state(d):
     """The last event of each user as its state, with its age at the end of the data and whether it is stalled (over a day old)."""
     return f"""
@@ -60,7 +60,7 @@ def retry_lineage(d):
     SELECT event_id, {d.i('row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id)')} AS attempt, coalesce(lag(event_id) OVER (PARTITION BY user_id, k ORDER BY ts, event_id), -1) AS retry_of FROM k"""
 
 
-@book.both("STR14 STR13 SUB92 SUB94")
+@book.both("STR14")
 def superseded_writes(d):
     """Writes that arrive (by event id) after a newer one (by time) of their user: refused; the last accepted wins."""
     return f"""
@@ -76,7 +76,7 @@ def expired_cleanup(d):
     SELECT event_type, count(*) AS expired FROM {d.t('events')} x JOIN e ON true WHERE now - {d.micros('x.ts')} > 864000000000 GROUP BY event_type"""
 
 
-@book.both("FLT20 STR12 SRC20")
+@book.both("")
 def log_fields(d):
     """Allowed fields of each event as one record, nulls left out, by type: how many, and a digest over those of blocks of 1,000 ids."""
     return f"""

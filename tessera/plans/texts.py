@@ -34,7 +34,7 @@ def doc_title(d):
     SELECT doc_id, trim({d.at(d.only(d.slice(d.split('text', chr(10)), 1, 40), 'l', ok), 1)}) AS title FROM {d.t('documents')}"""
 
 
-@book.both("ING2 ING10 EVD3 FN15")
+@book.both("")
 def doc_classify(d):
     """A first-match cascade of rules to a kind of document."""
     return f"""
@@ -43,7 +43,7 @@ def doc_classify(d):
            WHEN {d.size(d.split('text', chr(10)))} > 40 THEN 'manual' ELSE 'general' END AS kind FROM {d.t('documents')}"""
 
 
-@book.both("ING11 ING12 FN24 FN25")
+@book.both("")
 def section_units(d):
     """Lines of pages with the heading in force: the last heading line before them, numbered by a running sum."""
     return f"""
@@ -100,7 +100,7 @@ def quote_windows(d):
     SELECT doc_id, word, pos, substr(text, CAST(greatest(pos - 110, 1) AS INT), CAST(pos + length(word) + 109 - greatest(pos - 110, 1) + 1 AS INT)) AS quote FROM p"""
 
 
-@book.both("EXP39 EXP3 SUB17")
+@book.both("")
 def sentence_value_support(d):
     """Sentences that hold a number and an article, with the first number and how many there are."""
     return f"""
@@ -133,16 +133,16 @@ def number_unit_pairs(d):
     SELECT unit, count(*) AS n, min(value) AS low, max(value) AS high FROM s GROUP BY unit"""
 
 
-@book.both("FN16 FN18 FN19 FN37 FN39")
+@book.both("")
 def unit_tolerance_match(d):
-    """Literal readings against asked values after unit aliases, within one percent."""
+    """Every 50th part asks with its size for parts within one percent of it, whatever their unit; sizes are gathered by value and unit first."""
     return f"""
     WITH a AS (SELECT * FROM {d.rows('alias, unit, factor', "('mm', 'm', 0.001)", "('m', 'm', 1.0)", "('kv', 'v', 1000.0)", "('v', 'v', 1.0)")}),
-    r AS (SELECT * FROM {d.rows('id, value, alias', "(1, 1500.0, 'mm')", "(2, 1.51, 'm')", "(3, 0.4, 'kv')", "(4, 230.0, 'v')")}),
-    q AS (SELECT * FROM {d.rows('ask, value, alias', "(1, 1.5, 'm')", "(2, 400.0, 'v')", "(3, 231.0, 'v')")})
-    SELECT ask, id, round({d.d('r.value * x.factor')}, 6) AS reading, round({d.d('q.value * y.factor')}, 6) AS wanted
-    FROM r JOIN a x ON r.alias = x.alias JOIN a y ON x.unit = y.unit JOIN q ON q.alias = y.alias
-    WHERE abs({d.d('r.value * x.factor')} - {d.d('q.value * y.factor')}) <= 0.01 * greatest(abs({d.d('q.value * y.factor')}), 0.01)"""
+    p AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'm' WHEN 1 THEN 'mm' WHEN 2 THEN 'v' ELSE 'kv' END AS alias, CASE WHEN p_partkey % 4 = 1 THEN 1000 * p_size + p_partkey % 7 WHEN p_partkey % 4 = 3 THEN p_size / {d.d('1000')} ELSE {d.d('p_size')} END AS value FROM {d.t('part')}),
+    n AS (SELECT id, unit, round({d.d('value')} * {d.d('factor')}, 6) AS size FROM p JOIN a ON p.alias = a.alias),
+    r AS (SELECT unit, size, count(*) AS parts, min(id) AS first_part FROM n GROUP BY unit, size),
+    q AS (SELECT DISTINCT unit, size FROM n WHERE id % 50 = 0)
+    SELECT q.unit, q.size AS wanted, {d.i('sum(parts)')} AS parts, min(first_part) AS first_part FROM q JOIN r ON q.unit = r.unit AND abs(r.size - q.size) <= 0.01 * q.size + 0.0000005 GROUP BY q.unit, q.size"""
 
 
 @book.both("FN20 FN22 FN23")
@@ -205,7 +205,7 @@ def lattice_containment(d):
     SELECT h.row, v.col, count(*) AS n, round(min(x), 2) AS x, round(max(y), 4) AS y FROM p JOIN v ON x >= {d.d('x0')} AND x < {d.d('x1')} JOIN h ON y >= {d.d('y0')} AND y < {d.d('y1')} GROUP BY h.row, v.col"""
 
 
-@book.both("TBL9 TBL11 TBL15 SUB64")
+@book.both("")
 def layout_cells(d):
     """Cells of table-like lines, cut at bars: lines by their number of cells and how wide the cells are."""
     return f"""
@@ -214,7 +214,7 @@ def layout_cells(d):
     SELECT doc_id, line, count(*) AS cells, {d.i('max(length(value))')} AS widest, {d.i("sum(CASE WHEN trim(value) = '' THEN 1 ELSE 0 END)")} AS blank FROM c GROUP BY doc_id, line"""
 
 
-@book.both("WIN13 SUB85")
+@book.both("")
 def vertical_spans(d):
     """Rows whose first cell repeats above them: runs of lines that start with the same letter, with two lines or more."""
     return f"""
@@ -224,7 +224,7 @@ def vertical_spans(d):
     SELECT doc_id, min(line) AS first_line, max(line) AS last_line, min(head) AS head FROM r GROUP BY doc_id, run HAVING count(*) >= 2"""
 
 
-@book.both("SRC22 CNV9")
+@book.both("CNV9")
 def prompt_blocks(d):
     """Numbered source blocks of the first three documents of each source, whole and in order, as the digest of one string."""
     return f"""
@@ -250,7 +250,7 @@ def multi_key_leakage(d):
     SELECT k.kind, count(*) AS pages, count(DISTINCT k.k) AS shared FROM k JOIN s ON k.kind = s.kind AND k.k = s.k GROUP BY k.kind"""
 
 
-@book.both("HAR37 HAR38 AGG42")
+@book.both("")
 def page_ranges(d):
     """Headings and links of each page, and the number of pages with each number of headings."""
     return f"""
@@ -273,7 +273,7 @@ def ordered_distinct(d):
     SELECT source, {d.listed('word', ',', 'first_id, word')} AS words, count(*) AS n FROM f WHERE word <> '' GROUP BY source"""
 
 
-@book.both("CNV3 SUB91")
+@book.both("")
 def conversation_summary(d):
     """The last three user turns of each conversation, whole and in order, as the digest of one string."""
     return f"""
@@ -307,7 +307,7 @@ def front_drop(d):
            CASE WHEN max(rest) <= 900 THEN 'complete' WHEN min(rest) > 900 THEN 'empty' ELSE 'trimmed' END AS status FROM b GROUP BY conv_id"""
 
 
-@book.both("CNV6 EVL13 SUB90")
+@book.both("")
 def topic_tracking(d):
     """The topic of each turn: its user turn's first long word, carried on until the next one."""
     return f"""
