@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-A candidate is a maximal run of key characters, after ``=`` as well. Its encoding is inferred (hexadecimal, plain
-or in groups with dashes, letters, base 32, base 36 or base 64); the run is then tested for what an encoded random key
+A candidate is a maximal run of key characters, after ``=`` as well. Its encoding is inferred (digits, hexadecimal in one case
+or in both, letters, base 32, base 36 or base 64; hexadecimal and base 36 also in groups with dashes; ``0x`` in front is no part of it); the run is then tested for what an encoded random key
 shows and prose does not:
 
 * uniformity over the encoding's alphabet (chi-squared in eight equal blocks of it);
@@ -10,8 +10,8 @@ shows and prose does not:
 
 In this form the tests ask whether a run can be random, and one that any of them refuses at
 REFUSED is no key. Whether it can be written text is asked of the same three aspects by
-likelihood: the frequencies of letters (uniformity), the runs of small letters, capitals,
-digits and signs (runs), and the alternation of vowels and consonants (serial dependence).
+likelihood: the frequencies of letters in two languages (uniformity), the runs of small letters, capitals,
+digits and signs (runs), and the alternation of vowels and consonants or the order of keys (serial dependence).
 The probability of the run as written text over that of a random key in its encoding is a
 p-value under the null hypothesis of text: by Markov's inequality it is below p with
 probability p at most, for runs of any length. The p-values of a document's candidates go
@@ -39,10 +39,15 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-
 KINDS = ("assign", "access", "hex", "random")
 #: The rate of false discoveries, and the level at which a test refuses.
 RATE, REFUSED = 0.01, 0.001
-#: Letters in ten thousand of written text (fixed values).
-LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (
-    817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7)))
-VOWELS = "aeiou"
+#: Letters (a to z) in ten thousand of written English and Polish, without marks on letters, and what counts as vowels (fixed values).
+LETTERS = (
+    (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7),
+    (990, 147, 436, 325, 877, 30, 142, 108, 821, 228, 351, 392, 280, 572, 860, 313, 1, 469, 498, 398, 250, 4, 465, 2, 376, 653),
+)
+VOWELS = ("aeiou", "aeiouy")
+#: Rows of keys, and of signs that people type one after another; the share of steps to a neighbour in such a run.
+ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "01234567890")
+TYPED = 0.85
 #: Of a letter after a vowel, and after a consonant: the share of vowels.
 AFTER_VOWEL, AFTER_CONSONANT = 0.15, 0.52
 #: How often a small letter, capital, digit or sign is followed by each of these, in five manners of writing: plain
@@ -63,11 +68,14 @@ _B36 = {c: i for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyz")} | {c
 _LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
 #: The encodings, the narrowest first. The dashes of a grouped run are no values.
 ENCODINGS = (
+    ("digits", _HEX, 10, re.compile(r"[0-9]+")),
     ("hex", _HEX, 16, re.compile(r"[0-9a-f]+|[0-9A-F]+")),
     ("grouped hex", _HEX, 16, re.compile(r"[0-9a-f]+(?:-[0-9a-f]+)+|[0-9A-F]+(?:-[0-9A-F]+)+")),
+    ("mixed hex", _HEX, 16, re.compile(r"[0-9a-fA-F]+")),
     ("letters", _LETTERS, 26, re.compile(r"[A-Z]+|[a-z]+")),
     ("base32", _B32 | _B32L, 32, re.compile(r"[A-Z2-7]+|[a-z2-7]+")),
     ("base36", _B36, 36, re.compile(r"[A-Z0-9]+|[a-z0-9]+")),
+    ("grouped base36", _B36, 36, re.compile(r"[A-Z0-9]+(?:-[A-Z0-9]+)+|[a-z0-9]+(?:-[a-z0-9]+)+")),
     ("base64", _B64, 64, re.compile(r"[A-Za-z0-9+/_-]+")),
 )
 
@@ -82,9 +90,15 @@ def tail_chi2(x: float, k: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def bare(run: str) -> str:
+    """A run without padding and without the mark of a hexadecimal number."""
+    body = run.rstrip("=")
+    return body[2:] if body[:2] in ("0x", "0X") else body
+
+
 def infer(run: str) -> tuple[str, list[int], int]:
     """The narrowest encoding that has all characters, the values, and the alphabet's size."""
-    body = run.rstrip("=")
+    body = bare(run)
     for name, values, size, pattern in ENCODINGS:
         if pattern.fullmatch(body):
             return name, [values[c] for c in body if c in values], size
@@ -122,31 +136,54 @@ def kind(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
-_SHARE = {c: n / 10_000 for c, n in LETTERS.items()}
-_V = sum(_SHARE[c] for c in VOWELS)
-_OWN = {c: math.log(p / (_V if c in VOWELS else sum(_SHARE.values()) - _V)) for c, p in _SHARE.items()}
-_TURN = {(v, w): math.log(p if w else 1 - p) for v, p in ((True, AFTER_VOWEL), (False, AFTER_CONSONANT), (None, _V)) for w in (True, False)}
+def _letters(counts: tuple[int, ...], vowels: str) -> tuple[str, dict, dict]:
+    """Vowels, log shares of a letter among its kind, and those of a vowel or consonant after another."""
+    share = {chr(97 + i): n / sum(counts) for i, n in enumerate(counts)}
+    v = sum(share[c] for c in vowels)
+    own = {c: math.log(p / (v if c in vowels else 1 - v)) for c, p in share.items()}
+    turn = {(before, w): math.log(p if w else 1 - p) for before, p in ((True, AFTER_VOWEL), (False, AFTER_CONSONANT), (None, v)) for w in (True, False)}
+    return vowels, own, turn
+
+
+_TABLES = [_letters(*x) for x in zip(LETTERS, VOWELS)]
+_NEXT = {(x, y) for row in ROWS for a, b in zip(row, row[1:]) for x, y in ((a, b), (b, a))}
 _MANNERS = [[[math.log(p) for p in row] for row in manner] for manner in MANNERS]
 _SIGNS, _DIGIT = math.log(1 / 4), math.log(1 / 10)
 
 
-def written(body: str) -> float:
-    """The log probability of a run as written text: the mean over the manners of writing."""
-    kinds = [kind(c) for c in body]
-    signs = 0.0
-    before = None
-    for c, k in zip(body.lower(), kinds):
+def _mean(logs: list[float]) -> float:
+    """The log of the mean of what the logs stand for."""
+    top = max(logs)
+    return top + math.log(sum(math.exp(v - top) for v in logs) / len(logs))
+
+
+def _spelled(body: str, kinds: list[int], table: tuple) -> float:
+    """The log probability of a run's letters, digits and signs, each given its kind, by a language's letters."""
+    vowels, own, turn = table
+    total, before = 0.0, None
+    for c, k in zip(body, kinds):
         if k < 2:
-            vowel = c in VOWELS
-            signs += _TURN[before, vowel] + _OWN[c]
-            before = vowel
+            total += turn[before, c in vowels] + own[c]
+            before = c in vowels
         else:
-            signs += _DIGIT if k == 2 else _SIGNS
+            total += _DIGIT if k == 2 else _SIGNS
             before = None
+    return total
+
+
+def _typed(body: str) -> float:
+    """The log probability of a run as neighbouring keys, or letters or digits in a row."""
+    near = sum(step in _NEXT for step in zip(body, body[1:]))
+    return math.log(1 / 36) + near * math.log(TYPED / 2) + (len(body) - 1 - near) * math.log((1 - TYPED) / 36)
+
+
+def written(body: str) -> float:
+    """The log probability of a run as written text: the mean over the manners of writing, the languages, and typing along the keys."""
+    kinds = [kind(c) for c in body]
     steps = list(zip(kinds, kinds[1:]))
-    logs = [math.log(1 / 4) + sum(manner[x][y] for x, y in steps) for manner in _MANNERS]
-    top = max(logs)
-    return signs + top + math.log(sum(math.exp(v - top) for v in logs) / len(logs))
+    manners = _mean([math.log(1 / 4) + sum(manner[x][y] for x, y in steps) for manner in _MANNERS])
+    low = body.lower()
+    return _mean([*(manners + _spelled(low, kinds, t) for t in _TABLES), _typed(low)])
 
 
 def evidence(run: str) -> float:
@@ -154,10 +191,11 @@ def evidence(run: str) -> float:
     name, values, size = infer(run)
     if not size or refused(values, size):
         return 1.0
-    body = run.rstrip("=")
-    body = body.replace("-", "") if name == "grouped hex" else body
-    one_case = name in ("hex", "grouped hex", "letters", "base32", "base36")
-    random_ = -len(values) * math.log(size) - (math.log(2) if one_case else 0.0)
+    body = bare(run)
+    body = body.replace("-", "") if name.startswith("grouped") else body
+    # One case for all letters is one more choice of two; each letter's own case is one for each.
+    cases = sum(c.isalpha() for c in body) if name == "mixed hex" else 0 if name in ("digits", "base64") else 1
+    random_ = -len(values) * math.log(size) - cases * math.log(2)
     return math.exp(min(0.0, written(body) - random_))
 
 
