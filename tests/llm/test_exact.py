@@ -309,17 +309,18 @@ def test_written_runs_are_none():
     assert not secret_scan.refused(random.Random(2).sample(list(range(36)) * 10, 360), 36) and counts == [5, 4, 5, 4, 5, 4, 5, 4]
 
 
-def test_the_evidence_is_a_p_value():
-    """Of runs drawn from the written-text model itself, at most a share p has evidence p or less."""
+@pytest.mark.parametrize("language", [0, 1])
+def test_the_evidence_is_a_p_value(language):
+    """Of runs drawn from the written-text model of a language, at most a share p has evidence p or less."""
     r = random.Random(5)
-    vowels = secret_scan.VOWELS
+    vowels, letters = secret_scan.VOWELS[language], dict(zip(LOWER, secret_scan.LETTERS[language]))
     others = [c for c in LOWER if c not in vowels]
 
     def draw(n):
-        out, share = "", sum(secret_scan.LETTERS[c] for c in vowels) / sum(secret_scan.LETTERS.values())
+        out, share = "", sum(letters[c] for c in vowels) / sum(letters.values())
         for _ in range(n):
             chosen = vowels if r.random() < share else others
-            out += r.choices(chosen, [secret_scan.LETTERS[c] for c in chosen])[0]
+            out += r.choices(chosen, [letters[c] for c in chosen])[0]
             share = secret_scan.AFTER_VOWEL if chosen is vowels else secret_scan.AFTER_CONSONANT
         return out
 
