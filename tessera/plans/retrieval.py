@@ -59,7 +59,8 @@ weight AS (SELECT chunk_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_i
 def char_gram_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Character n-gram vectors of the documents' whole texts, summed up."""
     w = lx.gram_weights(spread(_corpus(spark, folder)))
-    return w.groupBy("chunk_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("top"))
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    return w.select("chunk_id", F.size("places").cast("long").alias("n"), F.round(total, 4).alias("total"), F.round(F.array_max("weights"), 6).alias("top"))
 
 
 ASKED_GRAMS = """
