@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.operators import lexical as lx
 from tessera.operators.dense import nearest
 from tessera.plans.dialect import Book, Duck
+from tessera.session import settled
 from tessera.sources.tables import spread, table
 
 book = Book()
@@ -136,27 +140,61 @@ SELECT count(*) AS n, avg((coalesce(best, 99) = 1)::INT) AS hit_1, avg((coalesce
 FROM need LEFT JOIN best USING (query_id)"""
 
 
+#: Bytes of passages that are sent to the documents; more meet them by an anchor word.
+PASSAGES = 8 << 20
+
+
 def gold(spark: SparkSession, folder: str) -> DataFrame:
     """(query_id, chunk_id): the documents that hold a passage as it is.
 
-    Candidates share a rare anchor with the passage (its longest word), so that no
-    document meets every passage; containment is tested on candidates alone.
+    Passages of up to PASSAGES bytes are looked for, all at once, where the documents are read. Beyond
+    that candidates share a rare anchor with the passage (its longest inner word), so that
+    no document meets every passage; containment is tested on candidates alone.
     """
-    word = F.element_at(F.array_sort(F.transform(F.split("text", " "), lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
-    passages = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), word.alias("word"))
+    passages = table(spark, folder, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    docs = spread(table(spark, folder, "documents")).where("text IS NOT NULL").select(F.col("doc_id").alias("chunk_id"), "text")
+    if (passages.agg(F.sum(F.octet_length("passage") + 64)).first()[0] or 0) <= PASSAGES:
+        held: dict[str, list[int]] = {}
+        for r in passages.collect():
+            held.setdefault(r["passage"], []).append(r["query_id"])
+        return contained(docs, held)
     # A passage starts and ends anywhere in a document, but its inner words are whole there.
     inner = F.expr("slice(split(passage, ' '), 2, greatest(size(split(passage, ' ')) - 2, 0))")
     passages = passages.withColumn("word", F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"])
-    docs = spread(table(spark, folder, "documents")).select(F.col("doc_id").alias("chunk_id"), "text")
     words = docs.select("chunk_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     pairs = words.join(passages.select("query_id", "word"), "word").select("query_id", "chunk_id").distinct()
     return pairs.join(passages, "query_id").join(docs, "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id")
 
 
+def contained(docs: DataFrame, passages: dict[str, list[int]]) -> DataFrame:
+    """(query_id, chunk_id) of all ``passages`` (their ids by text) in ``docs`` (chunk_id, text), by one automaton. An empty passage is in every text."""
+    kind = docs.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        find = ahocorasick.Automaton()
+        for text, ids in passages.items():
+            if text:
+                find.add_word(text, ids)
+        find.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                own = set(passages.get("", ()))
+                if len(find):
+                    own.update(q for _, ids in find.iter(text) for q in ids)
+                rows += [i] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("chunk_id").take(pa.array(rows, pa.int64()))], names=["query_id", "chunk_id"])
+
+    return docs.mapInArrow(run, f"query_id bigint, chunk_id {kind}")
+
+
 @book.frame("JOIN11 AGG5 AGG7 WIN17 WIN18", f"WITH {BM25}, {SETS}, {FUSED}, {GOLD}, {METRICS}".replace("need AS (SELECT item_id", "need0 AS (SELECT item_id").replace("unnest(b) AS token FROM need)", "unnest(b) AS token FROM need0)").replace("JOIN need USING (query_id)),\nvector", "JOIN need0 USING (query_id)),\nvector"))
 def hybrid_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Hit@1, hit@3 and mean reciprocal rank of the fused list against the documents that hold the passage."""
-    held = gold(spark, folder)
+    held = settled(gold(spark, folder))
     best = _fused(spark, folder).join(held, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("best"))
     joined = held.select("query_id").distinct().join(best, "query_id", "left")
     return joined.agg(
@@ -232,7 +270,7 @@ def section_rank(spark: SparkSession, folder: str) -> DataFrame:
     three best chunks' times 1, 0.3 and 0.1.
     """
     corpus, asked = _corpus(spark, folder), _asked(spark, folder)
-    allowed = lx.top(lx.bm25(corpus, asked), 10).select("query_id", "chunk_id")
+    allowed = settled(lx.top(lx.bm25(corpus, asked), 10).select("query_id", "chunk_id"))
     t = F.col("token")
     terms = asked.select("query_id", F.explode(F.array_distinct(lx.tokens(F.col("text")))).alias("token"))
     terms = terms.where(((F.length(t) > 1) | t.isin(*SHORT)) & ~t.rlike("^[0-9]+$") & ~t.isin(*GENERAL))

@@ -93,3 +93,14 @@ def test_gram_top_by_hand(spark, monkeypatch):
         scores = [(-round(s, 6), i) for i, c in counts.items() if (s := sum(x * a.get(g, 0) for g, x in vector(c).items())) > 0]
         expected |= {(q, i, -s, k + 1) for k, (s, i) in enumerate(sorted(scores)[:3])}
     assert set(map(tuple, lx.gram_top(corpus, asks, 3, features=12).collect())) == expected
+
+
+def test_passages_where_documents_lie(spark):
+    """All passages of a document, overlapping and inner ones too."""
+    from tessera.plans import retrieval
+
+    passages = {"a b": [1], "b c": [2, 7], "a b c": [3], "zz": [4], "": [9], "é": [5]}
+    docs = [(1, "x a b c y"), (2, "a b"), (3, ""), (4, "é zz é"), (5, "ab c")]
+    got = retrieval.contained(spark.createDataFrame(docs, "chunk_id long, text string").repartition(2), passages).collect()
+    assert sorted(map(tuple, got)) == sorted((q, d) for d, t in docs for p, ids in passages.items() if p in t for q in ids)
+    assert {tuple(r) for r in retrieval.contained(spark.createDataFrame(docs, "chunk_id long, text string"), {}).collect()} == set()
