@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import decisions, evidence, geometry, grounding, identities, metrics, printed, relational, reports, retrieval, sequential, stateful, storage, structure, summarized, texts, validation, vectors
+from tessera.plans import answers, decisions, evidence, geometry, grounding, identities, metrics, printed, relational, reports, retrieval, sequential, stateful, storage, structure, summarized, texts, validation, vectors
 
 FLAGSHIP = "rrf_hybrid"
 
-_MODULES = (retrieval, texts, decisions, grounding, metrics, stateful, sequential, relational, vectors, structure, reports, geometry, validation, identities, storage, summarized, evidence, printed)
+_MODULES = (retrieval, texts, decisions, grounding, metrics, stateful, sequential, relational, vectors, structure, reports, geometry, validation, identities, storage, summarized, evidence, printed, answers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
