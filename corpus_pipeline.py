@@ -15,27 +15,27 @@ from tessera.llm.shared import settle, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules keep."""
+    """Documents that the adaptive quality rules keep: null and empty texts go, rows that repeat share a verdict, one on a threshold stays. Texts are whole, of any length; extra columns stay as they are; an empty table stays empty."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that of the least id: of null and empty texts one, of rows equal in id and text one. Texts are whole, of any length; extra columns stay as they are; an empty table stays empty."""
     return near_dup.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret in the text replaced by its kind."""
+    """All documents, with each secret in the text replaced by its kind; null texts stay null, rows that repeat stay. Texts are whole, of any length; extra columns stay as they are; an empty table stays empty."""
     return secret_scan.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: null and empty texts never, a null source is one of its own, rows that repeat are drawn alike. Texts are whole, of any length; extra columns stay as they are; an empty table stays empty."""
     return source_mix.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each document of the mix: its number of tokens and the digests of ids and decoded text."""
+    """A row for each document of the mix, its number of tokens and the digests of ids and decoded text; repeats have a row each, a null text is empty. An empty table gives no rows."""
     return pieces.digests(docs)
 
 

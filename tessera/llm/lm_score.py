@@ -391,4 +391,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
+    """A score for every document. Null and empty texts are one end; rows that repeat have equal scores; null ids are training rows; very long texts are whole. Extra columns
+    are not read. No rows for no documents.
+    """
     return scores(table(spark, folder, "documents"))

@@ -200,4 +200,5 @@ def tiles(images: DataFrame, key: str = "page_id", media: str = "media") -> Data
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored form of every document. Null and empty texts are 64 bytes 0; equal texts have equal values; very long texts are whole. Extra columns are not read. No rows for no documents."""
     return per_text(documents(table(spark, folder, "documents")), features, SCHEMA)

@@ -379,4 +379,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every document. Null and empty texts are one class; equal texts, and rows that repeat, share a class; its id is the least of its documents' (null ids after all others);
+    very long texts are whole. Extra columns are not read. No rows for no documents.
+    """
     return classes(table(spark, folder, "documents"))

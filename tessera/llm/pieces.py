@@ -287,4 +287,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document. Null and empty texts have the end id alone; rows that repeat have equal rows; of pieces that could stand equally the library's choice stands; very long texts
+    are whole. Extra columns are not read. No rows for no documents.
+    """
     return digests(table(spark, folder, "documents"))

@@ -181,5 +181,8 @@ def scores(docs: DataFrame, trees: Trees) -> DataFrame:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
+    """A score for every document. Null and empty texts have one; rows that repeat, ids or texts, have equal scores each; null ids are
+    not held out; ties in the sample go to the lesser hash and then id; very long texts are whole. Extra columns are not read. No rows for no documents.
+    """
     docs = table(spark, folder, "documents")
     return scores(docs, learn(docs, table(spark, folder, "labels")))

@@ -154,6 +154,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document. Null and empty texts have no words and fail; null languages and sources are groups of their own; rows that repeat count each and have
+    one verdict; very long texts count whole; a document on a threshold is kept. Extra columns are not read. No rows for no documents.
+    """
     return assess(table(spark, folder, "documents")).select("doc_id", *_BASE, "base_failed", "kept")
 
 

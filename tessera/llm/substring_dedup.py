@@ -194,6 +194,7 @@ def repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's words, and what is left of them. Null and empty texts have none; equal rows repeat each other's windows; long texts are whole. Extra columns are not read. No rows for no documents."""
     return repeats(table(spark, folder, "documents"))
 
 
