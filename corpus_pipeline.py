@@ -30,7 +30,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: null and empty texts never, a null source is one of its own, rows that repeat are drawn alike. Texts are whole, of any length; extra columns stay as they are; an empty table stays empty."""
+    """Documents as often as the mix of sources takes them: null and empty texts at the rate of their source, a null source is one of its own, rows that repeat are drawn alike. Texts are whole, of any length; extra columns stay as they are; an empty table stays empty."""
     return source_mix.mix(docs)
 
 

@@ -108,7 +108,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's share in the mix. Null and empty texts have size 0 and are not taken; a null source comes last; rows that repeat are documents of their own,
+    """Every document's share in the mix. Null and empty texts have size 0 and take no words; a null source comes last; rows that repeat are documents of their own,
     drawn alike; very long texts count whole. Extra columns are not read. No rows for no documents.
     """
     return plan(table(spark, folder, "documents"))
