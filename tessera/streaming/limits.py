@@ -60,17 +60,23 @@ def latest_state(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return the rows: appended ones as Parquet in ``folder`` (the shared one), others as a memory table.
+    """Run a stream over what is there and return the rows, as Parquet in ``folder`` (the shared one), where its state is too.
 
-    Complete mode gives a row for each key again with every trigger, which only a memory table takes; its state is in ``folder`` too.
+    Complete mode gives a row for each key again with every trigger: each trigger's rows are a table of their own, and those of the last are returned.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark)
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}-state")
     if mode == "append":
-        query = writer.format("parquet").option("checkpointLocation", f"{folder}/{name}-state").start(f"{folder}/{name}")
+        query = writer.format("parquet").start(f"{folder}/{name}")
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
-    query = writer.format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}-state").start()
+    written = []
+
+    def put(rows: DataFrame, trigger: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}-{trigger}")
+        written.append(f"{folder}/{name}-{trigger}")
+
+    query = writer.foreachBatch(put).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)
