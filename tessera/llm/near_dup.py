@@ -7,8 +7,9 @@ The unit of work is a content (a sequence of words); rows with the same content
 are one from the start and meet again only in the result. Shorter texts than five words
 are near-duplicates of their own content alone, and all texts without a word are one class.
 
-Contents that agree in a band meet in a bucket. A bucket of up to ``ALL_PAIRS`` contents
-compares all; a larger one holds contents that look alike, and compares each with its
+Contents that agree in a band meet in a bucket, and two are compared in the first band
+that they share. A bucket of up to ``ALL_PAIRS`` contents compares all; a larger one holds
+contents that look alike, and compares each with its
 ``LEADERS`` most central members (those that agree most with the bucket's commonest
 coordinates) and with its neighbours in signature order. Buckets over ``BLOCK`` contents
 are split, and the blocks' leaders meet in a further round until one block is left. That
@@ -109,12 +110,17 @@ def _pairs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, block) to candidate pairs (a, b) and, of split buckets, leaders (key, a)."""
+    """Rows sorted by (key, block) to candidate pairs (a, b) and, of split buckets, leaders (key, a).
 
-    def block(key: int, split: bool, content: np.ndarray, sig: np.ndarray) -> None:
+    A pair is a candidate in the first band that it shares and in no other.
+    """
+
+    def block(key: int, split: bool, content: np.ndarray, sig: np.ndarray, keys: np.ndarray) -> None:
         a, b, leaders = _pairs(sig)
-        likely = (sig[a] == sig[b]).mean(axis=1) >= LIKELY
-        for x, y in zip(content[a[likely]], content[b[likely]]):
+        likely = np.flatnonzero((sig[a] == sig[b]).mean(axis=1) >= LIKELY)
+        a, b = a[likely], b[likely]
+        first = keys[a, (keys[a] == keys[b]).argmax(axis=1)] == key
+        for x, y in zip(content[a[first]], content[b[first]]):
             if x != y:
                 out.append((None, min(x, y), max(x, y)))
         if split:
@@ -155,9 +161,10 @@ def _blocks(rows: pa.Table, edges: np.ndarray, block) -> None:
     key, split = rows.column("key").to_numpy(), rows.column("blocks").to_numpy() > 1
     content = np.array(rows.column("content").to_pylist(), dtype=object)
     sig = _signatures(rows.column("sig"))
+    keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     for s, e in zip(edges[:-1], edges[1:]):
         if e - s > 1 or split[s]:
-            block(int(key[s]), bool(split[s]), content[s:e], sig[s:e])
+            block(int(key[s]), bool(split[s]), content[s:e], sig[s:e], keys[s:e])
 
 
 def _signatures(column: pa.ChunkedArray) -> np.ndarray:
@@ -229,10 +236,10 @@ def candidates(once: DataFrame, sizes: DataFrame) -> DataFrame:
         met = settle(
             _dealt(entries.join(sizes, "key"))
             .drop("n")
-            .join(once.select("content", "sig"), "content")
+            .join(once, "content")
             .repartition(width, "key", "block")
             .sortWithinPartitions("key", "block", "content")
-            .select("key", "block", "blocks", "content", "sig")
+            .select("key", "block", "blocks", "content", "sig", "keys")
             .mapInArrow(_meet, "key bigint, a binary, b binary")
         )
         found.append(met.where("b IS NOT NULL").select("a", "b"))

@@ -400,6 +400,19 @@ def test_a_large_bucket_hides_no_link(spark, monkeypatch):
     assert out == [1] * 100
 
 
+def test_a_pair_is_a_candidate_in_one_band_only(spark, monkeypatch):
+    """100 near copies that share most of the 26 bands: a few candidates for each, one class, and no pair twice."""
+    r = random.Random(8)
+    base = prose(12, 300).split()
+    texts = [" ".join(f"new{i}" if k == r.randrange(300) else w for k, w in enumerate(base)) for i in range(100)] + [prose(i, 60) for i in range(20, 30)]
+    settled, settle = [], near_dup.settle
+    monkeypatch.setattr(near_dup, "settle", lambda df, *codec: settled.append(settle(df, *codec)) or settled[-1])
+    out = [x["class_id"] for x in near_dup.classes(frame(spark, texts)).collect()]
+    assert sorted(out) == [1] * 100 + list(range(101, 111))
+    pairs = [tuple(x) for met in settled if met.columns == ["key", "a", "b"] for x in met.where("b IS NOT NULL").select("a", "b").collect()]
+    assert len(pairs) == len(set(pairs)) <= 6 * 100, len(pairs)
+
+
 def toxic_corpus(seed, n):
     """Texts of which every fourth has toxic words, disguised or not; clean ones have the same words in two harmless phrases."""
     r = random.Random(seed)
