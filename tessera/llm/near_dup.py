@@ -44,6 +44,8 @@ LIKELY = 0.66
 ALL_PAIRS, LEADERS, NEIGHBOURS, BLOCK = 24, 4, 2, 2000
 #: From this share of equal coordinates with the first leader a member of a large bucket needs no other link there.
 SURE = 0.92
+#: Bits of the filter by which texts are told apart before any is shuffled: 4 MB in bitmaps of 4 KB, however many texts there are.
+SLOTS = 1 << 25
 
 _U = np.uint64
 
@@ -307,11 +309,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shingle_sets(docs: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
     """content and shingles of the contents in ``ids``, from one row of each."""
     chosen = signed.select("doc_id", "content").join(ids, "content").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    wanted = chosen.select("doc_id").distinct()
-    texts = documents(docs).join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    texts = filtered(documents(docs), chosen, "doc_id")
     return settle(texts.select("text").mapInArrow(_sets, "content binary, shingles binary").join(ids, "content", "left_semi").dropDuplicates(["content"]))
 
 
+def filtered(rows: DataFrame, wanted: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The ``rows`` whose key is in ``wanted``, and few others (a hash of theirs meets one of those); with left_anti all the rest. No row is shuffled."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)) + 1
+    bucket, bit = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    bitmaps = wanted.select(bucket.alias("_of"), bit.alias("_bit")).repartition("_of").groupBy("_of").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return rows.join(F.broadcast(bitmaps), (bucket == F.col("_of")) & (byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0), how)
+
+
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -380,9 +390,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keep their own classes, and of rows that are equal in both one stays.
     """
     own = F.struct(F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")).alias("own")
-    kept = classes(docs.select(own.alias("doc_id"), "text")).where("representative").select(F.col("doc_id").alias("own")).distinct()
-    one = docs.select(whole(docs), own).join(kept, "own", "left_semi")
-    return one.withColumn("nth", F.row_number().over(W.partitionBy("own").orderBy("own"))).where("nth = 1").select("row.*")
+    found = classes(docs.select(own.alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("own")).agg(F.count("*").alias("n"), F.bool_or("representative").alias("stays"))
+    # Most rows are alone and stay: only the others, and those that the filter takes for others, are shuffled with their texts.
+    others = settle(found.where("n > 1 OR NOT stays"))
+    rows = docs.select(whole(docs), own)
+    once = filtered(rows, others, "own").withColumn("nth", F.row_number().over(W.partitionBy("own").orderBy("own"))).where("nth = 1").select("row", "own")
+    kept = once.join(others.where("NOT stays").select("own"), "own", "left_anti").select("row")
+    return filtered(rows, others, "own", "left_anti").select("row").union(kept).select("row.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -413,6 +413,23 @@ def test_a_pair_is_a_candidate_in_one_band_only(spark, monkeypatch):
     assert len(pairs) == len(set(pairs)) <= 6 * 100, len(pairs)
 
 
+def test_texts_that_are_alone_are_not_shuffled(spark):
+    """60 long texts, one near copy, one row twice and one without an id: the stage keeps the right rows and shuffles a small part of the texts."""
+    r = random.Random(4)
+    texts = [" ".join(r.randbytes(4).hex() for _ in range(2000)) for _ in range(60)]
+    data = [*enumerate(texts, 1), (100, texts[0] + " end"), (2, texts[1]), (None, "a text of its own without an id"), (3, "other words, same id as the third")]
+
+    def written():
+        gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    docs, before = spark.createDataFrame(data, "doc_id long, text string"), written()
+    out = near_dup.keep_one(docs).collect()
+    assert {tuple(x) for x in out} == {*enumerate(texts, 1), *data[-2:]} and len(out) == 62
+    assert sum(v for k, v in written().items() if k not in before) < 0.25 * sum(map(len, texts))
+
+
 def toxic_corpus(seed, n):
     """Texts of which every fourth has toxic words, disguised or not; clean ones have the same words in two harmless phrases."""
     r = random.Random(seed)
