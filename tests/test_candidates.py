@@ -14,6 +14,7 @@ from .compare import of_duck, of_spark
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = [
     "preservation_class",
+    "aligned_view",
 ]
 
 
