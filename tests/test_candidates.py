@@ -15,6 +15,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = [
     "preservation_class",
     "aligned_view",
+    "claim_binding",
 ]
 
 
