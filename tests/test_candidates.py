@@ -16,6 +16,7 @@ NAMES = [
     "preservation_class",
     "aligned_view",
     "claim_binding",
+    "evidence_ladder",
 ]
 
 
