@@ -17,6 +17,7 @@ NAMES = [
     "aligned_view",
     "claim_binding",
     "evidence_ladder",
+    "evidence_reason_hist",
 ]
 
 
