@@ -18,6 +18,7 @@ NAMES = [
     "claim_binding",
     "evidence_ladder",
     "evidence_reason_hist",
+    "four_part_binding",
 ]
 
 
