@@ -19,6 +19,7 @@ NAMES = [
     "evidence_ladder",
     "evidence_reason_hist",
     "four_part_binding",
+    "answer_context",
 ]
 
 
