@@ -20,6 +20,7 @@ NAMES = [
     "evidence_reason_hist",
     "four_part_binding",
     "answer_context",
+    "support_gate",
 ]
 
 
