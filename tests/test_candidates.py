@@ -21,6 +21,7 @@ NAMES = [
     "four_part_binding",
     "answer_context",
     "support_gate",
+    "typed_coverage_relation",
 ]
 
 
