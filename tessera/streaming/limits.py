@@ -12,10 +12,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessera.session import shared_folder
 
 
-def window_limit(events: DataFrame, limit: int, key: str = "user_id", order: str = "event_id", amount: str = "amount", late: str = "1 day") -> DataFrame:
+#: Groups of keys of a day that share a state: a call of Python for each key and day would cost more than its rows.
+GROUPS = 1024
+
+
+def window_limit(events: DataFrame, limit: int, key: str = "user_id", order: str = "event_id", amount: str = "amount", late: str = "1 day", groups: int = GROUPS) -> DataFrame:
     """Allowed or refused for each call of a key and day: allowed while the day's amount fits; refused calls use nothing.
 
-    Calls of a trigger are taken in order. A day's state is dropped when the watermark has passed its end.
+    Calls of a trigger are taken in order. The keys of a day are dealt into ``groups`` by their hash (calls without a key are one of their own); a
+    group's state is what each of its keys has used. A day's state is dropped when the watermark has passed its end.
     """
     days = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("day", F.date_trunc("day", "ts"))
 
@@ -23,20 +28,24 @@ def window_limit(events: DataFrame, limit: int, key: str = "user_id", order: str
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
+        used = dict(zip(*state.get)) if state.exists else {}
         rows = pd.concat(list(batches)).sort_values([order])
-        allowed = []
-        for n in rows["amount"]:
-            allowed.append(used + n <= limit)
-            used += int(n) if allowed[-1] else 0
-        state.update((used,))
+        keys = [-1] * len(rows) if key_[0] < 0 else rows["key"].astype("int64").tolist()
+        allowed, upto = [], []
+        for k, n in zip(keys, rows["amount"].tolist()):
+            before = used.get(k, 0)
+            allowed.append(before + n <= limit)
+            used[k] = before + int(n) if allowed[-1] else before
+            upto.append(used[k])
+        state.update((list(used), list(used.values())))
         state.setTimeoutTimestamp(max(int(pd.Timestamp(key_[1]).value // 1_000_000) + 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": key_[0], "day": key_[1], "call": rows[order].to_numpy(), "allowed": allowed, "used": used})
+        yield pd.DataFrame({"key": [None] * len(rows) if key_[0] < 0 else keys, "day": key_[1], "call": rows[order].to_numpy(), "allowed": allowed, "used": upto})
 
+    group = F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))).cast("int")
     return (
-        days.select(F.col(key).alias("key"), "day", "ts", order, F.col(amount).cast("long").alias("amount"))
-        .groupBy("key", "day")
-        .applyInPandasWithState(step, "key long, day timestamp, call long, allowed boolean, used long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+        days.select(F.col(key).cast("long").alias("key"), "day", "ts", order, F.col(amount).cast("long").alias("amount")).withColumn("of", group)
+        .groupBy("of", "day")
+        .applyInPandasWithState(step, "key long, day timestamp, call long, allowed boolean, used long", "keys array<long>, used array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
