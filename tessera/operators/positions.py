@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.candidates import SENT, met
+from tessera.session import settled
+
 # Other identifiers, attributes that need not stand near, marks of a list of other parameters, the head of a table of two models, cells with units.
 OTHER = r"(?<![a-z0-9])(?:\d{1,2}\.\d{1,2}|[a-z]\d{2,5})(?![a-z0-9])"
 LOOSE = ("requirements", "cause", "status", "quantity")
@@ -29,12 +32,13 @@ def technical(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
 
 
-def mentions(texts: DataFrame, words: list[str], lengths: list[int]) -> DataFrame:
+def mentions(texts: DataFrame, words: list[str], lengths: list[int], only: frozenset[str] | None = None) -> DataFrame:
     """(doc, kind, value, pos) of ``texts`` (doc, text): other identifiers (kind o), the given ``words`` (kind w) and parts of runs (kind r).
 
     A run is what [a-z0-9.] matches, with a digit; its parts are those of the given
     ``lengths`` that have a digit. Words are a vocabulary and lengths those of identifiers: both are
-    small whatever the table. Positions are characters of the text in ``technical`` form; matches of a word may overlap.
+    small whatever the table. Positions are characters of the text in ``technical`` form; matches of a word may overlap. With ``only`` (identifiers),
+    parts are those and texts without any of them have no rows.
     """
     word = {w: re.compile(f"(?={re.escape(w)})") for w in words}
     other, run = re.compile(OTHER), re.compile(r"[a-z0-9.]*[0-9][a-z0-9.]*")
@@ -43,11 +47,14 @@ def mentions(texts: DataFrame, words: list[str], lengths: list[int]) -> DataFram
         for batch in batches:
             out = []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                out += [(i, "o", m[0], m.start()) for m in other.finditer(text)]
-                out += [(i, "w", w, m.start()) for w, p in word.items() for m in p.finditer(text)]
+                held = len(out)
                 for m in run.finditer(text):
                     parts = ((m[0][s : s + n], m.start() + s) for n in lengths for s in range(len(m[0]) - n + 1))
-                    out += [(i, "r", part, at) for part, at in parts if any(c.isdigit() for c in part)]
+                    out += [(i, "r", part, at) for part, at in parts if (any(c.isdigit() for c in part) if only is None else part in only)]
+                if only is not None and len(out) == held:
+                    continue
+                out += [(i, "o", m[0], m.start()) for m in other.finditer(text)]
+                out += [(i, "w", w, m.start()) for w, p in word.items() for m in p.finditer(text)]
             rows, kind, value, pos = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(pos, pa.int64())], names=["doc", "kind", "value", "pos"])
 
@@ -61,16 +68,22 @@ def associated(texts: DataFrame, questions: DataFrame, aliases: dict[str, tuple[
     ``questions`` has question, identifiers (with a digit, of letters, digits and points) and attributes
     (keys of ``aliases``). Together is true if one of the identifiers and one of the attributes' words stand with no other
     identifier between them; also if the question has no attribute that must stand near, or the document none of their words.
-    Another identifier within one character of a mention of the question's own is that mention.
+    Another identifier within one character of a mention of the question's own is that mention. Questions that ask for the same are asked once, by
+    the first of them, and their rows made at the end.
     """
     col = F.col
-    asked = questions.select("question", F.transform("identifiers", technical).alias("identifiers"), F.coalesce("attributes", F.array().cast("array<string>")).alias("attributes"))
+    whole = questions.select("question", F.coalesce(F.transform("identifiers", technical), F.array().cast("array<string>")).alias("identifiers"), F.coalesce("attributes", F.array().cast("array<string>")).alias("attributes"))
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    same = whole.groupBy("question").agg(merged("identifiers"), merged("attributes")).groupBy("identifiers", "attributes").agg(F.array_sort(F.collect_list("question")).alias("askers"))
+    asked = settled(same.withColumn("question", F.element_at("askers", 1)))
     wanted = asked.select("question", F.explode(F.array_distinct("identifiers")).alias("value")).where(col("value").rlike("^[a-z0-9.]*[0-9][a-z0-9.]*$"))
     lengths = sorted(r["n"] for r in wanted.select(F.length("value").alias("n")).distinct().collect())  # a few numbers
     vocabulary = sorted({w for k, ws in aliases.items() if k not in LOOSE for w in ws if w})
     pairs = [(k, w) for k, ws in aliases.items() if k not in LOOSE for w in ws if w]
-    found = mentions(texts, vocabulary, lengths)
-    target = found.where("kind = 'r'").select("doc", "value", "pos").join(wanted, "value").select("question", "doc", "pos").distinct()
+    values = [r["value"] for r in wanted.select("value").distinct().limit(SENT + 1).collect()]
+    few = len(values) <= SENT
+    found = settled(mentions(texts, vocabulary, lengths, frozenset(values))) if few else mentions(texts, vocabulary, lengths)
+    target = found.where("kind = 'r'").select("doc", "value", "pos").join(wanted.hint("merge"), "value").select("question", "doc", "pos").distinct()
     near = target.select("question", "doc", F.explode(F.array(col("pos") - 1, col("pos"), col("pos") + 1)).alias("pos")).distinct()
     held = target.select("question", "doc").distinct()
     other = found.where("kind = 'o'").select("doc", "pos").join(held, "doc").join(near, ["question", "doc", "pos"], "left_anti").select("question", "doc", "pos")
@@ -85,7 +98,8 @@ def associated(texts: DataFrame, questions: DataFrame, aliases: dict[str, tuple[
     segments = numbered.select("question", "doc", "k", F.explode(F.when(col("k") == "t", F.array("below")).otherwise(F.array_distinct(F.array("below", "upto")))).alias("segment"))
     both = segments.groupBy("question", "doc", "segment").agg(F.max((col("k") == "t").cast("int")).alias("t"), F.max((col("k") == "w").cast("int")).alias("w"))
     per_doc = both.groupBy("question", "doc").agg((F.max(col("t") * col("w")) == 1).alias("close"), (F.max("w") == 0).alias("wordless"))
-    return per_doc.join(strong.select("question").distinct().withColumn("strong", F.lit(True)), "question", "left").select("question", "doc", (col("strong").isNull() | col("wordless") | col("close")).alias("together"))
+    decided = per_doc.join(strong.select("question").distinct().withColumn("strong", F.lit(True)).hint("merge"), "question", "left").select("question", "doc", (col("strong").isNull() | col("wordless") | col("close")).alias("together"))
+    return met(decided, asked.select("question", "askers"), ["question"]).select(F.explode("askers").alias("question"), "doc", "together")
 
 
 def anchored(claims: DataFrame, questions: DataFrame) -> DataFrame:

@@ -52,3 +52,19 @@ def test_columns_of_two_models(spark):
     df = spark.createDataFrame(rows, "model string, vals array<string>, text string, want boolean")
     got = df.select(ps.column_conflict(F.col("model"), F.array(F.lit("voltage")), F.col("vals"), F.col("text")).alias("x")).collect()
     assert [g["x"] for g in got] == [r[3] for r in rows]
+
+
+def test_equal_questions_are_asked_once(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [(d, " ".join(r.choice(["p12", "x9", "a77", "speed", "aa", "word"]) for _ in range(9))) for d in range(60)]
+    kinds = [(["P12"], ["speed"]), (["x9", "p12"], ["torque", "speed"]), (["p12", "X9"], ["speed", "torque"])]
+    questions = [(q, *kinds[q % 3]) for q in range(90)]
+    found = []
+    monkeypatch.setattr(ps, "settled", lambda df: found.append(df) or df)
+    for sent in (ps.SENT, 0):
+        monkeypatch.setattr(ps, "SENT", sent)
+        got = ps.associated(spark.createDataFrame(texts, "doc int, text string"), spark.createDataFrame(questions, "question int, identifiers array<string>, attributes array<string>"), ALIASES)
+        want = {(q, d): t for q, ids, a in questions for d, text in texts if (t := together(ids, a, text)) is not None}
+        assert {(x["question"], x["doc"]): x["together"] for x in got.collect()} == want
+    asked, mentioned = found[0], found[1]
+    assert asked.count() == 2 and {x["doc"] for x in mentioned.select("doc").distinct().collect()} == {d for _, d in want}
