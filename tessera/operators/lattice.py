@@ -8,10 +8,9 @@ within the tolerance of it, however long their chain.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.intervals import coverage
-
 #: Share of an edge within the span, tolerance of positions, margin of the content, reach of a middle beyond the span, distance of an edge from a side.
 COVERAGE, TOLERANCE, MARGIN, REACH, NEAR = 0.45, 2.5, 4, 20, 3.0
 
@@ -66,14 +65,19 @@ def sides(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """``targets`` (doc, page, id, position, low, high) with best (the largest share of one near edge), covered (by that edge) and share (of all near edges together).
 
     ``edges`` has doc, page, position, start, end. Near is within NEAR. The share of the
-    union sees gaps and overlaps that the sum of lengths does not.
+    union sees gaps and overlaps that the sum of lengths does not: it is a window over the edges near one
+    side, which are a part of one page's, and nothing is written.
     """
     keys = ["doc", "page"]
     t = targets.where("high > low")
     near = t.join(edges.select(*keys, F.col("position").alias("of"), "start", "end"), keys).where(F.abs(F.col("of") - F.col("position")) <= NEAR)
     near = near.where((F.least("end", "high") > F.greatest("start", "low")))
-    one = near.groupBy(*keys, "id").agg(F.max((F.least("end", "high") - F.greatest("start", "low")) / (F.col("high") - F.col("low"))).alias("best"))
-    together = coverage(t.select(*keys, "id", "low", "high").withColumn("side", F.col("id")), near.select(*keys, F.col("id").alias("side"), "start", "end"), [*keys, "side"])
-    out = targets.join(one, [*keys, "id"], "left").join(together.select(*keys, "id", "share"), [*keys, "id"], "left")
+    a, b, length = F.greatest("start", "low"), F.least("end", "high"), F.col("high") - F.col("low")
+    whole = F.col("start") < F.col("end")  # others do not count in the union
+    reach = F.max(F.when(F.col("whole"), F.col("b"))).over(W.partitionBy(*keys, "id").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1))
+    swept = near.select(*keys, "id", "low", "high", whole.alias("whole"), a.alias("a"), b.alias("b")).withColumn("reach", reach)
+    new = F.when(F.col("whole"), F.greatest(F.lit(0.0), F.col("b") - F.greatest("a", F.coalesce("reach", "a"))))
+    one = swept.groupBy(*keys, "id").agg(F.max((F.col("b") - F.col("a")) / length).alias("best"), F.coalesce(F.sum(new / length), F.lit(0.0)).alias("share"))
+    out = targets.join(one, [*keys, "id"], "left")
     best = F.coalesce("best", F.lit(0.0))
     return out.select(*(targets[c] for c in targets.columns), best.alias("best"), (best >= COVERAGE).alias("covers"), F.coalesce("share", F.lit(0.0)).alias("share"))
